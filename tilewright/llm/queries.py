@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from tilewright.llm.decontaminate import op2_decontaminate
 from tilewright.llm.language_id import op3_language_id
 from tilewright.llm.simhash_dedup import op8_simhash_dedup
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
     "pipeline": corpus_pipeline.run,
