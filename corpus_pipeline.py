@@ -5,19 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm.common import saved, table
+from tilewright.llm.decontaminate import drop_leaks
+from tilewright.llm.language_id import UNKNOWN, learn, predict
+from tilewright.llm.mixing import keep_mixed, quality_weights
+from tilewright.llm.secrets import mask_secrets
 from tilewright.llm.simhash_dedup import drop_copies
 
+#: Cosine under which a profile is like no prototype; even texts of a word or two reach it.
+LEAST_SCORE = 0.02
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the learned languages go: no letters, or a profile like no prototype."""
+    found = predict(docs, learn(docs))
+    return found.where(f"lang_pred <> '{UNKNOWN}' and score >= {LEAST_SCORE}").select(*docs.columns)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
     return drop_copies(docs)
 
 
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; all documents stay."""
+    return mask_secrets(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which the mix takes words, with how many it takes."""
+    return keep_mixed(docs, quality_weights(table(spark, sf_dir, "labels")))
+
+
 STAGES = [
+    ("language_id", known_language),
     ("simhash_dedup", near_duplicates),
+    ("decontaminate", benchmark_leaks),
+    ("secret_scan", secrets),
+    ("mixing", mixture),
 ]
 
-#: SimHash linking is not expressible in DuckDB SQL; tests compare with a brute-force version.
+#: SimHash linking and language profiles are not expressible in DuckDB SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

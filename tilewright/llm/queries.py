@@ -5,12 +5,14 @@ from __future__ import annotations
 import corpus_pipeline
 from tilewright.llm.decontaminate import op2_decontaminate
 from tilewright.llm.language_id import op3_language_id
+from tilewright.llm.mixing import op7_mixing
 from tilewright.llm.secrets import op10_secret_scan
 from tilewright.llm.simhash_dedup import op8_simhash_dedup
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
+    "op7_mixing": op7_mixing,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_secret_scan": op10_secret_scan,
     "pipeline": corpus_pipeline.run,
