@@ -8,9 +8,11 @@ from tilewright.llm.language_id import op3_language_id
 from tilewright.llm.mixing import op7_mixing
 from tilewright.llm.secrets import op10_secret_scan
 from tilewright.llm.simhash_dedup import op8_simhash_dedup
+from tilewright.llm.url_filter import op1_url_filter
 from tilewright.llm.winnowing import op4_winnowing
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op4_winnowing": op4_winnowing,
