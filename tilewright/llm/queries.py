@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from tilewright.llm.chat_format import ORACLE_SQL as CHAT_SQL
+from tilewright.llm.chat_format import op9_chat_format
 from tilewright.llm.decontaminate import op2_decontaminate
 from tilewright.llm.language_id import op3_language_id
 from tilewright.llm.mixing import op7_mixing
@@ -19,9 +21,10 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op9_chat_format": op9_chat_format,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat_format": CHAT_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
