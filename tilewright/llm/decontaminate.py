@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import table
+from tilewright.llm.common import arrow_map, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -173,7 +173,7 @@ def find(docs: DataFrame, benchmark: DataFrame, slice_items: int = SLICE) -> Dat
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-        found = found.unionByName(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema))
+        found = found.unionByName(arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema))
     return found
 
 
@@ -193,7 +193,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, slice_items: int = SLICE)
             for batch in batches:
                 yield batch.filter(pa.array([not index.scan(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = arrow_map(docs, run, docs.schema)
     return docs
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import table
+from tilewright.llm.common import arrow_map, table
 
 DIMENSIONS = 1024
 PER_LANG = 1500
@@ -152,7 +152,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, dimensions: int = DIMEN
             # in fixed point, so that the sum does not depend on the order of addition
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(np.round(row * 2**32).astype(np.int64))], ["lang", "at", "v"])
 
-    parts = known.where(keep).select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "lang string, at int, v long")
+    parts = arrow_map(known.where(keep).select(F.col("text").cast("string"), F.col("lang").cast("string")), run, "lang string, at int, v long")
     langs = sorted(total)
     out = np.zeros((len(langs), dimensions))
     for r in parts.groupBy("lang", "at").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("v")).collect():
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def held_out():

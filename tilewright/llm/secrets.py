@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import table
+from tilewright.llm.common import arrow_map, table
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -162,7 +162,8 @@ def scan(docs: DataFrame) -> DataFrame:
             base = [hashlib.sha256(named(x for x in s if x[1] < 3).encode()).hexdigest() for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), count(0), count(1), count(2), pa.array(base, pa.string()), pa.array(map(named, found), pa.string()), count(3)], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def masked(text: str | None, mask: str = "[secret]") -> str | None:
@@ -195,7 +196,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
                 columns[counted] = pa.array([n if t == w else len(t) for n, t, w in zip(batch.column(counted).to_pylist(), texts, was)], columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

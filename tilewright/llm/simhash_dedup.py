@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import forget, saved, table
+from tilewright.llm.common import arrow_map, forget, saved, table
 from tilewright.llm.components import components
 
 RADIUS = 2
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             fps = [fingerprint(t.as_py(), k) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
 
 
 def near_in_planes(planes: list[tuple[int, int]], every: int, query: int, radius: int) -> int:
