@@ -6,6 +6,7 @@ import corpus_pipeline
 from tilewright.llm.chat_format import ORACLE_SQL as CHAT_SQL
 from tilewright.llm.chat_format import op9_chat_format
 from tilewright.llm.decontaminate import op2_decontaminate
+from tilewright.llm.html_text import op5_html_text
 from tilewright.llm.language_id import op3_language_id
 from tilewright.llm.mixing import op7_mixing
 from tilewright.llm.secrets import op10_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op4_winnowing": op4_winnowing,
+    "op5_html_text": op5_html_text,
     "op7_mixing": op7_mixing,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_secret_scan": op10_secret_scan,
