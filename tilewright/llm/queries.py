@@ -9,6 +9,7 @@ from tilewright.llm.decontaminate import op2_decontaminate
 from tilewright.llm.html_text import op5_html_text
 from tilewright.llm.language_id import op3_language_id
 from tilewright.llm.mixing import op7_mixing
+from tilewright.llm.revisits import op6_warc_revisits
 from tilewright.llm.secrets import op10_secret_scan
 from tilewright.llm.simhash_dedup import op8_simhash_dedup
 from tilewright.llm.url_filter import op1_url_filter
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_winnowing": op4_winnowing,
     "op5_html_text": op5_html_text,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_mixing": op7_mixing,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_secret_scan": op10_secret_scan,
