@@ -8,7 +8,7 @@ A fold over the hashes holds the current minimum and looks at its window again o
 code point is constant.
 
 ``edited``: the last quarter of a text is replaced by the beginning of the next document (by id). Rows are ordered in buckets of a
-thousand ids or so (range boundaries from approximate quantiles); the last row of a bucket meets the first of the next bucket
+few hundred ids (more, once there are ``BUCKETS``; range boundaries from approximate quantiles); the last row of a bucket meets the first of the next bucket
 through a side table with one row a bucket.
 
 Defined cases: a null text is empty; an empty text has no fingerprints, and likeness 1 to another such text, else 0; a text shorter
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import table, text_of
 
 GRAM = 12
-WINDOW = 48
-#: Rows in a bucket, about, and how many buckets there are at most.
-BUCKET, BUCKETS = 1000, 200_000
+WINDOW = 64
+#: Windows that are looked at in one piece.
+PIECE = 256
+#: Rows in a bucket, about, and how many buckets there are at most: the bound of what is broadcast, a row of three numbers each.
+BUCKET, BUCKETS = 256, 100_000
 SEGMENTS = 64
 LAST = (1 << 31) - 1
 #: The 32 bits of a hash that are kept, above the position.
@@ -36,18 +38,34 @@ HIGH = (1 << 63) - 1 - LAST
 
 def choices(text: str) -> Column:
     """The packed choices of a text column, by position. ``let`` binds a value once: a column that a lambda names
-    would be fetched anew, as a copy, at every element."""
+    would be fetched anew, as a copy, at every element. Windows are dealt to pieces of ``PIECE`` by where they start; a window
+    further right never chooses further left, so the pieces' choices only have to be put together."""
     let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
     hashed = f"xxhash64({{}}) & {HIGH}"
     grams = f"transform(sequence(1, octet_length(points) - {4 * GRAM - 1}, 4), i -> {hashed.format(f'substring(points, i, {4 * GRAM})')} | ({LAST} - i))"
-    least = f"array_min(slice(grams, 1, {WINDOW}))"
-    # byte offset of the window that ends with h, from 0, as an index of grams: (offset of h - 1) / 4 - WINDOW + 2
-    window = f"array_min(slice(grams, ({LAST - 1} - (h & {LAST})) div 4 - {WINDOW - 2}, {WINDOW}))"
-    fold = f"""aggregate(slice(grams, {WINDOW + 1}, greatest(size(grams) - {WINDOW}, 0)), array({least}),
-        (found, h) -> if(h < found[size(found) - 1], array_append(found, h),
-            if((found[size(found) - 1] & {LAST}) - (h & {LAST}) >= {4 * WINDOW}, array_append(found, {window}), found)))"""
+    # a fold state: the minimum, the position part (which falls) at which it leaves the window, the choices
+    state = f"m -> named_struct('at', m, 'gone', (m & {LAST}) - {4 * WINDOW}, 'out', {{}})"
+    start = f"transform(array(array_min(slice(part, 1, {WINDOW}))), {state.format('array(m)')})[0]"
+    # the window that ends with h, from its place in the piece
+    again = f"array_min(slice(part, ((part[0] & {LAST}) - (h & {LAST})) div 4 - {WINDOW - 2}, {WINDOW}))"
+    moved = f"transform(array(if(h < s.at, h, {again})), {state.format('array_append(s.out, m)')})[0]"
+    fold = f"aggregate(part, {start}, (s, h) -> if(h < s.at or (h & {LAST}) <= s.gone, {moved}, s), s -> s.out)"
+    piece = let(f"slice(grams, p * {PIECE} + 1, {PIECE + WINDOW - 1})", "part", fold)
+    pieces = f"transform(sequence(0, greatest(size(grams) - {WINDOW}, 0) div {PIECE}), p -> {piece})"
     short = f"if(octet_length(points) = 0, cast(array() as array<bigint>), array({hashed.format('points')} | {LAST - 1}))"
-    return F.expr(let(f"encode({text}, 'UTF-32')", "points", f"if(octet_length(points) < {4 * GRAM}, {short}, {let(grams, 'grams', fold)})"))
+    long = let(grams, "grams", f"if(size(grams) <= {PIECE}, {let('grams', 'part', fold)}, array_distinct(flatten({pieces})))")
+    return F.expr(let(f"encode({text}, 'UTF-32')", "points", f"if(octet_length(points) < {4 * GRAM}, {short}, {long})"))
+
+
+def choices_after_edit(known: str, head: str, edited: str) -> Column:
+    """The choices of ``edited``, whose first ``head`` code points are those of a text with the choices ``known``. What windows within
+    the head choose is known; only windows that reach beyond it are looked at."""
+    last = f"({head} - {GRAM + WINDOW - 1})"  # the last window within the head
+    first = f"({last} - {WINDOW - 1})"
+    rest = choices(f"substring({edited}, cast(greatest({first}, 0) + 1 as int))")
+    found = F.transform(rest, lambda v: v - F.expr(f"4 * {first}"))
+    kept = F.expr(f"filter({known}, v -> v & {LAST} >= {LAST - 1} - 4 * {last})")
+    return F.when(F.expr(f"{first} > 0"), F.array_distinct(F.concat(kept, found))).otherwise(rest)
 
 
 def written(choices: Column) -> Column:
@@ -94,7 +112,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     around = W.orderBy("bucket")
     heads = least.withColumn("to", F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(W.partitionBy(F.lit(0)))))
     named = heads.select(F.col("bucket").alias("b"), "first_id", "to")
-    firsts = base.join(named, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("bucket") == F.col("b"))).groupBy("to").agg(F.min("text").alias("text"))
+    firsts = base.join(F.broadcast(named), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("bucket") == F.col("b"))).groupBy("to").agg(F.min("text").alias("text"))
     firsts = firsts.select("to", F.col("text").alias("first_text"), choices("text").alias("first_choices"))
 
     both = rows.join(firsts, (rows["bucket"] == firsts["to"]) & rows["is_last"], "left")
@@ -102,7 +120,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     both = both.withColumn("following_choices", F.when(F.col("is_last"), F.col("first_choices")).otherwise(F.col("next_choices")))
     both = both.select("doc_id", "text", "choices", "following_choices", F.char_length("text").cast("long").alias("n_chars"), "following")
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"), F.expr("substring(following, 1, cast(n_chars div 4 as int))")))
-    edited = both.withColumn("edited_choices", choices("edited"))
+    edited = both.withColumn("edited_choices", choices_after_edit("choices", "(n_chars - n_chars div 4)", "edited"))
     return edited.select(
         "doc_id",
         "n_chars",
