@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.plans.store import forget, saved  # noqa: F401
+
 #: ASCII blanks; everything between them is a word.
 BLANKS = "\\x20\\x09-\\x0D"
 WORD = f"[^{BLANKS}]+"
@@ -17,41 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is
-    unset (a local session, as in tests) a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        found = kept or tempfile.mkdtemp(prefix="tilewright-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back.
-
-    Unlike an RDD checkpoint the written table is columnar and has a known size, so that the
-    planner's own checks decide about broadcasts. It survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._saved_at = path
-    return back
-
-
-def forget(*dfs: DataFrame) -> None:
-    """Delete tables of ``saved`` that no later step reads."""
-    for df in dfs:
-        if path := getattr(df, "_saved_at", None):
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def text_of(name: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -10,7 +10,7 @@
 4. In a bucket the fingerprints are stored as vertical bit planes. A query's distances to all
    of them grow together in carry-save counters; the block is abandoned once all exceed the
    radius. The bucket gives a spanning forest, never all pairs.
-5. Connected components of the forests' edges (see ``components``).
+5. Connected components of the forests' edges (see ``operators.graph``).
 
 Defined cases: null and empty texts have fingerprint zero and link with each other; texts of one or
 two words are hashed as a whole; repeated rows share a component; an empty table gives no rows; other
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import arrow_map, forget, saved, table
-from tilewright.llm.components import components
+from tilewright.operators.graph import components
 
 RADIUS = 2
 SHINGLE = 3
