@@ -104,7 +104,7 @@ def read_back(df: DataFrame) -> DataFrame:
     are found by the end mark, so the time is in proportion to the text; a mask span is the piece that starts where the span does."""
     cut = f"slice(split(formatted, '<\\\\|end\\\\|>', -1), 1, greatest(size(split(formatted, '<\\\\|end\\\\|>', -1)) - 1, 0))"  # noqa: F541
     found = df.withColumn("__c", F.expr(cut))
-    found = found.withColumn("__b", F.expr("transform(__c, c -> named_struct('role', substring_index(substring(c, 3), '|>', 1), 'text', substring(c, char_length(substring_index(c, '|>', 1)) + 3)))"))
+    found = found.withColumn("__b", F.expr("transform(__c, c -> named_struct('role', substring_index(substring(c, 3), '|>', 1), 'text', substring(c, char_length(substring_index(substring(c, 3), '|>', 1)) + 5)))"))
     found = found.withColumn("read_turns", F.expr(f"transform(__b, b -> named_struct('role', {unescaped('b.role')}, 'text', {unescaped('b.text')}))"))
     starts = f"""aggregate(__b, named_struct('at', 0, 'out', cast(array() as array<int>)),
         (a, b) -> named_struct('at', a.at + char_length(b.role) + char_length(b.text) + {4 + len(END)}, 'out', array_append(a.out, a.at + char_length(b.role) + 4)), a -> a.out)"""

@@ -30,9 +30,9 @@ RULES = (
     (BLOCK, "example.net/de/8"),
     (BLOCK, "org/es/"),
 )
-DIMENSIONS = 1024
+DIMENSIONS = 2048
 GRAMS = (2, 3, 4)
-EPOCHS, RATE, DECAY = 12, 0.8, 1e-4
+EPOCHS, RATE, DECAY = 12, 1.5, 1e-4
 SEED_ROWS = 512
 THRESHOLD = 0.5
 
@@ -43,12 +43,12 @@ NEUTRAL = "alder birch cedar the and river stone north there ering atlas ridge o
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The default labelled table ``(url, blocked)``: for each word two hosts and two paths."""
+    """The default labelled table ``(url, blocked)``: each word of either kind in the same six places, and pages of hosts without meaning."""
     rows = []
     for blocked, words in ((1, UNWANTED), (0, WANTED)):
         for word in words:
-            rows += [(f"http://{word}.example.com/index", blocked), (f"https://www.{word}-site.net/fr/12?page=1", blocked), (f"http://example.org/{word}/a.html", blocked), (f"https://my.example.com/{word}", blocked)]
-    for at, word in enumerate(WANTED + NEUTRAL):
+            rows += [(url.format(word), blocked) for url in ("http://{}.example.com/index", "https://www.{}-site.net/fr/12?page=1", "http://example.org/{}/a.html", "https://my.example.com/{}", "http://{}.info/", "http://top{}1.example.net/de/4")]
+    for at, word in enumerate(NEUTRAL):
         rows += [(f"http://{word}.example.{('com', 'net', 'org')[(at + k) % 3]}/{lang}/{37 * at + 211 * k}?page=2", 0) for k, lang in enumerate(("en", "fr", "de", "es"))]
     for word in ("en", "fr", "de", "es"):
         rows += [(f"http://{host}.example.{top}/{word}/{n}?page=2", 0) for host in ("alpha", "omega") for top in ("com", "net", "org") for n in (3, 25, 417)]
@@ -93,9 +93,11 @@ def train(labelled: DataFrame) -> list[float]:
     first = labelled.where("blocked is not null").orderBy("url", "blocked").limit(SEED_ROWS).select("url", "blocked")
     rows = first.withColumns({"host": host, "path": path}).select(F.col("blocked").cast("double").alias("y"), gram_slots().alias("slots"), F.xxhash64("url").alias("at"))
     counts = rows.select("at", "y", F.expr(f"transform(sequence(1, {DIMENSIONS}), d -> size(filter(slots, s -> s = d)) / sqrt(greatest(size(slots), 1)))").alias("x"))
-    one = counts.agg(F.sort_array(F.collect_list(F.struct("at", "y", F.concat("x", F.array(F.lit(1.0))).alias("x")))).alias("rows"))
+    both = counts.agg(F.sort_array(F.collect_list(F.struct("at", "y", F.concat("x", F.array(F.lit(1.0))).alias("x")))).alias("rows"), F.sum(F.lit(1.0)).alias("n"), F.sum("y").alias("ones"))
+    # either class weighs half
+    one = both.withColumn("rows", F.expr("transform(rows, r -> named_struct('y', r.y, 'x', r.x, 'm', n / (2 * greatest(if(r.y = 1, ones, n - ones), 1))))"))
     margin = "aggregate(zip_with(w, r.x, (a, b) -> a * b), 0D, (s, v) -> s + v)"
-    step = f"""aggregate(rows, w0, (w, r) -> transform(array(r.y - 1 / (1 + exp(-{margin}))),
+    step = f"""aggregate(rows, w0, (w, r) -> transform(array(r.m * (r.y - 1 / (1 + exp(-{margin})))),
         g -> zip_with(w, r.x, (a, b) -> a * {1 - DECAY} + {RATE} * g * b))[0])"""
     fold = f"aggregate(sequence(1, {EPOCHS}), transform(sequence(0, {DIMENSIONS}), i -> 0D), (w0, e) -> {step})"
     return list(one.select(F.expr(fold).alias("w")).first()["w"])
