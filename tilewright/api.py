@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.plans.model import LayerSpec, TileConfig, with_defaults
+from tilewright.plans.store import forget, saved
 from tilewright.plans.tiles import pyramid
 from tilewright.sources.files import read_features
 from tilewright.sources.pmtiles import PMTiles, pmtiles_metadata
@@ -39,13 +40,17 @@ def tile(layers, output, *, layer_name: str | None = None, overwrite: bool = Tru
     tiles, info = pyramid(specs, config)
     spark = specs[0].df.sparkSession
     spark.dataSource.register(PMTiles)
-    rows = tiles.repartitionByRange("tile_id").sortWithinPartitions("tile_id").select("tile_id", "data")
+    # ranges are found by sampling ids: over a written table that reads one column, and no tile is encoded twice
+    spool = saved(tiles.select("tile_id", "data"))
+    rows = spool.repartitionByRange("tile_id").sortWithinPartitions("tile_id")
     try:
         rows.write.format("pmtiles").option("info", json.dumps(info)).option("replace", "true" if overwrite else "false").mode("append").save(output)
     except Exception as failed:
         if "No tiles generated" in str(failed):
             raise ValueError("No tiles generated") from failed
         raise
+    finally:
+        forget(spool)
     if not quiet:
         log.info("%s: %s tiles, %s bytes", output, pmtiles_metadata(output)["num_tiles"], os.path.getsize(output))
     return output

@@ -108,25 +108,35 @@ def encode_mvt(layers) -> bytes:
     """A tile; features without drawable geometry and layers without features are left out."""
     tile = []
     for name, names, features in layers:
-        body, keys, values = [_field(1, name.encode())], {}, {}
+        body, keys, values, places = [_field(1, name.encode())], [], {}, [None] * len(names)
         drawn = False
         for fid, g, props in features:
-            stream = commands(g)
-            if not stream:
-                continue
+            if g[0] == POINT:
+                x, y = g[1][0][0][0]
+                stream = b"\x09" + varint(zigzag(int(x))) + varint(zigzag(int(y)))
+            else:
+                stream = b"".join(map(varint, commands(g)))
+                if not stream:
+                    continue
             drawn = True
             tags = []
-            for key, v in zip(names, props):
+            for k, v in enumerate(props):
                 if v is None:
                     continue
-                at = keys.setdefault(key, len(keys))
-                tags.append(varint(at) + varint(values.setdefault((type(v), v), len(values))))
+                if places[k] is None:
+                    places[k] = varint(len(keys))
+                    keys.append(names[k])
+                own = (v.__class__, v)
+                at = values.get(own)
+                if at is None:
+                    at = values[own] = varint(len(values))
+                tags += (places[k], at)
             one = b"" if fid is None else b"\x08" + varint(fid & 0xFFFFFFFFFFFFFFFF)
             if tags:
-                one += _field(2, b"".join(tags))
-            one += b"\x18" + bytes([(g[0] - 1) % 3 + 1])
-            one += _field(4, b"".join(map(varint, stream)))
-            body.append(_field(2, one))
+                packed = b"".join(tags)
+                one += b"\x12" + varint(len(packed)) + packed
+            one += b"\x18" + bytes(((g[0] - 1) % 3 + 1, 34)) + varint(len(stream)) + stream
+            body.append(b"\x12" + varint(len(one)) + one)
         if not drawn:
             continue
         body += [_field(3, k.encode()) for k in keys]

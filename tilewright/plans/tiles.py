@@ -1,6 +1,6 @@
 """The tile pyramid as one lazy plan.
 
-source -> zooms -> thinning -> tiles -> (shuffle by tile, sorted) -> bytes -> (shuffle by ranges of tile ids) -> archive
+source -> zooms -> thinning -> tiles -> (shuffle by tile, sorted) -> bytes -> written table -> (shuffle by ranges of tile ids) -> archive
 
 Points in columns never leave the JVM before their bytes are made; other geometries pass through Python once to be described and once to be cut.
 """
@@ -8,7 +8,9 @@ Points in columns never leave the JVM before their bytes are made; other geometr
 from __future__ import annotations
 
 import gzip
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +94,8 @@ class Layer:
             at = point_tiles(points, self.config.point_mode)
             parts.append(at.select("z", "x", "y", tm.in_tile_morton("lon", "lat", "z", "x", "y").alias("key"), "fid", tm.tile_px("lon", "z", "x").alias("px"), tm.tile_py("lat", "z", "y").alias("py"), F.lit(None).cast("binary").alias("shape"), "props", COUNT))
         if others is not None:
-            found = cut(blocks(others), self.config.simplification, ["props", COUNT])
+            # dealt anew, so that one task never cuts all blocks of a large geometry or of a small file
+            found = cut(blocks(others).repartition("fid", "z", "bx", "by"), self.config.simplification, ["props", COUNT])
             parts.append(found.select("z", "x", "y", centre_key(F.col("cx"), F.col("cy")).alias("key"), "fid", F.lit(None).cast("long").alias("px"), F.lit(None).cast("long").alias("py"), "shape", "props", COUNT))
         out = parts[0]
         for p in parts[1:]:
@@ -143,26 +146,33 @@ def encoded(rows: DataFrame, layers: list[Layer], config: TileConfig) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["z", "x", "y", "data"])
 
         for batch in batches:
-            zs, xs, ys, ls, _, fids, pxs, pys, shapes, counts = (batch.column(k).to_pylist() for k in range(10))
+            place = [batch.column(k).to_numpy() for k in range(4)]
+            n = batch.num_rows
+            if not n:
+                continue
+            # where the tile or the layer changes
+            turns = np.flatnonzero(np.logical_or.reduce([np.diff(p) != 0 for p in place])) + 1
+            fids, pxs, pys, shapes, counts = (batch.column(k).to_pylist() for k in range(5, 10))
             values = []
-            for k, (_, _, n, counted) in enumerate(named):
+            for k, (_, _, m, counted) in enumerate(named):
                 props = batch.column(10 + k)
-                fields = [f.to_pylist() for f in props.flatten()[:n]] if n else []
+                fields = [f.to_pylist() for f in props.flatten()[:m]] if m and props.null_count < n else []
                 if counted:
                     fields.append(counts)
-                values.append(list(zip(*fields)) if fields else [()] * batch.num_rows)
-            for i in range(batch.num_rows):
-                at = (zs[i], xs[i], ys[i])
+                values.append(fields)
+            for a, b in zip([0, *turns.tolist()], [*turns.tolist(), n]):
+                at, k = tuple(int(p[a]) for p in place[:3]), int(place[3][a])
                 if at != tile:
                     close()
                     tile, held = at, [[] for _ in named]
                     if len(done) >= 256:
                         yield flushed()
                         done.clear()
-                k = ls[i]
-                g = (1, [[[(pxs[i], pys[i])]]]) if shapes[i] is None else from_wkb(shapes[i])
-                if g is not None:
-                    held[k].append((fids[i], g, values[k][i]))
+                rows = zip(*(f[a:b] for f in values[k])) if values[k] else repeat((), b - a)
+                for fid, x, y, shape, props in zip(fids[a:b], pxs[a:b], pys[a:b], shapes[a:b], rows):
+                    g = (1, [[[(x, y)]]]) if shape is None else from_wkb(shape)
+                    if g is not None:
+                        held[k].append((fid, g, props))
         close()
         yield flushed()
 

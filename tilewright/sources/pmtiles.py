@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tilewright.operators.encode import read_varint, varint
 
@@ -90,14 +90,14 @@ class Part(WriterCommitMessage):
     contents: int
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     def __init__(self, options):
         self.path = options["path"].removeprefix("file:")
         self.info = json.loads(options.get("info", "{}"))
         self.overwrite = options.get("replace", "false") == "true"
         self.parts = self.path + ".parts"
 
-    def write(self, rows):
+    def write(self, batches):
         import uuid
 
         os.makedirs(self.parts, exist_ok=True)
@@ -106,8 +106,7 @@ class Writer(DataSourceWriter):
         first, last = None, None
         seen: dict[bytes, tuple[int, int]] = {}
         with open(f"{self.parts}/{name}.data", "wb") as data, open(f"{self.parts}/{name}.entries", "wb") as index:
-            for row in rows:
-                tile, body = int(row["tile_id"]), bytes(row["data"])
+            for tile, body in (pair for b in batches for pair in zip(b.column("tile_id").to_pylist(), b.column("data").to_pylist())):
                 tiles += 1
                 first = tile if first is None else first
                 if body in seen:
