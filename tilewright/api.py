@@ -57,7 +57,7 @@ def tile(layers, output, *, layer_name: str | None = None, overwrite: bool = Tru
 
 
 def tile_file(spark: SparkSession, path, output, *, engine: str = "auto", source_crs: str | None = None, layer_name: str | None = None, **settings) -> str:
-    """A spatial file as an archive. ``engine``: ``auto`` (by suffix), ``geoparquet`` or ``geojson``."""
+    """A spatial file as an archive. ``engine``: ``auto`` (by suffix), ``geoparquet``, ``geojson``, ``gpkg`` or ``shapefile``."""
     df, geometry, crs = read_features(spark, str(path), engine, source_crs)
     return tile(LayerSpec(df, geometry=geometry, crs=crs), output, layer_name=layer_name or Path(str(output)).stem, **settings)
 

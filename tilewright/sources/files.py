@@ -1,4 +1,4 @@
-"""Spatial files as tables: GeoParquet and GeoJSON (a collection, or one feature a line)."""
+"""Spatial files as tables: GeoParquet, GeoJSON (a collection, or one feature a line), GeoPackage and Shapefile."""
 
 from __future__ import annotations
 
@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import from_geojson, to_wkb
+from tilewright.sources.legacy import GeoPackage, Shapefile, gpkg_layer, shapefile_crs
 
 PARQUET, GEOJSON, LINES = (".parquet", ".geoparquet"), (".geojson", ".json"), (".geojsonl", ".ndjson", ".geojsonseq")
-ENGINES = ("auto", "geoparquet", "geojson")
+PACKAGES, SHAPES = (".gpkg",), (".shp",)
+ENGINES = ("auto", "geoparquet", "geojson", "gpkg", "shapefile")
 
 
 class _HadoopFile(io.RawIOBase):
@@ -107,13 +109,21 @@ def read_features(spark: SparkSession, path: str, engine: str = "auto", source_c
         raise ValueError(f"engine must be one of {ENGINES}, not {engine!r}")
     low = path.lower().rstrip("/")
     if engine == "auto":
-        engine = "geoparquet" if low.endswith(PARQUET) else "geojson" if low.endswith(GEOJSON + LINES) else None
+        known = (("geoparquet", PARQUET), ("geojson", GEOJSON + LINES), ("gpkg", PACKAGES), ("shapefile", SHAPES))
+        engine = next((name for name, suffixes in known if low.endswith(suffixes)), None)
         if engine is None:
-            raise ValueError(f"no reader for {path}; known: {', '.join(PARQUET + GEOJSON + LINES)}")
+            raise ValueError(f"no reader for {path}; known: {', '.join(PARQUET + GEOJSON + LINES + PACKAGES + SHAPES)}")
     if engine == "geoparquet":
         column, crs = geoparquet_geometry(spark, path)
         return spark.read.parquet(path), column, source_crs or crs
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
         raise FileNotFoundError(path)
+    if engine == "gpkg":
+        spark.dataSource.register(GeoPackage)
+        _, column, code, _ = gpkg_layer(path, None)
+        return spark.read.format("gpkg").load(path), column, source_crs or f"EPSG:{code}"
+    if engine == "shapefile":
+        spark.dataSource.register(Shapefile)
+        return spark.read.format("shapefile").load(path), "geometry", source_crs or shapefile_crs(path)
     return read_geojson(spark, path, low.endswith(LINES)), "geometry", source_crs or "EPSG:4326"
