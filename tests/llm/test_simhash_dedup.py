@@ -110,7 +110,9 @@ def test_long_text_in_pieces():
     assert m.fingerprint(text) & (1 << 64) - 1 == sum(1 << b for b in range(64) if bits[b])
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("copies", [1, 2, 1_000_000])
+def test_odd_rows(spark, monkeypatch, copies):
+    monkeypatch.setattr(m, "COPIES", copies)
     docs = odd_documents(spark)
     found = m.cluster(docs).collect()
     want = [(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()]

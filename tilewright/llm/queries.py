@@ -9,6 +9,7 @@ from tilewright.llm.decontaminate import op2_decontaminate
 from tilewright.llm.html_text import op5_html_text
 from tilewright.llm.language_id import op3_language_id
 from tilewright.llm.mixing import op7_mixing
+from tilewright.llm.revisits import ORACLE_SQL as REVISIT_SQL
 from tilewright.llm.revisits import op6_warc_revisits
 from tilewright.llm.secrets import op10_secret_scan
 from tilewright.llm.simhash_dedup import op8_simhash_dedup
@@ -29,6 +30,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op9_chat_format": CHAT_SQL}
+ORACLES: dict[str, str] = {"op6_warc_revisits": REVISIT_SQL, "op9_chat_format": CHAT_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -132,3 +132,32 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = resolve(captures_of_pages(pages))
     return found.select("capture_id", "canonical", "time", "status", "source_id", "source_time", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("headers")))).alias("headers"))
+
+
+_CANONICAL = r"""
+  SELECT *, regexp_replace(regexp_replace(front, '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
+    || regexp_replace(split_part(rest, '?', 1), '/+$', '')
+    || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END AS canonical
+  FROM (SELECT *, list_filter(string_split(CASE WHEN contains(rest, '?') THEN substr(rest, strpos(rest, '?') + 1) ELSE '' END, '&'),
+        lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|ref|sessionid|sid)(=|$)')) AS kept
+    FROM (SELECT *, substr(bare, length(front) + 1) AS rest
+      FROM (SELECT *, lower(regexp_extract(bare, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*)', 1)) AS front
+        FROM (SELECT *, regexp_replace(coalesce(url, ''), '#.*$', '', 's') AS bare FROM pages) a) b) c) d
+"""
+
+#: The same in SQL: pages as an archive, then an as-of join.
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, canonical, substr(sha256(coalesce(html, '')), 1, 16) AS digest, coalesce(strlen(html), 0) AS length, page_id % 16 AS kind FROM ({_CANONICAL}) u),
+f AS (SELECT page_id * 2 AS capture_id, canonical, page_id * 3 AS time, '"' || digest || '"' AS etag, length FROM p WHERE page_id % 32 <> 31),
+r AS (SELECT page_id * 2 + 1 AS capture_id, page_id, canonical, (page_id + 40) * 3 + 1 AS time,
+    CASE WHEN kind = 3 THEN '"other"' WHEN kind = 7 THEN NULL ELSE '"' || digest || '"' END AS etag FROM p),
+j AS (SELECT r.*, f.capture_id AS fid, f.time AS ftime, f.etag AS fetag, f.length AS flength,
+    row_number() OVER (PARTITION BY r.capture_id ORDER BY f.time DESC, f.capture_id DESC) AS k
+  FROM r LEFT JOIN f ON f.canonical = r.canonical AND f.time <= r.time),
+s AS (SELECT *, CASE WHEN fid IS NULL THEN 'orphan' WHEN etag IS NOT NULL THEN CASE WHEN etag = fetag THEN 'resolved' ELSE 'mismatch' END
+    WHEN page_id = fid // 2 THEN 'resolved' ELSE 'mismatch' END AS status,
+    strftime(epoch_ms(time * 3600000), '%Y-%m-%d %H:%M:%S') AS day FROM j WHERE k = 1)
+SELECT capture_id, canonical, time, status, CASE WHEN status = 'resolved' THEN fid END AS source_id, CASE WHEN status = 'resolved' THEN ftime END AS source_time,
+  CASE WHEN status = 'resolved' THEN '{{"content-length":"' || flength || '","content-type":"text/html","date":"' || day || '"}}' ELSE '{{"content-length":"0","date":"' || day || '"}}' END AS headers
+FROM s
+"""

@@ -34,6 +34,8 @@ RADIUS = 2
 SHINGLE = 3
 #: Fingerprints of one key that are compared in one piece; larger keys are dealt again.
 BUCKET = 16384
+#: Rows of equal fingerprints that one task hands their component.
+COPIES = 1_000_000
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
@@ -179,15 +181,20 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def cluster(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)`` of each row of ``docs(doc_id, text)``."""
     fps = saved(fingerprints(docs))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     edges = saved(links(distinct.select("fp")))
     joined = components(edges)
     member = joined.withColumnRenamed("node", "fp").join(distinct, "fp")
     least = member.groupBy("root").agg(F.min("least").alias("component"))
     moved = saved(member.join(least, "root").select("fp", "component"))
     forget(edges)
-    own = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return fps.join(own, "fp").select("doc_id", "fp", "component_id")
+    own = distinct.join(moved, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"))
+    # groups of copies of more than COPIES rows are dealt to several tasks; there are fewer than rows / COPIES of them
+    hot = distinct.where(F.col("n") > COPIES).select("fp", F.ceil(F.col("n") / COPIES).alias("shares"))
+    share = F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1)))
+    dealt = fps.join(F.broadcast(hot), "fp", "left").select("doc_id", "fp", share.alias("share"))
+    shares = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / COPIES) - 1)
+    return dealt.join(own.withColumn("share", F.explode(shares)), ["fp", "share"]).select("doc_id", "fp", "component_id")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
