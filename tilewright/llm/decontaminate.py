@@ -11,7 +11,7 @@ An item of m words is compared with every window of m words (the whole text, if
 3. Candidates are verified: weighted Jaccard similarity of the shingles, at least ``SIMILARITY``.
 
 Words are runs of letters, digits and underscores in lower case. Items of fewer than five words have one shingle,
-the whole item. The benchmark is sent to the workers in slices of at most ``SLICE`` items: a larger one takes further
+the whole item. The benchmark is sent to the workers in slices of about ``SLICE`` items and ``SLICE_BYTES`` bytes at most: a larger one takes further
 passes over the documents, so that the broadcast has a fixed bound. A text is read as a whole and in one pass,
 and no rows are shuffled but the few findings.
 
@@ -36,7 +36,8 @@ from tilewright.llm.common import arrow_map, table
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 23
-SLICE = 20_000
+#: Items, and bytes of their texts, that are sent to the workers at once, about.
+SLICE, SLICE_BYTES = 20_000, 32 << 20
 WORDS = re.compile(r"\w+")
 #: Byte values that differ from 0 in at most RADIUS // 8 bits.
 NEAR = [v for v in range(256) if v.bit_count() <= RADIUS // 8]
@@ -152,15 +153,20 @@ class Index:
         return best
 
 
+def slices(benchmark: DataFrame, slice_items: int) -> list[DataFrame]:
+    """``(item_id, text)`` of the benchmark in pieces of bounded size, by a hash."""
+    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(-(-size["n"] // slice_items), -(-size["bytes"] // SLICE_BYTES))
+    return [wanted] if passes == 1 else [wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p) for p in range(passes)]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, slice_items: int = SLICE) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_words)`` of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
-    passes = -(-wanted.count() // slice_items)
     found = spark.createDataFrame([], schema)
-    for p in range(passes):
-        own = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
+    for own in slices(benchmark, slice_items):
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])
 
         def run(batches, shared=shared):
@@ -181,11 +187,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, slice_items: int = SLICE)
     """``docs`` without those that hold an item; columns stay as they are. One map over the rows:
     nothing is shuffled and ids need not be unique."""
     spark = docs.sparkSession
-    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    passes = -(-wanted.count() // slice_items)
     at = docs.columns.index("text")
-    for p in range(passes):
-        own = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
+    for own in slices(benchmark, slice_items):
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])
 
         def run(batches, shared=shared):
