@@ -38,7 +38,7 @@ def tile(layers, output, *, layer_name: str | None = None, overwrite: bool = Tru
         raise FileExistsError(f"{output} exists; pass overwrite=True to replace it")
     specs = with_defaults(layers, config, layer_name, Path(output).stem)
     tiles, info = pyramid(specs, config)
-    spark = specs[0].df.sparkSession
+    spark, tables = specs[0].df.sparkSession, info.pop("tables")
     spark.dataSource.register(PMTiles)
     # ranges are found by sampling ids: over a written table that reads one column, and no tile is encoded twice
     spool = saved(tiles.select("tile_id", "data"))
@@ -50,7 +50,7 @@ def tile(layers, output, *, layer_name: str | None = None, overwrite: bool = Tru
             raise ValueError("No tiles generated") from failed
         raise
     finally:
-        forget(spool)
+        forget(spool, *tables)
     if not quiet:
         log.info("%s: %s tiles, %s bytes", output, pmtiles_metadata(output)["num_tiles"], os.path.getsize(output))
     return output

@@ -23,6 +23,7 @@ from tilewright.operators.coalesce import coalesce
 from tilewright.operators.cut import blocks, centre_key, cut, described, is_point
 from tilewright.operators.encode import encode_mlt, encode_mvt
 from tilewright.plans.model import LayerSpec, TileConfig, normalised
+from tilewright.plans.store import saved
 
 COUNT = "point_count"
 KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
@@ -39,7 +40,8 @@ class Layer:
             point = rows.select("fid", "lon", "lat", "props")
             self.rows = point.select("fid", F.lit(None).cast("binary").alias("wkb"), "props", F.lit(POINT).alias("kind"), F.col("lon").alias("west"), F.col("lat").alias("south"), F.col("lon").alias("east"), F.col("lat").alias("north"), "lon", "lat")
         else:
-            self.rows = described(rows, spec.crs or "EPSG:4326")
+            # geometry is decoded once; statistics, ranks and tiles read the columns that they need
+            self.rows = saved(described(rows, spec.crs or "EPSG:4326"))
         dots = is_point(F.col("kind"))
         s = self.rows.agg(
             F.count(F.lit(1)).alias("n"), F.count_if(dots).alias("points"), F.count_if(F.col("kind") == POINT).alias("single"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"),
@@ -180,7 +182,8 @@ def encoded(rows: DataFrame, layers: list[Layer], config: TileConfig) -> DataFra
 
 
 def pyramid(specs: list[LayerSpec], config: TileConfig) -> tuple[DataFrame, dict]:
-    """Tiles ``(z, x, y, tile_id, data)`` and what the archive says of them. Statistics run at once, the rest is lazy."""
+    """Tiles ``(z, x, y, tile_id, data)`` and what the archive says of them. Statistics run at once, the rest is lazy. ``tables`` in the second are
+    written tables that the plan reads."""
     layers = [Layer(s, config) for s in specs]
     there = [layer for layer in layers if layer.stats["n"]]
     if not there:
@@ -189,6 +192,7 @@ def pyramid(specs: list[LayerSpec], config: TileConfig) -> tuple[DataFrame, dict
     tiles = tiles.withColumn("tile_id", tm.hilbert_id("z", "x", "y"))
     bounds = [f(layer.stats[c] for layer in there) for f, c in ((min, "west"), (min, "south"), (max, "east"), (max, "north"))]
     info = {
+        "tables": [layer.rows for layer in layers],
         "tile_format": config.tile_format,
         "min_zoom": min(layer.spec.min_zoom for layer in layers),
         "max_zoom": max(layer.spec.max_zoom for layer in layers),
