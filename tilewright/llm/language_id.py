@@ -136,10 +136,8 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, dimensions: int = DIMEN
     total = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not total:
         return [], np.zeros((0, dimensions))
-    keep = None
-    for lang, n in sorted(total.items()):
-        of = (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // per_lang)))) == 0)
-        keep = of if keep is None else keep | of
+    every = F.create_map(*[x for lang, n in sorted(total.items()) for x in (F.lit(lang), F.lit(max(1, -(-n // per_lang))))])
+    keep = F.pmod(F.xxhash64("doc_id"), F.element_at(every, F.col("lang"))) == 0
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
