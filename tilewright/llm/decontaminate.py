@@ -2,7 +2,7 @@
 
 An item of m words is compared with every window of m words (the whole text, if shorter):
 
-1. Only windows in which eight ninths of the shingles occur in some item can reach a similarity of
+1. Only windows in which eight ninths of the shingles occur in some item of that size can reach a similarity of
    0.8; a running count over the text finds them without loss (two multisets of n shingles each, of
    which s are shared, have similarity s / (2n - s)).
 2. Such a window gets a SimHash of its five-word shingles. The 64 bits are cut into eight bytes;
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +79,11 @@ class Index:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
             ids = np.array([self.vocabulary[w] for w in words], np.uint64)
-            grams.setdefault(k, []).append(self.rolled(ids, k))
+            for h in self.rolled(ids, k).tolist():
+                grams.setdefault(k, {}).setdefault(h, set()).add(len(words))
             self.by_size.setdefault(len(words), []).append(at)
-        self.grams = {k: np.unique(np.concatenate(v)) for k, v in grams.items()}
+        # shingle hashes, sorted, and the sizes of the items that each occurs in
+        self.grams = {k: (np.array(sorted(v), np.uint64), [sorted(v[h]) for h in sorted(v)]) for k, v in grams.items()}
         self.tables = {}
         for size, members in self.by_size.items():
             tables = [{} for _ in range(8)]
@@ -114,34 +117,35 @@ class Index:
         if not n:
             return {}
         known = self.vocabulary.get
-        ids = np.array([known(w, 0) for w in words], np.uint64)
-        sums = {}
-        for k, grams in self.grams.items():
+        ids = np.fromiter(map(known, words, repeat(0)), np.uint64, n)
+        hits: dict[int, list[int]] = {}  # by item size, the places of shingles of such items
+        for k, (grams, sizes) in self.grams.items():
             if n < k:
                 continue
-            hit = np.zeros(n - k + 1, bool)
             inside = ids != 0
             whole = inside[: n - k + 1].copy()
             for i in range(1, k):
                 whole &= inside[i : n - k + 1 + i]
             at = np.flatnonzero(whole)
-            if len(at):
-                hashed = self.rolled(ids, k)[at]
-                place = np.minimum(np.searchsorted(grams, hashed), len(grams) - 1)
-                hit[at] = grams[place] == hashed
-            if hit.any():
-                sums[k] = np.concatenate([[0], np.cumsum(hit)])
+            if not len(at):
+                continue
+            hashed = self.rolled(ids, k)[at]
+            place = np.minimum(np.searchsorted(grams, hashed), len(grams) - 1)
+            same = grams[place] == hashed
+            for spot, gram in zip(at[same].tolist(), place[same].tolist()):
+                for size in sizes[gram]:
+                    hits.setdefault(size, []).append(spot)
         best: dict[int, tuple[float, int, int]] = {}
-        for size, members in self.by_size.items() if sums else ():
+        for size, spots in hits.items():
             k = min(SHINGLE, size)
-            if k not in sums or n < k:
-                continue
-            cum, span = sums[k], min(size, n) - k + 1
-            t = self.threshold
+            span, t = min(size, n) - k + 1, self.threshold
             # s shared of `span` and `size - k + 1` shingles: s / (span + items' - s) >= t
             need = int(np.ceil(t * (span + size - k + 1) / (1 + t) - 1e-9))
-            if cum[-1] < need:
+            if len(spots) < need:
                 continue
+            hit = np.zeros(n - k + 2, np.int64)
+            hit[np.array(spots) + 1] = 1
+            cum = np.cumsum(hit)
             for start in np.flatnonzero(cum[span:] - cum[:-span] >= need).tolist():
                 own = shingles(words[start : start + min(size, n)], k)
                 counted = None
