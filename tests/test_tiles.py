@@ -242,3 +242,21 @@ def test_config_defaults():
     assert TileConfig(max_zoom=9, cluster_distance=5.0).clusters_to == 8 and TileConfig().clusters_to is None
     assert not TileConfig(drop_rate=-1.0).thins and api.STREAMING == ("auto", "always", "never")
     assert os.path.basename(__file__) == "test_tiles.py"
+
+
+@pytest.mark.parametrize("more", [{}, {"drop_rate": 2.0}, {"cluster_distance": 50.0}, {"coalesce": True}])
+def test_without_ids(spark, points, tmp_path, more):
+    found = decoded(spark, tile(dots(points), tmp_path / "n.pmtiles", generate_ids=False, max_zoom=3, layer_name="p", point_mode="exact", **more))
+    assert all(f["id"] is None for t in found.values() for f in t["p"])
+    assert sum(f["properties"].get("point_count", 1) for k, t in found.items() if k[0] == 3 for f in t["p"]) == 50
+
+
+def test_archive_sizes_as_the_settings_say(spark, points, boxes, tmp_path):
+    """Relations that hold between settings: thinning and merging do not enlarge, columns beat rows on polygons."""
+    size = lambda layers, **kw: os.path.getsize(tile(layers, tmp_path / "z.pmtiles", layer_name="l", **kw))
+    many = boxes.selectExpr("explode(sequence(1, 40)) AS n", "name", "value", "geometry")
+    assert size(many, tile_format="mlt", max_zoom=4) < size(many, max_zoom=4)
+    assert size(dots(points), max_zoom=6, drop_rate=2.5) <= size(dots(points), max_zoom=6)
+    assert size(dots(points), max_zoom=6, drop_rate=2.5, base_zoom=4) >= size(dots(points), max_zoom=6, drop_rate=2.5)
+    assert size(many, max_zoom=4, coalesce=True) <= 1.05 * size(many, max_zoom=4)
+    assert size(many, max_zoom=4, coalesce=True, drop_rate=2.0, cluster_distance=30.0) > 0

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import atan, degrees, pi, sinh
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import POINT, bbox, from_wkb, mercator, to_wkb, transform, web_mercator_to_degrees
-from tilewright.functions.tilemath import BUFFER, EXTENT, LAT_BUFFERED, buffered_range
+from tilewright.functions.tilemath import BUFFER, EXTENT, LAT_BUFFERED, buffered_range, clamped, morton
 from tilewright.operators.clip import clip
 from tilewright.operators.simplify import simplify_lines, snap
 
@@ -53,11 +53,13 @@ def blocks(df: DataFrame) -> DataFrame:
 
 
 def _north(y: int, n: int) -> float:
-    from math import atan, degrees, sinh
-
     return degrees(atan(sinh(pi - 2 * pi * y / n)))
 
 
+def _latitude(y: float, high: float, low: float) -> float:
+    return degrees(atan(sinh(high - y / EXTENT * (high - low))))
+
+
 def _column_of(lon: float, n: int) -> int:
     return min(max(int((lon + 180.0) / 360.0 * n // 1), 0), n - 1)
 
@@ -94,8 +96,9 @@ def tiles_of(g, z: int, bx: int, by: int, simplify: bool):
             inside = transform(piece, lambda lon, lat: ((lon - left) / (right - left) * EXTENT, (high - mercator(lat)) / (high - low) * EXTENT))
             if simplify:
                 inside = snap(inside)
-            a, b, c, d = bbox(piece)
-            yield x, y, inside, ((a + c) / 2 - left) / (right - left), (high - mercator((b + d) / 2)) / (high - low)
+            a, b, c, d = bbox(inside)
+            middle = (_latitude(b, high, low) + _latitude(d, high, low)) / 2
+            yield x, y, inside, (a + c) / 2 / EXTENT, (high - mercator(middle)) / (high - low)
 
 
 def cut(df: DataFrame, simplify: bool, others: list[str]) -> DataFrame:
@@ -129,8 +132,6 @@ def cut(df: DataFrame, simplify: bool, others: list[str]) -> DataFrame:
 
 
 def centre_key(cx: Column, cy: Column) -> Column:
-    from tilewright.functions.tilemath import clamped, morton
-
     return morton(clamped(cx * 65535.0, 0.0, 65535.0).cast("long"), clamped(cy * 65535.0, 0.0, 65535.0).cast("long"))
 
 

@@ -123,8 +123,9 @@ def normalised(spec: LayerSpec, config: TileConfig) -> tuple[DataFrame, list[str
     if spec.id and spec.id not in df.columns:
         raise ValueError(f"layer {spec.name!r} has no id column {spec.id!r}")
     there = (x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)) | wkb.isNotNull()
-    rows = df if spec.id or not config.generate_ids else row_numbers(df, "__id")
-    fid = F.col(spec.id).cast("long") if spec.id else F.col("__id") if config.generate_ids else F.lit(None).cast("long")
+    # without ids of their own, rows are numbered even if the numbers are not written: they order features and join clusters
+    rows = df if spec.id else row_numbers(df, "__id")
+    fid = F.col(spec.id if spec.id else "__id").cast("long")
     props = F.struct(*[property_column(f).alias(f.name) for f in fields]) if fields else F.struct(F.lit(None).cast("string").alias("__none"))
     return rows.where(there).select(fid.alias("fid"), x.alias("lon"), y.alias("lat"), wkb.alias("wkb"), props.alias("props")), [f.name for f in fields]
 

@@ -45,7 +45,7 @@ class Layer:
         dots = is_point(F.col("kind"))
         s = self.rows.agg(
             F.count(F.lit(1)).alias("n"), F.count_if(dots).alias("points"), F.count_if(F.col("kind") == POINT).alias("single"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"),
-            F.min_by("kind", "fid").alias("kind") if config.generate_ids or spec.id else F.min("kind").alias("kind"),
+            F.min_by("kind", "fid").alias("kind"),
         ).first()
         self.stats = s
         self.all_points = s["n"] > 0 and s["n"] == s["points"]
@@ -94,7 +94,10 @@ class Layer:
         parts = []
         if points is not None:
             at = point_tiles(points, self.config.point_mode)
-            parts.append(at.select("z", "x", "y", tm.in_tile_morton("lon", "lat", "z", "x", "y").alias("key"), "fid", tm.tile_px("lon", "z", "x").alias("px"), tm.tile_py("lat", "z", "y").alias("py"), F.lit(None).cast("binary").alias("shape"), "props", COUNT))
+            px, py = tm.tile_px("lon", "z", "x"), tm.tile_py("lat", "z", "y")
+            snapped = self.config.point_mode == "buffered" and self.config.simplification
+            key = centre_key(px / tm.EXTENT, py / tm.EXTENT) if snapped else tm.in_tile_morton("lon", "lat", "z", "x", "y")
+            parts.append(at.select("z", "x", "y", key.alias("key"), "fid", px.alias("px"), py.alias("py"), F.lit(None).cast("binary").alias("shape"), "props", COUNT))
         if others is not None:
             # dealt anew, so that one task never cuts all blocks of a large geometry or of a small file
             found = cut(blocks(others).repartition("fid", "z", "bx", "by"), self.config.simplification, ["props", COUNT])
@@ -129,6 +132,7 @@ def encoded(rows: DataFrame, layers: list[Layer], config: TileConfig) -> DataFra
     columns = ["z", "x", "y", "layer", "key", "fid", "px", "py", "shape", "point_count", *[f"props{k}" for k in range(len(layers))]]
     dealt = rows.select(*columns).repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "layer", "key", "fid")
     named = [(layer.spec.name, layer.field_names(), len(layer.names), layer.clusters_to is not None) for layer in layers]
+    shown = [bool(layer.spec.id) or config.generate_ids for layer in layers]
     make = encode_mvt if config.tile_format == "mvt" else encode_mlt
     merges = config.coalesce
 
@@ -174,7 +178,7 @@ def encoded(rows: DataFrame, layers: list[Layer], config: TileConfig) -> DataFra
                 for fid, x, y, shape, props in zip(fids[a:b], pxs[a:b], pys[a:b], shapes[a:b], rows):
                     g = (1, [[[(x, y)]]]) if shape is None else from_wkb(shape)
                     if g is not None:
-                        held[k].append((fid, g, props))
+                        held[k].append((fid if shown[k] else None, g, props))
         close()
         yield flushed()
 
