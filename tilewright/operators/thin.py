@@ -12,13 +12,18 @@ from tilewright.functions.tilemath import keeps_even_rank, keeps_integer_rule, l
 PIECE, PIECES = 50_000, 10_000
 
 
+def constant_array(values: list[int]) -> Column:
+    """Whole numbers as a constant, folded once when the plan is made."""
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")
+
+
 def with_piece(df: DataFrame, key: str, n: int, piece: int = PIECE) -> DataFrame:
     """``df`` with ``__piece``, which never falls as ``key`` grows: bisection over approximate quantiles in a constant array."""
     wanted = max(1, min(PIECES, n // piece))
     cuts = sorted(set(df.agg(F.percentile_approx(key, [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0] or [])) if wanted > 1 else []
     df = df.withColumn("__piece", F.lit(0))
     step = 1 << (len(cuts).bit_length() - 1) if cuts else 0
-    bounds = F.array(*map(F.lit, cuts)) if cuts and len(cuts) < 64 else F.split(F.lit(" ".join(map(str, cuts))), " ").cast("array<bigint>")
+    bounds = constant_array(cuts)
     while step:
         ahead = F.col("__piece") + step
         df = df.withColumn("__piece", F.when((ahead <= len(cuts)) & (F.get(bounds, ahead - 1) <= F.col(key)), ahead).otherwise(F.col("__piece")))
@@ -30,11 +35,14 @@ def morton_ranks(points: DataFrame, n: int, piece: int = PIECE) -> DataFrame:
     """``points(fid, lon, lat, …)`` with ``morton`` and its 0-based ``rank`` by (morton, fid). Exact, without a window over all rows: pieces of the
     curve are ranked apart and shifted by the counts of the pieces before."""
     df = with_piece(points.withColumn("morton", layer_morton("lon", "lat")), "morton", n, piece)
-    counts = df.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n"))
-    starts = counts.select("__piece", (F.sum("__n").over(W.orderBy("__piece")) - F.col("__n")).alias("__start"))
+    # at most PIECES numbers come to the driver and go back as a constant array
+    counts = {r["__piece"]: r["count"] for r in df.groupBy("__piece").count().collect()}
+    starts, before = [], 0
+    for k in range(max(counts, default=0) + 1):
+        starts.append(before)
+        before += counts.get(k, 0)
     local = F.row_number().over(W.partitionBy("__piece").orderBy("morton", "fid")) - 1
-    ranked = df.withColumn("__local", local)
-    return ranked.join(F.broadcast(starts), "__piece").withColumn("rank", (F.col("__start") + F.col("__local")).cast("long")).drop("__piece", "__local", "__start")
+    return df.withColumn("__local", local).withColumn("rank", (F.get(constant_array(starts), F.col("__piece")) + F.col("__local")).cast("long")).drop("__piece", "__local")
 
 
 def keeps_point(rule: str, rank: Column, n: int, rate: float, base: int, z: Column) -> Column:
