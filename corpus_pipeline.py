@@ -17,8 +17,9 @@ LEAST_SCORE = 0.02
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in none of the learned languages go: no letters, or a profile like no prototype."""
-    found = predict(docs, learn(docs))
-    return found.where(f"lang_pred <> '{UNKNOWN}' and score >= {LEAST_SCORE}").select(*docs.columns)
+    own = {c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns}  # kept aside from the prediction
+    found = predict(docs.withColumnsRenamed(own), learn(docs)).where(f"lang_pred <> '{UNKNOWN}' and score >= {LEAST_SCORE}")
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
