@@ -241,7 +241,6 @@ def test_numbers_follow_the_scan(spark):
 def test_config_defaults():
     assert TileConfig(max_zoom=9, cluster_distance=5.0).clusters_to == 8 and TileConfig().clusters_to is None
     assert not TileConfig(drop_rate=-1.0).thins and api.STREAMING == ("auto", "always", "never")
-    assert os.path.basename(__file__) == "test_tiles.py"
 
 
 @pytest.mark.parametrize("more", [{}, {"drop_rate": 2.0}, {"cluster_distance": 50.0}, {"coalesce": True}])

@@ -98,12 +98,6 @@ def _py(lat: str, z, y: str) -> str:
     return f"CAST(round(({top} - {_merc(lat)}) / ({top} - {bottom}) * 4096.0) AS BIGINT)"
 
 
-def _spread(v: str) -> str:
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = f"((({v}) | (({v}) << {shift})) & {mask})" if len(v) < 40 else f"(SELECT (s | (s << {shift})) & {mask} FROM (SELECT {v} AS s))"
-    return v
-
-
 _RANGES = f"""{_tx('greatest(lon - 18.0 / ' + _n('z') + ', -180.0)', 'z')} AS x0, {_tx('least(lon + 18.0 / ' + _n('z') + ', 180.0)', 'z')} AS x1,
   {_ty('least(lat + 18.0 / ' + _n('z') + ', 85.051)', 'z')} AS y0, {_ty('greatest(lat - 18.0 / ' + _n('z') + ', -85.051)', 'z')} AS y1"""
 _ZOOMS = "(SELECT unnest(range({a}, {b} + 1)) AS z) zooms"
@@ -370,7 +364,10 @@ def clip_boxes_rect(spark, sf_dir):
     return _z(at.select("fid", "z", "x", "y", micro(lon(b[0])).alias("west"), micro(lon(b[2])).alias("east"), micro(lat(b[3])).alias("south"), micro(lat(b[1])).alias("north")))
 
 
-@query(_with("geo_line_vertices") + "SELECT fid, count(*) AS n, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM geo_line_vertices GROUP BY fid HAVING count(*) >= 2")
+_BBOX_LINES = "SELECT fid, count(*) AS n, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM geo_line_vertices GROUP BY fid HAVING count(*) >= 2"
+
+
+@query(_with("geo_line_vertices") + _BBOX_LINES)
 def bbox_lines(spark, sf_dir):
     rows = view(spark, sf_dir, "geo_line_vertices")
     return rows.groupBy("fid").agg(F.count(F.lit(1)).alias("n"), F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north")).where("n >= 2")
@@ -379,7 +376,7 @@ def bbox_lines(spark, sf_dir):
 _LINE_RANGES = _BOX_RANGES.replace("xmin", "west").replace("xmax", "east").replace("ymin", "south").replace("ymax", "north")
 
 
-@query(_with("geo_line_vertices") + f"SELECT fid, z, (x1 - x0 + 1) * (y1 - y0 + 1) AS n_tiles FROM (SELECT fid, z, {_LINE_RANGES} FROM ({ORACLES['bbox_lines'].split(') SELECT', 1)[1].join(['SELECT', ''])}) b, {_ZOOMS.format(a=4, b=9)}) r")
+@query(_with("geo_line_vertices") + f"SELECT fid, z, (x1 - x0 + 1) * (y1 - y0 + 1) AS n_tiles FROM (SELECT fid, z, {_LINE_RANGES} FROM ({_BBOX_LINES}) b, {_ZOOMS.format(a=4, b=9)}) r")
 def lines_zoom_assign(spark, sf_dir):
     rows = _zoomed(bbox_lines(spark, sf_dir), 4, 9)
     x0, x1, y0, y1 = tm.buffered_range("west", "south", "east", "north", "z")
@@ -505,7 +502,7 @@ _SQL = """SELECT n_name, {x} AS x, {y} AS y, count(*) AS n, sum(CASE WHEN priori
 FROM geo_points JOIN orders ON o_orderkey = fid JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 1000 GROUP BY 1, 2, 3"""
 
 
-@query(_with("geo_points") + _SQL.format(x=_tx("lon", 2), y=_ty("lat", 2)).replace("AS urgent", "AS urgent").replace("sum(CASE", "sum(CASE").replace(" END)", " END)::BIGINT"))
+@query(_with("geo_points") + _SQL.format(x=_tx("lon", 2), y=_ty("lat", 2)).replace(" END)", " END)::BIGINT"))
 def sql_query_points(spark, sf_dir):
     """A join, a filter and an aggregate in SQL, with the tile math as SQL text."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation")}
