@@ -73,6 +73,18 @@ def test_shared_passage_is_met(spark):
     assert all(hashes(by[i]) & hashes(by[i + 1]) for i in range(0, 40, 2))
 
 
+def test_passage_of_59_code_points_is_met(spark):
+    """The guarantee as a fixed number, so that it cannot change with the window."""
+    rng = random.Random(48)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for i in range(0, 200, 2):
+        passage = word(59)
+        rows += [(i, word(300) + passage + word(300)), (i + 1, word(300) + passage + word(300))]
+    by = {r.doc_id: r.fingerprint for r in m.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(hashes(by[i]) & hashes(by[i + 1]) for i in range(0, 200, 2))
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     assert found(m.fingerprint_edits(docs)) == want([(r.doc_id, r.text) for r in docs.collect()])

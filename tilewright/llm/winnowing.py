@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import table, text_of
 
 GRAM = 12
-WINDOW = 64
+WINDOW = 48
 #: Windows that are looked at in one piece.
 PIECE = 256
 #: Rows in a bucket, about, and how many buckets there are at most: the bound of what is broadcast, a row of three numbers each.
