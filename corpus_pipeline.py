@@ -6,20 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm.common import saved, table
 from tilewright.llm.decontaminate import drop_leaks
-from tilewright.llm.language_id import UNKNOWN, learn, predict
+from tilewright.llm.language_id import alphabet, keep_known, learn, training
 from tilewright.llm.mixing import keep_mixed, quality_weights
 from tilewright.llm.secrets import mask_secrets
 from tilewright.llm.simhash_dedup import drop_copies
 
-#: Cosine under which a profile is like no prototype; even texts of a word or two reach it.
-LEAST_SCORE = 0.02
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the learned languages go: no letters, or a profile like no prototype."""
-    own = {c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns}  # kept aside from the prediction
-    found = predict(docs.withColumnsRenamed(own), learn(docs)).where(f"lang_pred <> '{UNKNOWN}' and score >= {LEAST_SCORE}")
-    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+    """Documents in none of the learned languages go: no letters, letters of another script, or a profile like no prototype."""
+    return keep_known(docs, learn(docs), alphabet(training(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

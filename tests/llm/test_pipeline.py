@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from tests.llm.helpers import no_documents, odd_documents
 from tilewright.llm import decontaminate, mixing, secrets
@@ -32,6 +34,29 @@ def test_stages_take_effect(spark, sf):
     assert abs(sum(r.taken for r in mixed.values()) - sum(sizes.values())) <= 50
 
 
+def test_foreign_texts_go(spark, sf):
+    """Unlearned scripts, other languages and letter junk go; every labelled document stays."""
+    rng = random.Random(7)
+    spans = {"cyrillic": (0x430, 0x450), "arabic": (0x627, 0x64A), "kana": (0x3041, 0x3090), "cjk": (0x4E00, 0x9FA5), "greek": (0x3B1, 0x3C9), "junk": (97, 123)}
+    texts = []
+    for name, (a, b) in spans.items():
+        for words in (60, 300, 3000) if name == "junk" else (1, 3, 8, 60, 300):
+            texts += [" ".join("".join(chr(rng.randrange(a, b)) for _ in range(rng.randrange(2, 9))) for _ in range(words)) for _ in range(20)]
+    texts += ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1000)) for _ in range(20)]
+    texts += [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由,在尊严和权利上一律平等。",
+    ]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    foreign = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(foreign, allowMissingColumns=True), sf)
+    ids = {r.doc_id for r in kept.collect()}
+    assert {r.doc_id for r in docs.where("lang is not null").collect()} <= ids
+    assert [texts[i - 10**9][:40] for i in sorted(ids) if i >= 10**9] == []
+
+
 def test_run_equals_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:

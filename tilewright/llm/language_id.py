@@ -18,6 +18,7 @@ rows; an empty table gives no rows; other columns are not read by ``predict``.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,12 @@ SYMBOLS = 64
 UNKNOWN = "und"
 #: Trigram vectors that a worker keeps; others are bound again when needed.
 KEPT = 16384
+#: Distinct trigrams from which a text needs a cosine of so many standard deviations of noise (1 / sqrt(dimensions)). A text of fewer
+#: trigrams than the last may miss every frequent one of its language. Texts of the tables' languages and random letters of
+#: as many trigrams lie on either side.
+FLOORS = ((400, 10.0), (64, 6.0), (24, 3.5))
+#: Share of a language's letters from which a letter counts as its own.
+RARE = 1e-4
 
 
 def _symbols() -> np.ndarray:
@@ -129,15 +136,22 @@ def _slices(batch):
         yield batch.slice(a, STEP)
 
 
-def train(labelled: DataFrame, per_lang: int = PER_LANG, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes from ``labelled(doc_id, text, lang)``. Sums meet by language and
-    dimension in a map-side combined group-by; the driver gets one vector a language."""
+def _sampled(labelled: DataFrame, per_lang: int):
+    """The labels in use, and the rows of ``labelled`` to learn from; None if there are none."""
     known = labelled.where("lang is not null")
     total = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not total:
-        return [], np.zeros((0, dimensions))
+        return [], None
     every = F.create_map(*[x for lang, n in sorted(total.items()) for x in (F.lit(lang), F.lit(max(1, -(-n // per_lang))))])
-    keep = F.pmod(F.xxhash64("doc_id"), F.element_at(every, F.col("lang"))) == 0
+    return sorted(total), known.where(F.pmod(F.xxhash64("doc_id"), F.element_at(every, F.col("lang"))) == 0)
+
+
+def train(labelled: DataFrame, per_lang: int = PER_LANG, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
+    """Languages and their prototypes from ``labelled(doc_id, text, lang)``. Sums meet by language and
+    dimension in a map-side combined group-by; the driver gets one vector a language."""
+    langs, sample = _sampled(labelled, per_lang)
+    if not langs:
+        return [], np.zeros((0, dimensions))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -150,8 +164,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, dimensions: int = DIMEN
             # in fixed point, so that the sum does not depend on the order of addition
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(np.round(row * 2**32).astype(np.int64))], ["lang", "at", "v"])
 
-    parts = arrow_map(known.where(keep).select(F.col("text").cast("string"), F.col("lang").cast("string")), run, "lang string, at int, v long")
-    langs = sorted(total)
+    parts = arrow_map(sample.select(F.col("text").cast("string"), F.col("lang").cast("string")), run, "lang string, at int, v long")
     out = np.zeros((len(langs), dimensions))
     for r in parts.groupBy("lang", "at").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("v")).collect():
         out[langs.index(r["lang"])] = [x["v"] for x in r["v"]]
@@ -185,13 +198,71 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return arrow_map(docs, run, schema)
 
 
+def letters_of(text: str | None) -> Counter:
+    return Counter({c: n for c, n in Counter((text or "").lower()).items() if c.isalpha()})
+
+
+def alphabet(labelled: DataFrame, per_lang: int = PER_LANG) -> frozenset[str]:
+    """The letters that make up at least ``RARE`` of some language's training texts."""
+    langs, sample = _sampled(labelled, per_lang)
+    if not langs:
+        return frozenset()
+
+    def run(batches):
+        sums: dict[str, Counter] = {}
+        for batch in batches:
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums.setdefault(lang, Counter()).update(letters_of(text))
+        rows = [(lang, c, n) for lang, own in sums.items() for c, n in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "letter", "n"])
+
+    parts = arrow_map(sample.select(F.col("text").cast("string"), F.col("lang").cast("string")), run, "lang string, letter string, n long")
+    found = [(r["lang"], r["letter"], r["n"]) for r in parts.groupBy("lang", "letter").agg(F.sum("n").alias("n")).collect()]
+    total = Counter()
+    for lang, _, n in found:
+        total[lang] += n
+    return frozenset(c for lang, c, n in found if n >= RARE * total[lang])
+
+
+def least_score(distinct: int, dimensions: int) -> float:
+    """The cosine that a text of so many distinct trigrams must reach: a multiple, by ``FLOORS``, of the noise of a chance cosine."""
+    return next((noise for least, noise in FLOORS if distinct >= least), 0.0) / dimensions**0.5
+
+
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], letters: frozenset[str]) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language: at least half of its letters are learned, and its profile is like
+    a prototype. Texts of too few trigrams to tell are judged by their letters alone. Texts without letters go."""
+    langs, prototypes = model
+    at = docs.columns.index("text")
+    dimensions = prototypes.shape[1]
+
+    def known(texts):
+        rows = _unit(profiles(dimensions).bundle(texts))
+        best = (rows @ prototypes.T).max(axis=1)
+        for text, score in zip(texts, best):
+            own = letters_of(text)
+            learned = sum(n for c, n in own.items() if c in letters)
+            yield learned > 0 and 2 * learned >= own.total() and score >= least_score(len(profiles(dimensions).counts(text)[0]), dimensions) or False
+
+    def run(batches):
+        for batch in batches:
+            kept = [k for part in _slices(batch) for k in known(part.column(at).to_pylist())] if langs else [False] * batch.num_rows
+            yield batch.filter(pa.array(map(bool, kept), pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
+
+
 def held_out():
     """Documents that training may not see."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def training(docs: DataFrame) -> DataFrame:
+    return docs.where(~held_out()).select("doc_id", "text", "lang")
+
+
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    return train(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return train(training(docs))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
