@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -96,6 +97,32 @@ def test_context_values():
     assert m.masked("token: " + "0123456789abcdef" * 2) == "[secret]"
 
 
+CONTEXTS = ["pwd: {}", "passphrase = {}", "bearer: {}", "credential => {}", "access_key: '{}'", "auth-key := {}", "my passcode is {} ok", "password is {}", "token => {}", "private key = {}"]
+
+
+@pytest.mark.parametrize("context", CONTEXTS)
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+def test_random_values_of_eight_characters(context, alphabet):
+    """Values of two to six digits. None without a chance word, date, repeat or keyboard walk is missed, and few of the rest."""
+    rng, missed, n = random.Random(context), [], 0
+    assert "xK9mQ2vL" not in m.masked(context.format("xK9mQ2vL"))
+    while n < 500:
+        value = "".join(rng.choice(alphabet) for _ in range(8))
+        if 2 <= sum(c.isdigit() for c in value) <= 6:
+            n += 1
+            if value in m.masked(context.format(value)):
+                missed.append(value)
+    low = [(v, v.lower(), v.lower().translate(m.LEET)) for v in missed]
+    walks = lambda v: any(m._beside(a, b) and m._beside(b, c) for a, b, c in zip(v, v[1:], v[2:]))
+    assert [v for v, w, x in low if not (walks(w) or m.DATE.search(v) or any(k in w or k in x for k in m.RANK) or re.search(r"(.)\1\1", v))] == []
+    assert len(missed) <= 25
+
+
+def test_weak_values_stay():
+    for value in ("Passw0rd1", "letmein123", "Dragon2020", "qwerty12345", "20240506", "48151623"):
+        assert m.find_spans(f"pwd => {value}") == [], value
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     assert m.scan(docs).count() == docs.count() and {r.spans for r in m.scan(docs).collect()} == {""}

@@ -3,7 +3,7 @@
 Base spans come from three patterns (``assign``, ``access``, ``hex``). The method adds spans of kind ``guess``:
 a value in a credential context (a key word, then ``:``, ``=``, ``=>`` or ``is``) is a secret if guessing it is
 dear enough. Its cost is the least sum, in bits, over all ways to cut it into dictionary words (rank, capitals, digits for letters),
-dates, repeats, keyboard walks and brute-force spans, found by dynamic programming in one pass over
+dates, repeats, keyboard walks and brute-force spans (over the kinds of characters that the value uses), found by dynamic programming in one pass over
 the value; each segment costs one bit more.
 
 Base spans always stay; a value that lies within a base span gives no span of its own. Positions are
@@ -76,13 +76,26 @@ def _capitals(word: str) -> float:
     return 0.0 if not upper else 1.0 if word[0].isupper() and upper == 1 or upper == len(word) else float(len(word))
 
 
+def alphabet_bits(value: str) -> float:
+    """Bits of a letter or digit of ``value`` when it is guessed over all the kinds (small, capital, digit) that the value uses:
+    which kind stands where has to be guessed too."""
+    plain = [c for c in value if c.isascii()]
+    size = 26 * any(c.islower() for c in plain) + 26 * any(c.isupper() for c in plain) + 10 * any(c.isdigit() for c in plain)
+    return log2(size) if size else 0.0
+
+
 @lru_cache(maxsize=50_000)
-def guess_bits(value: str) -> float:
-    """Bits of the cheapest way to guess ``value``; 0 for the empty value. Time grows in proportion to the length."""
+def guess_bits(value: str, least: float = 0.0) -> float:
+    """Bits of the cheapest way to guess ``value``; 0 for the empty value. Brute force costs ``least`` bits at least for a
+    letter or digit. Time grows in proportion to the length."""
     n = len(value)
+
+    def brute_bits(c: str) -> float:
+        return max(_brute(c), least) if c.isascii() and c.isalnum() else _brute(c)
+
     low, plain = value.lower(), value.lower().translate(LEET)
     if len(low) != n or len(plain) != n:  # lower case of another length: no words, walks or repeats are sought
-        return sum(map(_brute, value)) + 1
+        return sum(map(brute_bits, value)) + 1
     best = [0.0] + [float("inf")] * n  # cost of value[:i] whose last segment is closed
     brute = [float("inf")] * (n + 1)  # cost of value[:i] that ends within a brute-force span
     # extents of the repeat and of the keyboard walk that start at each place
@@ -100,7 +113,7 @@ def guess_bits(value: str) -> float:
     for i in range(n):
         here = best[i] + 1
         # brute force: a span is opened once, then grows by a character at a time
-        grown = min(here, brute[i]) + _brute(value[i])
+        grown = min(here, brute[i]) + brute_bits(value[i])
         if grown < brute[i + 1]:
             brute[i + 1] = grown
         offer(i + 1, brute[i + 1])
@@ -142,7 +155,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
             k = bisect_right(starts, a)
             if m.group(1)[0] in "iI" and value.isalpha():
                 continue  # prose: "the token is ..."
-            if len(value) >= SHORTEST and not (k and reach[k - 1] >= b) and guess_bits(value) >= BITS:
+            if len(value) >= SHORTEST and not (k and reach[k - 1] >= b) and guess_bits(value, alphabet_bits(value)) >= BITS:
                 added.append((a, 3, b))
         spans += added
     return sorted(spans)
