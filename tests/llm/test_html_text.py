@@ -30,6 +30,27 @@ def test_hostile_pages_end(page):
     assert isinstance(m.extract(page), str)
 
 
+SHOWN = [
+    ("<p>a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> b", "a x= 1 2 b"),
+    ("<svg><title>no</title><defs><text>no</text></defs><text>axis</text><text>tick</text><path d='M0 0'/></svg>", "axis tick"),
+    ("a<textarea>x &amp; y\n  z</textarea>b", "a\n\nx & y\n  z\n\nb"), ("<textarea hidden>no</textarea>yes", "yes"),
+    ("<select multiple><optgroup label=G><option>a<option>b</select>c", "G\na\nb\nc"), ("<select size=2><option>a<option>b</select>", "a\nb"),
+    ("<select><option>no<option selected>a</select>", "a"),
+    ("<style>@media print{.x{display:none}}</style><p class=x>a", "a"), ("<style media=print>.x{display:none}</style><p class=x>a", "a"),
+    ("<style>@media (max-width: 600px){.x{display:none}} .y{display:none}</style><p class=x>a<p class=y>no", "a"),
+    ("<style>@media screen and (min-width:40em){.x{display:none}}</style><p class=x>no</p>yes", "yes"),
+    ("<style>@media not print{.x{display:none}}</style><p class=x>no</p>yes", "yes"), ("<style>@media not screen, (width < 900px){.x{display:none}}</style><p class=x>a", "a"),
+    ("<style>@import 'a.css'; @charset 'x'; .x{display:none}</style><p class=x>no</p>yes", "yes"),
+    ("<style>@supports (display:grid){@media all{.x{display:none}}}</style><p class=x>no</p>yes", "yes"), ("<style>@keyframes k{from{display:none}}</style><from>a</from>", "a"),
+    ("<style>.a::after{content:'}'} .x{color:red;display:none</style><p class=x>no</p>yes", "yes"),
+]
+
+
+@pytest.mark.parametrize("page,want", SHOWN)
+def test_all_that_a_screen_shows(page, want):
+    assert m.extract(page) == want
+
+
 def test_deep_text_stays():
     assert m.extract("<div>" * 5000 + "deep" + "</div>" * 5000 + "end").split() == ["deep", "end"]
 

@@ -6,8 +6,10 @@ table cells in aligned columns.
 
 Implied tags: a block start closes an open ``p``; ``li``, ``dt``/``dd``, ``option``, ``tr``, ``td``/``th`` and table sections close their like; a cell outside
 a row opens one; void elements have no content; end tags without an open element are dropped; open elements end with the text.
-Not visible: head, script, style, template and their like; ``hidden``; ``type=hidden``; closed dialogs; inline or class/id/tag style rules with
-``display: none`` or ``visibility: hidden``.
+Not visible: head, script, style, template and their like; frames, embedded media, canvas and data lists; definitions and descriptions of drawings and
+annotations of formulas (the rest of svg and math is text); options of a drop-down that are not marked as selected (lists show all); ``hidden``; ``type=hidden``; closed dialogs; inline or class/id/tag style rules with
+``display: none`` or ``visibility: hidden``, in at-rules only if they hold on a screen of ``SCREEN`` (an unknown condition does not).
+Textareas are shown like ``pre``.
 
 Defined cases: null and empty pages give the empty text; text without any tag is a paragraph; unclosed comments and tags run to the end;
 elements nested deeper than ``DEPTH`` are kept as siblings at that depth (their text stays); pages of any length are read as a whole; repeated rows give
@@ -33,11 +35,13 @@ WIDEST = 60
 # Element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist select textarea rp param source track".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist rp param source track desc metadata defs symbol annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr td th thead tbody tfoot caption".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table pre blockquote figure hr".split())
+#: Elements of drawings and formulas that stand apart from their neighbours.
+APART = frozenset("text mfrac mtr mtd".split())
 #: A start tag closes the nearest open element of its list, if none of the fence lies between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -56,7 +60,11 @@ P_FENCE = frozenset({"table", "td", "th", "li", "dd", "button", "caption", "bloc
 TOKEN = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS_SKIPPED = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+#: The screen that at-rules are read for: pixels, and features with a value.
+SCREEN = {"width": 1280.0, "height": 800.0}
+FEATURES = {"orientation": "landscape", "prefers-color-scheme": "light", "hover": "hover", "pointer": "fine", "scripting": "none", "update": "fast"}
+LENGTH = re.compile(r"(min-|max-)?(width|height)\s*(:|<=|>=|<|>|=)\s*(\d*\.?\d+)(px|r?em)\Z")
 SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?([.#][\w-]+)?\Z")
 BLANK = re.compile(r"[ \t\n\r\f\xa0]+")
 
@@ -125,8 +133,9 @@ def parse(text: str) -> tuple[Element, list[str]]:
             end = re.compile(f"</{tag}", re.I).search(text, at)
             inner = text[at : end.start() if end else n]
             if tag == "style":
-                styles.append(inner)
-            element.children.append(inner)
+                media = element.attributes.get("media", "")
+                styles.append(f"@media {media}{{{inner}}}" if media.strip() else inner)
+            element.children.append(html.unescape(inner) if tag == "textarea" else inner)
             stack[-1].children.append(element)
             at = (text.find(">", end.start()) + 1 or n) if end else n
             continue
@@ -143,11 +152,69 @@ def parse(text: str) -> tuple[Element, list[str]]:
     return root, styles
 
 
+def feature_holds(feature: str) -> bool:
+    """Whether a media feature, the content of its parentheses, holds on ``SCREEN``; unknown ones do not."""
+    m = LENGTH.match(feature)
+    if m:
+        bound, have = float(m[4]) * (1 if m[5] == "px" else 16), SCREEN[m[2]]
+        how = {"min-": ">=", "max-": "<="}.get(m[1] or "", "=") if m[3] == ":" else m[3]
+        return have == bound and "=" in how or have < bound and "<" in how or have > bound and ">" in how
+    name, _, value = (x.strip() for x in feature.partition(":"))
+    return name in ("color", "hover", "pointer", "width", "height") if not value else FEATURES.get(name) == value
+
+
+def media_holds(queries: str) -> bool:
+    """Whether one of the queries of a media list holds on a screen; the empty list does."""
+
+    def one(query: str) -> bool:
+        not_ = re.match(r"not\b(?!\s*\()", query)
+        query = re.sub(r"(?:not|only)\b(?!\s*\()", "", query, count=1).strip() if re.match(r"(?:not|only)\b", query) else query
+        ok = any(
+            all(p in ("screen", "all") if not p.startswith(("(", "not")) else feature_holds(p.strip("() ")) if p[0] == "(" else not feature_holds(p[3:].strip("() ")) for p in map(str.strip, re.split(r"\band\b", part)))
+            for part in re.split(r"\bor\b", query)
+        )
+        return ok != bool(not_)
+
+    return not queries.strip() or any(one(q.strip()) for q in queries.lower().split(","))
+
+
+def group_holds(head: str) -> bool:
+    """Whether the rules inside an at-rule's block count: those of media that hold, of supports and of layers."""
+    name, _, rest = head[1:].replace("(", " (", 1).partition(" ")
+    name = name.lower()
+    return media_holds(rest) if name == "media" else name == "layer" or name == "supports" and not rest.strip().lower().startswith("not")
+
+
+def screen_rules(style: str):
+    """(selectors, declarations) of the rules that count on a screen. Blocks left open end with the text."""
+    css = CSS_SKIPPED.sub("", style)
+    open_: list[tuple[bool, str | None, list[str]]] = []
+    at = 0
+    for stop in [*((m.start(), m[0]) for m in re.finditer("[{};]", css)), (len(css), ";")]:
+        head, at = css[at : stop[0]].strip(), stop[0] + 1
+        counts = open_[-1][0] if open_ else True
+        if stop[1] == "{":
+            if head.startswith("@"):
+                open_.append((counts and group_holds(head), None, []))
+            else:  # a rule nested in another is relative to it and is not read
+                open_.append((counts and not (open_ and open_[-1][1] is not None), head, []))
+            continue
+        if open_:
+            open_[-1][2].append(head)
+            if stop[1] == "}":
+                counts, selectors, body = open_.pop()
+                if counts and selectors is not None:
+                    yield selectors, ";".join(body)
+    for counts, selectors, body in open_:
+        if counts and selectors is not None:
+            yield selectors, ";".join(body)
+
+
 def hiding_rules(styles: list[str]) -> set[tuple[str, str]]:
-    """(tag or "", ".class" or "#id" or "") of simple selectors that hide."""
+    """(tag or "", ".class" or "#id" or "") of simple selectors that hide on a screen."""
     out = set()
     for style in styles:
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", style, flags=re.S)):
+        for selectors, body in screen_rules(style):
             if HIDING.search(body):
                 for one in selectors.split(","):
                     m = SIMPLE.match(one.strip())
@@ -156,6 +223,26 @@ def hiding_rules(styles: list[str]) -> set[tuple[str, str]]:
     return out
 
 
+def shown_options(e: Element, rules) -> Element:
+    """The options of a select that a page shows: all of a list, the selected ones of a drop-down."""
+    size = e.attributes.get("size", "")
+    every = "multiple" in e.attributes or size.isascii() and size.isdigit() and int(size[:9]) > 1
+    out, queue = Element("div", {}), deque(e.children)
+    while queue:
+        c = queue.popleft()
+        if isinstance(c, str) or not visible(c, rules):
+            continue
+        if c.tag == "option" and (every or "selected" in c.attributes):
+            c.tag = "div"
+            out.children.append(c)
+        elif c.tag == "optgroup":
+            if every and c.attributes.get("label"):
+                out.children.append(Element("div", {}))
+                out.children[-1].children.append(c.attributes["label"])
+            queue.extendleft(reversed(c.children))
+    return out
+
+
 def visible(e: Element, rules: set[tuple[str, str]]) -> bool:
     if e.tag in UNSEEN:
         return False
@@ -240,7 +327,18 @@ def render(e: Element, rules, out: Lines, pre: bool = False) -> None:
         elif tag == "img":
             if child.attributes.get("alt"):
                 out.text(" " + child.attributes["alt"] + " ")
-        elif tag == "pre":
+        elif tag == "select":
+            out.flush()
+            render(shown_options(child, rules), rules, out)
+            out.flush()
+        elif tag in APART:
+            out.text(" ")
+            render(child, rules, out)
+            out.text(" ")
+        elif e.tag == "mfrac":
+            render(child, rules, out)
+            out.text(" ")
+        elif tag in ("pre", "textarea"):
             out.blank()
             inner = Lines()
             render(child, rules, inner, True)
