@@ -55,6 +55,29 @@ def test_deep_text_stays():
     assert m.extract("<div>" * 5000 + "deep" + "</div>" * 5000 + "end").split() == ["deep", "end"]
 
 
+@pytest.mark.parametrize("depth", [150, 20_000])
+def test_structure_at_any_depth(depth):
+    soup = "<font><b>" * depth
+    assert m.extract(soup + "<p hidden>no</p><i style='display:none'>no <u>no</u></i>yes") == "yes"
+    assert m.extract(soup + "<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>long<td>e</table><pre>x\n y</pre>") == "- a\n- b\n\nc     d\nlong  e\n\nx\n y"
+    assert m.extract("<div><style>.x>u{}</style><i hidden>" + soup + "<div>no</div>no</i></div>yes") == "yes"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 50_000 + "</i>" * 50_000 + "x", "<li><table>" + "<b>" * 50_000 + "</li>" * 50_000 + "x", "<b>" * 50_000 + "<p>" * 20_000 + "x"])
+def test_deep_soup_takes_no_quadratic_time(page):
+    assert m.extract(page).split()[-1:] == ["x"]
+
+
+def test_wide_cells_leave_columns_aligned():
+    words, url = " ".join(["word"] * 40), "u" * 90
+    lines = m.extract(f"<table><tr><td>{words}<td>b<tr><td>c<td>d<tr><td>e<td>{words}</table>").split("\n")
+    at = lines[0].index("b")
+    assert max(map(len, lines[:4])) <= m.WIDEST + 3 and " ".join(lines).split().count("word") == 80
+    assert [x.index(y) for x in lines for y in "d" if x.startswith("c ")] == [at] and [x.index("word") for x in lines if x.startswith("e ")] == [at]
+    lines = m.extract(f"<table><tr><td>{url}<td>b<tr><td>c<td>d</table>").split("\n")
+    assert lines[0] == url + "  b" and lines[1] == "c".ljust(92) + "d"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "<b>", "</b>", "<br>", "<pre>", "</pre>", "alpha", "beta", " ", "\n", "<h2>", "</h2>", "<ol>", "</ol>", "<blockquote>", "</blockquote>", "<dd>"]), max_size=25))
 def test_all_words_come_through(parts):

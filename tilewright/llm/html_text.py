@@ -12,7 +12,7 @@ annotations of formulas (the rest of svg and math is text); options of a drop-do
 Textareas are shown like ``pre``.
 
 Defined cases: null and empty pages give the empty text; text without any tag is a paragraph; unclosed comments and tags run to the end;
-elements nested deeper than ``DEPTH`` are kept as siblings at that depth (their text stays); pages of any length are read as a whole; repeated rows give
+elements nest to any depth; pages of any length are read as a whole; repeated rows give
 repeated rows; an empty table gives no rows; other columns are not read.
 """
 
@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import arrow_map, table
 
-DEPTH = 120
-#: Cells wider than this don't widen their column.
-WIDEST = 60
+#: Cells that others follow are wrapped at this width; a longer word widens its column, up to ``LONGEST_WORD``, where it is broken.
+WIDEST, LONGEST_WORD = 60, 1000
 
 # Element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,20 +87,23 @@ def parse(text: str) -> tuple[Element, list[str]]:
     """The tree and the texts of its style elements."""
     root, styles = Element("html", {}), []
     stack = [root]
+    places: dict[str, list[int]] = {}  # of each tag, where on the stack it is open
     at, n = 0, len(text)
 
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags, fence) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in fence:
-                return
+        k = innermost(tags)
+        if k and k >= innermost(fence):
+            for e in stack[k:]:
+                places[e.tag].pop()
+            del stack[k:]
 
     def add(element: Element) -> None:
         stack[-1].children.append(element)
-        if len(stack) < DEPTH:
-            stack.append(element)
+        places.setdefault(element.tag, []).append(len(stack))
+        stack.append(element)
 
     while at < n:
         found = TOKEN.search(text, at)
@@ -115,7 +117,7 @@ def parse(text: str) -> tuple[Element, list[str]]:
         if not tag:
             continue
         if found.group(2):
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "p" and not places.get("p"):
                 stack[-1].children.append(Element("p", {}))
             else:
                 close({tag}, () if tag in ("table", "body", "html") else {"table"} if tag not in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else {"table"} - {tag})
@@ -123,7 +125,7 @@ def parse(text: str) -> tuple[Element, list[str]]:
         raw = found.group(4) or ""
         if tag in ("html", "body"):
             stack[0].attributes.update(attributes_of(raw)) if raw else None
-            if tag == "body" and any(e.tag == "head" for e in stack):
+            if tag == "body" and places.get("head"):
                 close({"head"}, ())
             continue
         if stack[-1].tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
@@ -295,8 +297,22 @@ class Lines:
         return self.lines
 
 
-def render(e: Element, rules, out: Lines, pre: bool = False) -> None:
-    """The content of ``e``."""
+def rendered(step) -> None:
+    """Runs ``step``, a generator that yields the generators it waits for, with a stack of its own in place of recursion."""
+    stack, value = [step], None
+    while stack:
+        try:
+            step = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(step)
+            value = None
+
+
+def render(e: Element, rules, out: Lines, pre: bool = False):
+    """The content of ``e``, as steps for ``rendered``."""
     ordinal = int(e.attributes["start"]) if e.tag == "ol" and re.fullmatch(r"-?\d{1,9}", e.attributes.get("start", "")) else 1
     for child in e.children:
         if isinstance(child, str):
@@ -329,19 +345,19 @@ def render(e: Element, rules, out: Lines, pre: bool = False) -> None:
                 out.text(" " + child.attributes["alt"] + " ")
         elif tag == "select":
             out.flush()
-            render(shown_options(child, rules), rules, out)
+            yield render(shown_options(child, rules), rules, out)
             out.flush()
         elif tag in APART:
             out.text(" ")
-            render(child, rules, out)
+            yield render(child, rules, out)
             out.text(" ")
         elif e.tag == "mfrac":
-            render(child, rules, out)
+            yield render(child, rules, out)
             out.text(" ")
         elif tag in ("pre", "textarea"):
             out.blank()
             inner = Lines()
-            render(child, rules, inner, True)
+            yield render(child, rules, inner, True)
             if inner.inline:
                 inner.lines.append("".join(inner.inline).rstrip())
                 inner.inline = []
@@ -351,12 +367,12 @@ def render(e: Element, rules, out: Lines, pre: bool = False) -> None:
             out.blank()
         elif tag == "table":
             out.blank()
-            out.take(table_lines(child, rules))
+            out.take((yield table_lines(child, rules)))
             out.blank()
         elif tag == "li":
             out.flush()
             inner = Lines()
-            render(child, rules, inner)
+            yield render(child, rules, inner)
             mark = f"{ordinal}. " if e.tag == "ol" else "- "
             ordinal += 1
             body = inner.done()
@@ -365,7 +381,7 @@ def render(e: Element, rules, out: Lines, pre: bool = False) -> None:
         elif tag in ("dd", "blockquote"):
             out.blank() if tag == "blockquote" else out.flush()
             inner = Lines()
-            render(child, rules, inner)
+            yield render(child, rules, inner)
             out.take(["  " + x if x else x for x in inner.done()])
             if tag == "blockquote":
                 out.blank()
@@ -373,14 +389,29 @@ def render(e: Element, rules, out: Lines, pre: bool = False) -> None:
             nested = tag in ("ul", "ol", "dl", "menu", "dir") and e.tag == "li"
             gap = out.blank if tag in SPACED and not nested else out.flush
             gap()
-            render(child, rules, out, pre)
+            yield render(child, rules, out, pre)
             gap()
         else:
-            render(child, rules, out, pre)
-
-
-def table_lines(e: Element, rules) -> list[str]:
-    """Rows of a table with cells in columns; a cell of several lines makes its row as high. A cell that spans columns stands in the first."""
+            yield render(child, rules, out, pre)
+
+
+def wrapped(line: str) -> list[str]:
+    """``line`` cut at blanks into pieces of at most ``WIDEST``; words that are longer keep whole up to ``LONGEST_WORD``."""
+    out, at, n = [], 0, len(line)
+    while n - at > WIDEST:
+        cut = line.rfind(" ", at + 1, at + WIDEST + 1)
+        if cut < 0 or not line[at:cut].strip():
+            cut = line.find(" ", at + WIDEST, at + LONGEST_WORD)
+            cut = min(n, at + LONGEST_WORD) if cut < 0 else cut
+        out.append(line[at:cut].rstrip())
+        at = cut
+        while at < n and line[at] == " ":
+            at += 1
+    return out + [line[at:]] if at < n else out
+
+
+def table_lines(e: Element, rules):
+    """Rows of a table with cells in columns, as steps for ``rendered``; a cell of several lines makes its row as high. A cell that spans columns stands in the first."""
     before, rows, carried = [], [], {}
     loose = Lines()
     queue = deque(e.children)
@@ -405,7 +436,7 @@ def table_lines(e: Element, rules) -> list[str]:
                     carried[column] -= 1
                     column += 1
                 inner = Lines()
-                render(d, rules, inner)
+                yield render(d, rules, inner)
                 body = [x for x in inner.done() if x]
                 if not body and d.tag == "td" and not d.attributes and len(d.children) == 1 and isinstance(d.children[0], str):
                     continue
@@ -420,14 +451,17 @@ def table_lines(e: Element, rules) -> list[str]:
         else:
             holder = Element("div", {})
             holder.children = [c]
-            render(holder, rules, loose)
+            yield render(holder, rules, loose)
             loose.flush()
     before = loose.done()
     widths: dict[int, int] = {}
     for cells in rows:
-        for column, body in cells:
+        for place, (column, body) in enumerate(cells):
+            last = place + 1 == len(cells)
+            if not last and max(map(len, body), default=0) > WIDEST:
+                body[:] = [piece for line in body for piece in wrapped(line)]
             widest = max(map(len, body), default=0)
-            if widest <= WIDEST:
+            if not last or widest <= WIDEST:
                 widths[column] = max(widths.get(column, 0), widest)
     out = []
     starts, at = {}, 0
@@ -447,7 +481,7 @@ def table_lines(e: Element, rules) -> list[str]:
 def extract(page: str | None) -> str:
     root, styles = parse((page or "").replace("\r\n", "\n").replace("\0", "�"))
     out = Lines()
-    render(root, hiding_rules(styles), out)
+    rendered(render(root, hiding_rules(styles), out))
     return "\n".join(out.done())
 
 
