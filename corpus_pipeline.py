@@ -9,7 +9,7 @@ from tilewright.llm.decontaminate import drop_leaks
 from tilewright.llm.language_id import alphabet, keep_known, learn, training
 from tilewright.llm.mixing import keep_mixed, quality_weights
 from tilewright.llm.secrets import mask_secrets
-from tilewright.llm.simhash_dedup import drop_copies
+from tilewright.llm.simhash_dedup import cluster_alike, drop_copies
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in none of the learned languages go: no letters, letters of another script, or a profile like no prototype."""
@@ -17,8 +17,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return drop_copies(docs)
+    """One document of each component of texts with a five-word Jaccard similarity of 0.8 or more stays."""
+    return drop_copies(docs, cluster_alike)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

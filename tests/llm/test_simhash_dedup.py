@@ -141,3 +141,44 @@ def test_large_group_of_near_copies(spark):
     from tilewright.operators.graph import components
 
     assert components(edges).select("root").distinct().count() == 1
+
+
+def test_edited_copies_equal_brute_force(spark, sf):
+    """Components of five-word Jaccard of 0.8, over the table, edited copies in chains, and a large group of near copies."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(300))
+    for i in range(150):
+        words = (base if i < 75 else rng.choice(rows)[1] or "").split()
+        for _ in range(rng.choice([1, 1, 2, 3, 6])):
+            if words:
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((10**6 + i, " ".join(words)))
+    rows += [(None, "no id"), (2 * 10**6, None), (2 * 10**6 + 1, ""), (2 * 10**6 + 2, "no  ID")]
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) - 1e-9 and (n := len(a & b)) >= 0.8 * (len(a) + len(b) - n) - 1e-9:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.component_id) for r in m.cluster_alike(docs).collect()}
+    assert found == {(d, least.get(find(i))) for i, (d, _) in enumerate(rows)}
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
+    assert kept == set(least.values()) and len(kept) < len({r.fp for r in m.fingerprints(docs).collect()})
