@@ -36,7 +36,7 @@ KEPT = 16384
 #: Distinct trigrams from which a text needs a cosine of so many standard deviations of noise (1 / sqrt(dimensions)). A text of fewer
 #: trigrams than the last may miss every frequent one of its language. Texts of the tables' languages and random letters of
 #: as many trigrams lie on either side.
-FLOORS = ((400, 10.0), (64, 6.0), (24, 3.5))
+FLOORS = ((400, 9.0), (64, 5.0), (32, 3.0))
 #: Share of a language's letters from which a letter counts as its own.
 RARE = 1e-4
 
