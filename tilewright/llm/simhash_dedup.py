@@ -227,6 +227,13 @@ def _bands(grams: np.ndarray) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(raw[8 * ROWS * b : 8 * ROWS * (b + 1)], b), "big", signed=True) for b in range(BANDS)]
 
 
+def _pieces(batches, rows: int = 32):
+    """Few rows at a time, as word lists and hashes take several times the memory of a text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _whole(words: list[bytes]) -> int:
     return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), 42), "big", signed=True) if words else 0
 
@@ -235,7 +242,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The ``pairs(a, b)`` whose sets of shingles have a Jaccard similarity of ``least`` at least."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -255,16 +262,16 @@ def cluster_alike(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     does not meet in pairs. A pair of similarity 0.8 agrees in no band with odds of 3 in a million."""
 
     def described(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             words = [_words(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_whole, words), pa.int64()), pa.array([_bands(_grams(w, k)) for w in words], pa.list_(pa.int64()))], ["doc_id", "fp", "bands"])
 
     def gathered(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array([_whole(_words(t.as_py())) for t in batch.column(0)], pa.int64()), batch.column(0)], ["fp", "text"])
 
     def shingled(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_grams(_words(t.as_py()), k).tobytes() for t in batch.column(1)], pa.binary())], ["fp", "grams"])
 
     rows = saved(arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), described, "doc_id long, fp long, bands array<long>"))
