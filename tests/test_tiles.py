@@ -158,7 +158,7 @@ def test_refusals(spark, boxes, points, tmp_path):
     with pytest.raises(TypeError):
         tile({"a": 5}, path)
     with pytest.raises(ValueError, match="EPSG"):
-        tile(LayerSpec(boxes, crs="EPSG:32617"), path)
+        tile(LayerSpec(boxes, crs="EPSG:27700"), path)
     with pytest.raises(ValueError, match="engine"):
         tile_file(spark, "x.parquet", path, engine="gdal")
     with pytest.raises(FileNotFoundError):

@@ -201,5 +201,5 @@ def keeps_even_rank(rank: Column, n: Column, retain: Column) -> Column:
 
 def keeps_integer_rule(rank1: Column, n: Column, retain: Column) -> Column:
     """Whether 1-based ``rank1`` is where floor(rank * retain / n) grows."""
-    whole = lambda r: ((r * retain - F.pmod(r * retain, n)) / n).cast("long")
+    whole = lambda r: F.call_function("div", r * retain, n)
     return whole(rank1) > whole(rank1 - 1)

@@ -8,30 +8,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.geometry import POINT, bbox, from_wkb, mercator, to_wkb, transform, web_mercator_to_degrees
+from tilewright.functions import crs as projections
+from tilewright.functions.geometry import POINT, bbox, from_wkb, mercator, to_wkb, transform
 from tilewright.functions.tilemath import BUFFER, EXTENT, LAT_BUFFERED, buffered_range, clamped, morton
 from tilewright.operators.clip import clip
 from tilewright.operators.simplify import simplify_lines, snap
 
 #: Tiles a side of a block. Large geometries are dealt to blocks before they are cut, so that one row is never all tiles of a continent.
 BLOCK = 16
+#: Bytes of parts that a worker holds before it hands them on.
+PIECE_BYTES = 16 << 20
 
 
 def described(df: DataFrame, crs: str = "EPSG:4326") -> DataFrame:
-    """``df(fid, wkb, props)`` with ``kind``, the bounding box, and ``lon``, ``lat`` of the first vertex. Null, broken and unsupported geometries go;
+    """``df(ord, fid, wkb, props)`` with ``kind``, the bounding box, and ``lon``, ``lat`` of the first vertex. Null, broken and unsupported geometries go;
     the WKB is written anew, in degrees and two dimensions."""
-    schema = df.select("fid", "wkb", "props", F.lit(0).alias("kind"), *[F.lit(0.0).alias(c) for c in ("west", "south", "east", "north", "lon", "lat")]).schema
-    projected = crs.upper() == "EPSG:3857"
+    schema = df.select("ord", "fid", "wkb", "props", F.lit(0).alias("kind"), *[F.lit(0.0).alias(c) for c in ("west", "south", "east", "north", "lon", "lat")]).schema
+    system = projections.known(crs)
+    projected = not isinstance(system, projections.Degrees)
 
     def run(batches):
         for batch in batches:
             keep, out = [], [[] for _ in range(8)]
-            for i, value in enumerate(batch.column(1)):
+            for i, value in enumerate(batch.column(2)):
                 g = from_wkb(value.as_py())
                 if g is None:
                     continue
                 if projected:
-                    g = transform(g, web_mercator_to_degrees)
+                    try:
+                        g = transform(g, lambda x, y: projections.to_degrees(x, y, system))
+                    except (ValueError, OverflowError, ZeroDivisionError):  # beyond the domain of the projection
+                        continue
                 keep.append(i)
                 first = g[1][0][0][0]
                 for column, v in zip(out, (to_wkb(g), g[0], *bbox(g), *first)):
@@ -39,17 +46,69 @@ def described(df: DataFrame, crs: str = "EPSG:4326") -> DataFrame:
             rows = batch.take(pa.array(keep, pa.int64()))
             kinds = (pa.binary(), pa.int32(), *[pa.float64()] * 6)
             made = [pa.array(c, k) for c, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), made[0], rows.column(2), *made[1:]], ["fid", "wkb", "props", "kind", "west", "south", "east", "north", "lon", "lat"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), made[0], rows.column(3), *made[1:]], ["ord", "fid", "wkb", "props", "kind", "west", "south", "east", "north", "lon", "lat"])
 
-    return df.select("fid", "wkb", "props").mapInArrow(run, schema)
+    return df.select("ord", "fid", "wkb", "props").mapInArrow(run, schema)
 
 
-def blocks(df: DataFrame) -> DataFrame:
-    """A row for each block of tiles that the buffered bounding box of ``df(z, west, south, east, north, …)`` meets, with ``bx``, ``by``."""
+def pieces(df: DataFrame, simplify: bool, others: list[str]) -> DataFrame:
+    """``df(z, fid, wkb, west, south, east, north, …others)`` by blocks: ``(z, bx, by, fid, wkb, whole, …others)``. A feature whose buffered
+    bounding box lies in one block passes through as it is (``whole``); a larger one is simplified once, and clipped to ever smaller halves of its blocks,
+    so that each block gets only the part that it needs."""
     x0, x1, y0, y1 = buffered_range("west", "south", "east", "north", "z")
     block = lambda c: F.floor(c / BLOCK).cast("long")
-    wide = df.withColumn("bx", F.explode(F.sequence(block(x0), block(x1))))
-    return wide.withColumn("by", F.explode(F.sequence(block(y0), block(y1))))
+    at = df.select("z", "fid", "wkb", *others, block(x0).alias("bx"), block(x1).alias("bx1"), block(y0).alias("by"), block(y1).alias("by1"))
+    small = (F.col("bx") == F.col("bx1")) & (F.col("by") == F.col("by1"))
+    direct = at.where(small).select("z", "bx", "by", "fid", "wkb", F.lit(True).alias("whole"), *others)
+    schema = direct.schema
+
+    def run(batches):
+        for batch in batches:
+            rows, bxs, bys, shapes = [], [], [], []
+
+            def made():
+                own = batch.take(pa.array(rows, pa.int64()))
+                arrays = [own.column(0), pa.array(bxs, pa.int64()), pa.array(bys, pa.int64()), own.column(1), pa.array(shapes, pa.binary()), pa.array([False] * len(rows), pa.bool_()), *own.columns[7:]]
+                return pa.RecordBatch.from_arrays(arrays, schema.names)
+
+            ranges = list(zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6))))
+            zs, held = batch.column(0).to_pylist(), 0
+            for i, value in enumerate(batch.column(2)):
+                g = from_wkb(value.as_py())
+                if g is None:
+                    continue
+                for bx, by, part in split(simplify_lines(g, tolerance(zs[i])) if simplify else g, zs[i], *ranges[i]):
+                    shapes.append(to_wkb(part))
+                    held += len(shapes[-1])
+                    rows.append(i), bxs.append(bx), bys.append(by)
+                    if held > PIECE_BYTES:
+                        yield made()
+                        rows, bxs, bys, shapes, held = [], [], [], [], 0
+            yield made()
+
+    large = at.where(~small).select("z", "fid", "wkb", "bx", "bx1", "by", "by1", *others).mapInArrow(run, schema)
+    return direct.unionByName(large)
+
+
+def tolerance(z: int) -> float:
+    return 8.0 * (360.0 / (1 << z) / EXTENT) ** 2
+
+
+def split(g, z: int, x0: int, x1: int, y0: int, y1: int):
+    """``(bx, by, part)`` of a geometry for each block that it meets. Parts reach a tile beyond their block, which is more than any tile's buffer."""
+    n = 1 << z
+    unit = 360.0 / n
+    left = [(g, x0, x1, y0, y1)]
+    while left:
+        own, a, b, c, d = left.pop()
+        if a == b and c == d:
+            yield a, c, own
+            continue
+        halves = ((a, (a + b) // 2, c, d), ((a + b) // 2 + 1, b, c, d)) if b - a >= d - c else ((a, b, c, (c + d) // 2), (a, b, (c + d) // 2 + 1, d))
+        for e, f, u, v in halves:
+            box = ((e * BLOCK - 1) * unit - 180.0, _north((v + 1) * BLOCK + 1, n), ((f + 1) * BLOCK + 1) * unit - 180.0, _north(u * BLOCK - 1, n))
+            if (part := clip(own, box)) is not None:
+                left.append((part, e, f, u, v))
 
 
 def _north(y: int, n: int) -> float:
@@ -72,8 +131,6 @@ def tiles_of(g, z: int, bx: int, by: int, simplify: bool):
     """``(x, y, geometry in tile units, sort key)`` for each tile of a block that ``g`` has a part in. Cut first by columns, then each column by rows."""
     n = 1 << z
     unit = 360.0 / n
-    if simplify:
-        g = simplify_lines(g, 8.0 * (unit / EXTENT) ** 2)
     west, south, east, north = bbox(g)
     reach = unit * BUFFER
     x0, x1 = _column_of(max(west - reach, -180.0), n), _column_of(min(east + reach, 180.0), n)
@@ -102,8 +159,8 @@ def tiles_of(g, z: int, bx: int, by: int, simplify: bool):
 
 
 def cut(df: DataFrame, simplify: bool, others: list[str]) -> DataFrame:
-    """Rows of ``blocks`` cut into tiles: ``(z, x, y, fid, shape, cx, cy, …others)``, with ``shape`` WKB in tile units and ``cx``, ``cy`` the centre as parts of the tile."""
-    source = df.select("z", "bx", "by", "fid", "wkb", *others)
+    """Rows of ``pieces`` cut into tiles: ``(z, x, y, fid, shape, cx, cy, …others)``, with ``shape`` WKB in tile units and ``cx``, ``cy`` the centre as parts of the tile."""
+    source = df.select("z", "bx", "by", "fid", "wkb", "whole", *others)
     schema = df.select("z", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "fid", "wkb", F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), *others).withColumnRenamed("wkb", "shape").schema
 
     def run(batches):
@@ -112,14 +169,17 @@ def cut(df: DataFrame, simplify: bool, others: list[str]) -> DataFrame:
 
             def made():
                 rows = batch.take(pa.array(at, pa.int64()))
-                arrays = [rows.column(0), pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), rows.column(3), pa.array(shapes, pa.binary()), pa.array(cxs, pa.float64()), pa.array(cys, pa.float64()), *rows.columns[5:]]
+                arrays = [rows.column(0), pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), rows.column(3), pa.array(shapes, pa.binary()), pa.array(cxs, pa.float64()), pa.array(cys, pa.float64()), *rows.columns[6:]]
                 return pa.RecordBatch.from_arrays(arrays, schema.names)
 
             zs, bxs, bys = (batch.column(k).to_pylist() for k in range(3))
+            whole = batch.column(5).to_pylist()
             for i, value in enumerate(batch.column(4)):
                 g = from_wkb(value.as_py())
                 if g is None:
                     continue
+                if simplify and whole[i]:
+                    g = simplify_lines(g, tolerance(zs[i]))
                 for x, y, inside, cx, cy in tiles_of(g, zs[i], bxs[i], bys[i], simplify):
                     for column, v in zip((at, xs, ys, shapes, cxs, cys), (i, x, y, to_wkb(inside), cx, cy)):
                         column.append(v)

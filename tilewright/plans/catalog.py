@@ -10,7 +10,7 @@ from tilewright.functions import tilemath as tm
 from tilewright.functions.geometry import LINE, POLYGON, to_wkb
 from tilewright.operators import thin
 from tilewright.operators.cluster import clusters
-from tilewright.operators.cut import blocks, cut
+from tilewright.operators.cut import cut, pieces
 from tilewright.plans.model import LayerSpec, TileConfig, normalised
 from tilewright.plans.tiles import point_tiles, pyramid
 
@@ -349,7 +349,7 @@ def clip_boxes_rect(spark, sf_dir):
     """Rectangles cut by the polygon clipper, as the bounds, in millionths of a degree, of what is left in each tile."""
     from tilewright.functions.geometry import bbox, from_wkb
 
-    rows = cut(blocks(_zoomed(_boxes(spark, sf_dir), 6, 8)), False, [])
+    rows = cut(pieces(_zoomed(_boxes(spark, sf_dir), 6, 8), False, []), False, [])
     n = F.pow(F.lit(2.0), F.col("z").cast("double"))
 
     @F.pandas_udf("array<double>")

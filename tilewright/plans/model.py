@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.functions import crs as projections
+from tilewright.plans.store import saved
+
 FORMATS = ("mvt", "mlt")
 
 
@@ -81,20 +84,29 @@ def property_column(field: T.StructField) -> Column:
     return c.cast("string")
 
 
+def marked(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with partition and place of each row packed into ``name``. Only fit to be written at once: another run of the plan may deal rows otherwise."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def numbered(table: DataFrame, mark: str, name: str, before: int = 0) -> DataFrame:
+    """A written table of ``marked`` rows with ``name``: numbers from ``before`` + 1 in the order of the marks. Counts and rows come from the same
+    table, so none is lost or repeated whatever the plan behind it does. The broadcast has a row a partition; rows are not shuffled."""
+    part, place = F.shiftright(mark, 33), F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = table.groupBy(part.alias("__p")).agg((F.max(place) + 1).alias("n"))
+    starts = saved(sizes.select("__p", (F.sum("n").over(W.orderBy("__p")) - F.col("n") + before).alias("__s")))
+    found = table.withColumn("__p", part).join(F.broadcast(starts), "__p", "left")
+    return found.withColumn(name, F.col("__s") + place + 1).drop("__p", "__s")
+
+
 def row_numbers(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with consecutive numbers from 1 in scan order. Counts of partitions are summed up; rows are not shuffled."""
-    marked = df.withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    sizes = marked.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("__p", (F.sum("n").over(W.orderBy("__p")) - F.col("n")).alias("__s"))
-    # one row a partition
-    numbered = marked.withColumn("__p", part).join(F.broadcast(starts), "__p")
-    return numbered.withColumn(name, F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__m", "__p", "__s")
+    """``df``, written once, with consecutive numbers from 1 in scan order."""
+    return numbered(saved(marked(df, "__m")), "__m", name).drop("__m")
 
 
 def normalised(spec: LayerSpec, config: TileConfig) -> tuple[DataFrame, list[str]]:
-    """``(fid, lon, lat, wkb, props)`` of a layer, and its property names. ``lon`` and ``lat`` are null where ``wkb`` is set, and the other way round; rows without
-    geometry are gone."""
+    """``(ord, fid, lon, lat, wkb, props)`` of a layer, and its property names. ``ord`` is a mark to be written at once (see ``marked``), ``fid`` null
+    without an id column; ``lon`` and ``lat`` are null where ``wkb`` is set, and the other way round; rows without geometry are gone."""
     df = spec.df
     names = {c.lower(): c for c in df.columns}
     if spec.lon or spec.lat:
@@ -114,20 +126,17 @@ def normalised(spec: LayerSpec, config: TileConfig) -> tuple[DataFrame, list[str
             x, y, wkb = F.lit(None).cast("double"), F.lit(None).cast("double"), F.col(geometry)
         else:
             raise ValueError(f"geometry column {geometry!r} must be WKB or a struct of x and y, not {kind.simpleString()}")
-    crs = (spec.crs or "EPSG:4326").upper().replace("OGC:CRS84", "EPSG:4326")
-    if crs not in ("EPSG:4326", "EPSG:3857"):
-        raise ValueError(f"coordinates must be EPSG:4326 or EPSG:3857, not {spec.crs}")
-    if crs == "EPSG:3857":
-        x, y = F.degrees(x / 6378137.0), F.degrees(F.atan(F.sinh(y / 6378137.0)))
+    crs = projections.known(spec.crs)
+    if not isinstance(crs, projections.Degrees):
+        x, y = projections.to_degrees(x, y, crs, F)
     fields = [f for f in df.schema.fields if f.name not in hidden]
     if spec.id and spec.id not in df.columns:
         raise ValueError(f"layer {spec.name!r} has no id column {spec.id!r}")
     there = (x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)) | wkb.isNotNull()
-    # without ids of their own, rows are numbered even if the numbers are not written: they order features and join clusters
-    rows = df if spec.id else row_numbers(df, "__id")
-    fid = F.col(spec.id if spec.id else "__id").cast("long")
+    fid = F.col(f"`{spec.id}`").cast("long") if spec.id else F.lit(None).cast("long")
     props = F.struct(*[property_column(f).alias(f.name) for f in fields]) if fields else F.struct(F.lit(None).cast("string").alias("__none"))
-    return rows.where(there).select(fid.alias("fid"), x.alias("lon"), y.alias("lat"), wkb.alias("wkb"), props.alias("props")), [f.name for f in fields]
+    rows = marked(df.select(fid.alias("fid"), x.alias("lon"), y.alias("lat"), wkb.alias("wkb"), props.alias("props"), there.alias("__there")), "ord")
+    return rows.where("__there").select("ord", "fid", "lon", "lat", "wkb", "props"), [f.name for f in fields]
 
 
 def with_defaults(layers, config: TileConfig, layer_name: str | None, stem: str) -> list[LayerSpec]:

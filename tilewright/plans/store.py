@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or where it is unset (a local session, as in tests) a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``, or the checkpoint folder of the context. Where both are unset a local session (as in tests) gets a temporary
+    folder, which goes when Python ends; on a cluster, whose machines could not share it, that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        found = kept or tempfile.mkdtemp(prefix="tilewright-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tilewright-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 

@@ -20,35 +20,43 @@ from tilewright.functions.geometry import POINT, from_wkb
 from tilewright.operators import thin
 from tilewright.operators.cluster import clusters
 from tilewright.operators.coalesce import coalesce
-from tilewright.operators.cut import blocks, centre_key, cut, described, is_point
+from tilewright.operators.cut import centre_key, cut, described, is_point, pieces
 from tilewright.operators.encode import encode_mlt, encode_mvt
-from tilewright.plans.model import LayerSpec, TileConfig, normalised
+from tilewright.operators.points import point_layer
+from tilewright.plans.model import LayerSpec, TileConfig, normalised, numbered
 from tilewright.plans.store import saved
 
 COUNT = "point_count"
+#: Features of one tile, which is one blob and made by one task. More are refused: no viewer could show such a tile.
+TILE_FEATURES = 20_000_000
+TOO_MANY = "tile {}/{}/{} holds more than {} features; set drop_rate (or cluster_distance), or raise min_zoom"
 KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
 
 
 class Layer:
-    """A layer with the statistics that its plan needs, from one aggregation."""
+    """A layer, written once, with the statistics that its plan needs, from one aggregation. Statistics, ranks and tiles read the columns that
+    they need of that table, so a source that is dear, or not the same twice (``rand``, ``LIMIT``), is run once. Ids go on from ``before``."""
 
-    def __init__(self, spec: LayerSpec, config: TileConfig):
+    def __init__(self, spec: LayerSpec, config: TileConfig, before: int = 0):
         self.spec, self.config = spec, config
         rows, self.names = normalised(spec, config)
         self.plain = bool(spec.lon) or "struct" in dict(spec.df.dtypes).get(spec.geometry, "")
+        self.table = saved(rows.drop("wkb") if self.plain else described(rows, spec.crs or "EPSG:4326"))
+        own = self.table if spec.id else numbered(self.table, "ord", "fid", before)
         if self.plain:
-            point = rows.select("fid", "lon", "lat", "props")
-            self.rows = point.select("fid", F.lit(None).cast("binary").alias("wkb"), "props", F.lit(POINT).alias("kind"), F.col("lon").alias("west"), F.col("lat").alias("south"), F.col("lon").alias("east"), F.col("lat").alias("north"), "lon", "lat")
-        else:
-            # geometry is decoded once; statistics, ranks and tiles read the columns that they need
-            self.rows = saved(described(rows, spec.crs or "EPSG:4326"))
+            own = own.select("ord", "fid", F.lit(None).cast("binary").alias("wkb"), "props", F.lit(POINT).alias("kind"), F.col("lon").alias("west"), F.col("lat").alias("south"), F.col("lon").alias("east"), F.col("lat").alias("north"), "lon", "lat")
+        self.rows = own
         dots = is_point(F.col("kind"))
         s = self.rows.agg(
             F.count(F.lit(1)).alias("n"), F.count_if(dots).alias("points"), F.count_if(F.col("kind") == POINT).alias("single"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"),
-            F.min_by("kind", "fid").alias("kind"),
+            F.min_by("kind", "ord").alias("kind"), F.max("fid").alias("last"),
         ).first()
         self.stats = s
         self.all_points = s["n"] > 0 and s["n"] == s["points"]
+        #: Every feature is drawn as one point.
+        self.dots = s["n"] == s["single"]
+        #: The number from which ids of a next layer go on.
+        self.after = before if spec.id else max(before, s["last"] or 0)
 
     @property
     def clusters_to(self) -> int | None:
@@ -64,10 +72,11 @@ class Layer:
         base, rows, top = config.base_for(spec), self.rows, self.clusters_to
         clustered = None
         if top is not None and top >= low:
-            seeds = clusters(rows.select("fid", "lon", "lat"), config.cluster_distance, top, low).where(F.col("z") <= high)
-            seeds = seeds.withColumnsRenamed({"lon": "clon", "lat": "clat"})
-            own = seeds.join(rows, "fid")
-            moved = own.select("fid", F.when(F.col(COUNT).isNull(), F.col("wkb")).alias("wkb"), "props", F.when(F.col(COUNT).isNull(), F.col("kind")).otherwise(POINT).alias("kind"), *[F.when(F.col(COUNT).isNull(), F.col(k)).otherwise(F.col(v)).alias(k) for k, v in (("west", "clon"), ("south", "clat"), ("east", "clon"), ("north", "clat"), ("lon", "clon"), ("lat", "clat"))], F.col("z").cast("int").alias("z"), COUNT)
+            # by place in the input, which is unique where ids may not be
+            seeds = clusters(rows.select(F.col("ord").alias("fid"), "lon", "lat"), config.cluster_distance, top, low).where(F.col("z") <= high)
+            seeds = seeds.withColumnsRenamed({"lon": "clon", "lat": "clat", "fid": "ord"})
+            own = seeds.join(rows, "ord")
+            moved = own.select("ord", "fid", F.when(F.col(COUNT).isNull(), F.col("wkb")).alias("wkb"), "props", F.when(F.col(COUNT).isNull(), F.col("kind")).otherwise(POINT).alias("kind"), *[F.when(F.col(COUNT).isNull(), F.col(k)).otherwise(F.col(v)).alias(k) for k, v in (("west", "clon"), ("south", "clat"), ("east", "clon"), ("north", "clat"), ("lon", "clon"), ("lat", "clat"))], F.col("z").cast("int").alias("z"), COUNT)
             clustered, low = moved, top + 1
         if low > high:
             return clustered
@@ -81,7 +90,16 @@ class Layer:
         if thins:
             rule = "even" if config.point_mode == "buffered" else "integer"
             large = thin.keeps_area(F.col("west"), F.col("south"), F.col("east"), F.col("north"), config.drop_rate, base, z)
-            kept = F.when(is_point(F.col("kind")), thin.keeps_point(rule, F.col("rank"), self.stats["points"], config.drop_rate, base, z)).otherwise(large) if self.stats["points"] else large
+            n = self.stats["points"]
+            if n:
+                # zoom by zoom, so that quotas are constants
+                kept = F.lit(False)
+                for own in range(low, min(base, high + 1)):
+                    kept = F.when(z == own, thin.keeps_point(rule, F.col("rank"), n, config.drop_rate, base, F.lit(own))).otherwise(kept)
+                kept = F.when(z >= base, True).otherwise(kept)
+                kept = kept if self.all_points else F.when(is_point(F.col("kind")), kept).otherwise(large)
+            else:
+                kept = large
             out = out.where(kept).drop("rank")
         out = out.withColumn(COUNT, F.lit(None).cast("long"))
         return out if clustered is None else clustered.unionByName(out)
@@ -100,7 +118,7 @@ class Layer:
             parts.append(at.select("z", "x", "y", key.alias("key"), "fid", px.alias("px"), py.alias("py"), F.lit(None).cast("binary").alias("shape"), "props", COUNT))
         if others is not None:
             # dealt anew, so that one task never cuts all blocks of a large geometry or of a small file
-            found = cut(blocks(others).repartition("fid", "z", "bx", "by"), self.config.simplification, ["props", COUNT])
+            found = cut(pieces(others, self.config.simplification, ["props", COUNT]).repartition("fid", "z", "bx", "by"), self.config.simplification, ["props", COUNT])
             parts.append(found.select("z", "x", "y", centre_key(F.col("cx"), F.col("cy")).alias("key"), "fid", F.lit(None).cast("long").alias("px"), F.lit(None).cast("long").alias("py"), "shape", "props", COUNT))
         out = parts[0]
         for p in parts[1:]:
@@ -129,13 +147,42 @@ def union_of(layers: list[Layer]) -> DataFrame:
 
 def encoded(rows: DataFrame, layers: list[Layer], config: TileConfig) -> DataFrame:
     """``(z, x, y, data)``: tiles, gzip-compressed. Rows of a tile meet by one shuffle, sorted; one tile at a time is held."""
-    columns = ["z", "x", "y", "layer", "key", "fid", "px", "py", "shape", "point_count", *[f"props{k}" for k in range(len(layers))]]
-    dealt = rows.select(*columns).repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "layer", "key", "fid")
+    plain = config.tile_format == "mvt" and all(layer.dots for layer in layers)
+    props = [f"props{k}" for k in range(len(layers))]
+    # one number for the tile: the sort then compares numbers, and rows only within a tile
+    tile = F.shiftleft(F.col("z").cast("long"), 50).bitwiseOR(F.shiftleft(F.col("x"), 25)).bitwiseOR(F.col("y"))
+    dealt = rows.select(tile.alias("tile"), "layer", "key", "fid", "px", "py", *([] if plain else ["shape"]), "point_count", *props)
+    dealt = dealt.repartition("tile").sortWithinPartitions("tile", "layer", "key", "fid").drop("key")
     named = [(layer.spec.name, layer.field_names(), len(layer.names), layer.clusters_to is not None) for layer in layers]
     shown = [bool(layer.spec.id) or config.generate_ids for layer in layers]
     make = encode_mvt if config.tile_format == "mvt" else encode_mlt
     merges = config.coalesce
 
+    def flush(done):
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["z", "x", "y", "data"])
+
+    def points(batches):
+        """Tiles of single points: whole tiles of the batches at hand at once."""
+        for batch in whole_tiles(batches):
+            at, layer = (batch.column(k).to_numpy() for k in range(2))
+            tile = np.cumsum(np.diff(at, prepend=at[0]) != 0)
+            found: dict[int, list[bytes]] = {}
+            for k, (name, names, m, counted) in enumerate(named):
+                own = batch if len(named) == 1 else batch.filter(pa.array(layer == k))
+                if not own.num_rows:
+                    continue
+                columns = own.column(6 + k).flatten()[:m] if m else []
+                if counted:
+                    columns.append(own.column(5))
+                mine = tile if len(named) == 1 else tile[layer == k]
+                for t, data in point_layer(name, names, mine, own.column(2) if shown[k] else None, own.column(3).to_numpy(), own.column(4).to_numpy(), columns):
+                    found.setdefault(t, []).append(data)
+            tiles = [unpacked(t) for t in at[np.flatnonzero(np.diff(tile, prepend=-1))].tolist()]
+            done = [(*tiles[t], packed(b"".join(layers))) for t, layers in sorted(found.items())]
+            for a in range(0, len(done), 256):
+                yield flush(done[a : a + 256])
+
     def run(batches):
         tile, held, done = None, [[] for _ in named], []
 
@@ -145,50 +192,92 @@ def encoded(rows: DataFrame, layers: list[Layer], config: TileConfig) -> DataFra
             content = [(name, names, coalesce(features) if merges else features) for (name, names, _, _), features in zip(named, held) if features]
             data = make(content)
             if data:
-                done.append((*tile, gzip.compress(data, 1, mtime=0)))
-
-        def flushed():
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["z", "x", "y", "data"])
+                done.append((*tile, packed(data)))
 
         for batch in batches:
-            place = [batch.column(k).to_numpy() for k in range(4)]
+            place = [batch.column(k).to_numpy() for k in range(2)]
             n = batch.num_rows
             if not n:
                 continue
             # where the tile or the layer changes
             turns = np.flatnonzero(np.logical_or.reduce([np.diff(p) != 0 for p in place])) + 1
-            fids, pxs, pys, shapes, counts = (batch.column(k).to_pylist() for k in range(5, 10))
+            fids, pxs, pys, shapes, counts = (batch.column(k).to_pylist() for k in range(2, 7))
             values = []
             for k, (_, _, m, counted) in enumerate(named):
-                props = batch.column(10 + k)
+                props = batch.column(7 + k)
                 fields = [f.to_pylist() for f in props.flatten()[:m]] if m and props.null_count < n else []
                 if counted:
                     fields.append(counts)
                 values.append(fields)
             for a, b in zip([0, *turns.tolist()], [*turns.tolist(), n]):
-                at, k = tuple(int(p[a]) for p in place[:3]), int(place[3][a])
+                at, k = unpacked(int(place[0][a])), int(place[1][a])
                 if at != tile:
                     close()
                     tile, held = at, [[] for _ in named]
                     if len(done) >= 256:
-                        yield flushed()
+                        yield flush(done)
                         done.clear()
                 rows = zip(*(f[a:b] for f in values[k])) if values[k] else repeat((), b - a)
                 for fid, x, y, shape, props in zip(fids[a:b], pxs[a:b], pys[a:b], shapes[a:b], rows):
                     g = (1, [[[(x, y)]]]) if shape is None else from_wkb(shape)
                     if g is not None:
                         held[k].append((fid if shown[k] else None, g, props))
+                if sum(map(len, held)) > TILE_FEATURES:
+                    raise ValueError(TOO_MANY.format(*tile, TILE_FEATURES))
         close()
-        yield flushed()
+        yield flush(done)
+
+    return dealt.mapInArrow(points if plain else run, "z int, x long, y long, data binary")
+
 
-    return dealt.mapInArrow(run, "z int, x long, y long, data binary")
+def unpacked(tile: int) -> tuple[int, int, int]:
+    return tile >> 50, tile >> 25 & 0x1FFFFFF, tile & 0x1FFFFFF
+
+
+def packed(data: bytes) -> bytes:
+    return gzip.compress(data, 1, mtime=0)
+
+
+def whole_tiles(batches):
+    """Batches sorted by tile (their first column), cut anew so that each tile lies in one."""
+    held: list[pa.RecordBatch] = []
+    last, rows = None, 0
+
+    def joined():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        at = batch.column(0).to_numpy()
+        turns = np.flatnonzero(np.diff(at)) + 1
+        first, end = int(at[0]), int(at[-1])
+        if last not in (None, first):
+            yield joined()
+            held, rows = [], 0
+        if len(turns):
+            cut = int(turns[-1])
+            held.append(batch.slice(0, cut))
+            yield joined()
+            held, rows = [batch.slice(cut)], n - cut
+        else:
+            held.append(batch)
+            rows += n
+        last = end
+        if rows > TILE_FEATURES:
+            raise ValueError(TOO_MANY.format(*unpacked(last), TILE_FEATURES))
+    if held:
+        yield joined()
 
 
 def pyramid(specs: list[LayerSpec], config: TileConfig) -> tuple[DataFrame, dict]:
     """Tiles ``(z, x, y, tile_id, data)`` and what the archive says of them. Statistics run at once, the rest is lazy. ``tables`` in the second are
     written tables that the plan reads."""
-    layers = [Layer(s, config) for s in specs]
+    layers, after = [], 0
+    for spec in specs:
+        layers.append(Layer(spec, config, after))
+        after = layers[-1].after
     there = [layer for layer in layers if layer.stats["n"]]
     if not there:
         raise ValueError("No valid features found")
@@ -196,7 +285,7 @@ def pyramid(specs: list[LayerSpec], config: TileConfig) -> tuple[DataFrame, dict
     tiles = tiles.withColumn("tile_id", tm.hilbert_id("z", "x", "y"))
     bounds = [f(layer.stats[c] for layer in there) for f, c in ((min, "west"), (min, "south"), (max, "east"), (max, "north"))]
     info = {
-        "tables": [layer.rows for layer in layers],
+        "tables": [layer.table for layer in layers],
         "tile_format": config.tile_format,
         "min_zoom": min(layer.spec.min_zoom for layer in layers),
         "max_zoom": max(layer.spec.max_zoom for layer in layers),
