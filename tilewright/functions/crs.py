@@ -101,7 +101,7 @@ def from_wkt(text: str):
     kind = _NAMES.get((re.search(r'PROJECTION\["([^"]+)"', text) or ["", ""])[1].lower())
     ball = re.search(r'SPHEROID\["[^"]*",\s*([\d.eE+]+),\s*([\d.eE+]+)', text)
     if kind is None or ball is None:
-        raise ValueError(f"unknown coordinate reference system {text[:80]}")
+        raise ValueError(f"unknown projection in {text[:80]}")
     p = {k.lower(): float(v) for k, v in re.findall(r'PARAMETER\["([^"]+)",\s*([-+\d.eE]+)\]', text)}
     first = lambda *names, default=0.0: next((p[n] for n in names if n in p), default)
     unit = float((re.findall(r'UNIT\["[^"]*",\s*([\d.eE+-]+)', text.rsplit("PARAMETER", 1)[-1]) or ["1"])[-1])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import crs as projections
-from tilewright.functions.geometry import POINT, bbox, from_wkb, mercator, to_wkb, transform
+from tilewright.functions.geometry import POINT, bbox, from_wkb, mercator, srid_of, to_wkb, transform
 from tilewright.functions.tilemath import BUFFER, EXTENT, LAT_BUFFERED, buffered_range, clamped, morton
 from tilewright.operators.clip import clip
 from tilewright.operators.simplify import simplify_lines, snap
@@ -24,17 +24,28 @@ def described(df: DataFrame, crs: str = "EPSG:4326") -> DataFrame:
     """``df(ord, fid, wkb, props)`` with ``kind``, the bounding box, and ``lon``, ``lat`` of the first vertex. Null, broken and unsupported geometries go;
     the WKB is written anew, in degrees and two dimensions."""
     schema = df.select("ord", "fid", "wkb", "props", F.lit(0).alias("kind"), *[F.lit(0.0).alias(c) for c in ("west", "south", "east", "north", "lon", "lat")]).schema
-    system = projections.known(crs)
-    projected = not isinstance(system, projections.Degrees)
+    given = projections.known(crs)
+    degrees_ = projections.Degrees()
+    systems = {None: given}
+
+    def system_of(data):
+        """That of the geometry itself (extended WKB), else that of the table."""
+        srid = srid_of(data)
+        if srid not in systems:
+            systems[srid] = projections.known(srid)
+        return systems[srid]
+
 
     def run(batches):
         for batch in batches:
             keep, out = [], [[] for _ in range(8)]
             for i, value in enumerate(batch.column(2)):
-                g = from_wkb(value.as_py())
+                data = value.as_py()
+                g = from_wkb(data)
                 if g is None:
                     continue
-                if projected:
+                system = system_of(data)
+                if system != degrees_:
                     try:
                         g = transform(g, lambda x, y: projections.to_degrees(x, y, system))
                     except (ValueError, OverflowError, ZeroDivisionError):  # beyond the domain of the projection

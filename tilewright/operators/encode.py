@@ -182,7 +182,7 @@ def _packed(data: bytes) -> list[int]:
 
 
 def decode_mvt(data: bytes) -> list[dict]:
-    """Layers with name, extent, version and features of id, kind (1 to 3), parts in tile units and properties."""
+    """Layers with name, extent, version, keys, values and features of id, kind (1 to 3), commands, parts in tile units and properties."""
     out = []
     for number, body in _fields(data):
         if number != 3:
@@ -213,8 +213,10 @@ def decode_mvt(data: bytes) -> list[dict]:
                 elif n == 3:
                     one["kind"] = v
                 elif n == 4:
-                    one["parts"] = _parts(_packed(v))
+                    one["commands"] = _packed(v)
+                    one["parts"] = _parts(one["commands"])
             layer["features"].append(one)
+        layer["keys"], layer["values"] = keys, values
         out.append(layer)
     return out
 
@@ -461,7 +463,8 @@ def decode_mlt(data: bytes) -> list[dict]:
             if code > COLUMN_GEOMETRY:
                 names.append(r.take(r.varint()).decode())
         ids, last = [], 0
-        for d in r.stream()[3]:
+        layer["id_steps"] = r.stream()[3]
+        for d in layer["id_steps"]:
             last = (last + d) & 0xFFFFFFFFFFFFFFFF
             ids.append(last)
         found = {}
@@ -488,7 +491,7 @@ def decode_mlt(data: bytes) -> list[dict]:
             for _ in range(count):
                 own += [run(1)] if base == 0 else [run(next(parts))] if base == 1 else [run(next(rings)) for _ in range(next(parts))]
             shapes.append((base + 1, own))
-        columns = []
+        columns, layer["columns"] = [], []
         for code in codes[2:]:
             base, present = code - code % 2, None
             streams = [r.stream() for _ in range(r.varint())] if base == COLUMN_STRING else [r.stream()]
@@ -497,6 +500,7 @@ def decode_mlt(data: bytes) -> list[dict]:
             if streams[0][0] == PRESENT:
                 bits, n = streams.pop(0)[3:]
                 present = [bits[i >> 3] >> (i & 7) & 1 for i in range(n)]
+            layer["columns"].append({"type": code, "streams": [(kind, sub, n) for kind, sub, _, _, n in streams]})
             if base == COLUMN_STRING:
                 cut, texts = streams[1][3], []
                 for n in streams[0][3]:

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilewright.functions import crs as projections
 from tilewright.functions import tilemath as tm
-from tilewright.functions.geometry import LINE, POLYGON, to_wkb
-from tilewright.operators import thin
+from tilewright.functions.geometry import LINE, POLYGON, from_wkb, to_wkb
+from tilewright.operators import encode, thin
 from tilewright.operators.cluster import clusters
+from tilewright.operators.coalesce import coalesce
 from tilewright.operators.cut import cut, pieces
-from tilewright.plans.model import LayerSpec, TileConfig, normalised
-from tilewright.plans.tiles import point_tiles, pyramid
+from tilewright.operators.encode import decode_mlt, decode_mvt
+from tilewright.operators.points import point_layer
+from tilewright.operators.simplify import visvalingam
+from tilewright.plans.model import LayerSpec, TileConfig, normalised, row_numbers
+from tilewright.plans.tiles import Layer, point_tiles, pyramid
 
 # ---- views; the same text serves both engines ------------------------------------------------------------------------------
 
@@ -198,8 +205,11 @@ def snap_points(spark, sf_dir):
 
 @query(_with("geo_points") + f"SELECT fid, CAST(9 AS BIGINT) AS command, CASE WHEN px >= 0 THEN 2 * px ELSE -2 * px - 1 END AS zx, CASE WHEN py >= 0 THEN 2 * py ELSE -2 * py - 1 END AS zy FROM (SELECT fid, {_px('lon', 9, 'x')} AS px, {_py('lat', 9, 'y')} AS py FROM ({_TILE9}) t) u")
 def mvt_point_commands(spark, sf_dir):
-    rows = quantize_points(spark, sf_dir)
-    return rows.select("fid", tm.command(1, F.lit(1).cast("long")).cast("long").alias("command"), tm.zigzag(F.col("px")).alias("zx"), tm.zigzag(F.col("py")).alias("zy"))
+    # encoded by groups of tiles: the commands of a point hang on itself alone
+    rows = _tile9(spark, sf_dir).select(F.shiftright("x", 6).alias("gx"), F.shiftright("y", 6).alias("gy"), "x", "y", "fid", tm.tile_px("lon", F.lit(9), "x").alias("px"), tm.tile_py("lat", F.lit(9), "y").alias("py"))
+    rows = rows.drop("x", "y").withColumnsRenamed({"gx": "x", "gy": "y"})
+    run = lambda features: [(f["id"], *f["commands"]) for f in _mvt_layer(features, [])["features"]]
+    return _by_tile(rows, run, "x long, y long, fid long, command long, zx long, zy long").drop("x", "y")
 
 
 _MORTON = """SELECT fid, lon, lat, {more} list_sum(list_transform(range(0, 16), lambda i: (((gx >> i) & 1) << (2 * i)) + (((gy >> i) & 1) << (2 * i + 1))))::BIGINT AS morton FROM (SELECT *, {gx} AS gx, {gy} AS gy FROM ({src}) s) g"""
@@ -347,7 +357,7 @@ WHERE xmin < {_west('x + 1', 'z')} + 18.0 / {_n('z')} AND xmax > {_west('x', 'z'
 )
 def clip_boxes_rect(spark, sf_dir):
     """Rectangles cut by the polygon clipper, as the bounds, in millionths of a degree, of what is left in each tile."""
-    from tilewright.functions.geometry import bbox, from_wkb
+    from tilewright.functions.geometry import bbox
 
     rows = cut(pieces(_zoomed(_boxes(spark, sf_dir), 6, 8), False, []), False, [])
     n = F.pow(F.lit(2.0), F.col("z").cast("double"))
@@ -388,21 +398,25 @@ def lines_zoom_assign(spark, sf_dir):
 
 @query(_with("geo_points_region", "geo_boxes") + "SELECT 'region' AS layer, fid, row_number() OVER (ORDER BY fid) AS id FROM geo_points_region UNION ALL SELECT 'boxes', fid, row_number() OVER (ORDER BY fid) + (SELECT count(*) FROM geo_points_region) FROM geo_boxes")
 def feature_ids_across_layers(spark, sf_dir):
-    """Ids go on from layer to layer; ranks come from pieces, so no window holds a layer."""
-    out, start = None, 0
-    for name, source in (("region", "geo_points_region"), ("boxes", "geo_boxes")):
-        rows = view(spark, sf_dir, source).select("fid")
-        n = rows.count()
-        pieces = thin.with_piece(rows, "fid", n)
-        sizes = pieces.groupBy("__piece").agg(F.count(F.lit(1)).alias("k"))
-        starts = sizes.select("__piece", (F.sum("k").over(W.orderBy("__piece")) - F.col("k")).alias("s"))
-        one = pieces.withColumn("r", F.row_number().over(W.partitionBy("__piece").orderBy("fid"))).join(F.broadcast(starts), "__piece")
-        one = one.select(F.lit(name).alias("layer"), "fid", (F.col("s") + F.col("r") + start).cast("long").alias("id"))
+    """Layers without ids of their own, as the pyramid numbers them."""
+    out, before = None, 0
+    boxes = _boxes(spark, sf_dir).select("fid", F.col("wkb").alias("geometry"))
+    for name, rows, columns in (("region", view(spark, sf_dir, "geo_points_region").select("fid", "lon", "lat"), {"lon": "lon", "lat": "lat"}), ("boxes", boxes, {})):
+        layer = Layer(LayerSpec(rows.orderBy("fid"), name=name, min_zoom=0, max_zoom=1, **columns), TileConfig(max_zoom=1), before)
+        before = layer.after
+        one = layer.rows.select(F.lit(name).alias("layer"), F.col("props.fid").alias("fid"), F.col("fid").alias("id"))
         out = one if out is None else out.unionByName(one)
-        start += n
     return out
 
 
+@query(_with("geo_points") + "SELECT priority, count(*) AS n, sum(price) > 0 AS positive, row_number() OVER (ORDER BY priority) AS id FROM geo_points GROUP BY priority")
+def feature_ids_of_grouped_query(spark, sf_dir):
+    """Numbers of the rows of a query with shuffles."""
+    rows = view(spark, sf_dir, "geo_points").groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("s")).orderBy("priority")
+    found = row_numbers(rows.withColumn("positive", F.col("s") > 0), "id")
+    return found.select("priority", "n", "positive", "id")
+
+
 @query(_with("geo_points_region", "geo_boxes") + f"SELECT layer, z, count(*) AS n FROM (SELECT 'region' AS layer, 0 AS lo, 5 AS hi FROM geo_points_region UNION ALL SELECT 'boxes', 3, 8 FROM geo_boxes) l, {_ZOOMS.format(a=0, b=8)} WHERE z BETWEEN lo AND hi GROUP BY 1, 2")
 def layer_zoom_ranges(spark, sf_dir):
     out = None
@@ -418,73 +432,103 @@ def multilayer_tile_union(spark, sf_dir):
     return at("geo_points", 0).unionByName(at("geo_points_region", 1)).groupBy("x", "y").agg(F.count_if(F.col("layer") == 0).alias("n_world"), F.count_if(F.col("layer") == 1).alias("n_region"))
 
 
+def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run(tile, features)`` for the rows of each tile ``(x, y)``, by ``fid``: features are (fid, place, px, py, values of the other columns)."""
+    import pandas as pd
+
+    names = [c for c in rows.columns if c not in ("x", "y", "fid", "px", "py")]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("fid")
+        values = [[None if v is None or v != v else v for v in pdf[c].tolist()] for c in names]
+        features = list(zip(pdf["fid"].tolist(), pdf["px"].tolist(), pdf["py"].tolist(), zip(*values) if names else [()] * len(pdf)))
+        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+        return pd.DataFrame([(x, y, *r) for r in run(features)], columns=[f.split()[0] for f in schema.split(", ")])
+
+    return rows.groupBy("x", "y").applyInPandas(one, schema)
+
+
+def _mvt_layer(features, names: list[str]) -> dict:
+    """The points of a tile through the encoder of point layers and back."""
+    import numpy as np
+    import pyarrow as pa
+
+    fid, px, py, values = zip(*features)
+    columns = [pa.array(c) for c in zip(*values)]
+    ((_, data),) = point_layer("p", names, np.zeros(len(fid), np.int64), pa.array(fid, pa.int64()), np.array(px, np.int64), np.array(py, np.int64), columns)
+    return decode_mvt(data)[0]
+
+
+def _mlt_layer(features, names: list[str]) -> dict:
+    return decode_mlt(encode.encode_mlt([("p", names, [(f, (1, [[[(x, y)]]]), v) for f, x, y, v in features])]))[0]
+
+
 @query(_with("geo_boxes") + f"SELECT x, y, brand, count(*) AS members, min(fid) AS first_id FROM (SELECT fid, brand, {_tx('xmin', 4)} AS x, {_ty('ymin', 4)} AS y FROM geo_boxes) b GROUP BY x, y, brand")
 def coalesce_polygon_groups(spark, sf_dir):
-    rows = view(spark, sf_dir, "geo_boxes").select("fid", "brand", tm.tile_x("xmin", F.lit(4)).alias("x"), tm.tile_y("ymin", F.lit(4)).alias("y"))
-    return rows.groupBy("x", "y", "brand").agg(F.count(F.lit(1)).alias("members"), F.min("fid").alias("first_id"))
+    """Boxes of a tile, merged by brand: members and id of each multipolygon."""
+    rows = _boxes(spark, sf_dir).select(tm.tile_x("west", F.lit(4)).alias("x"), tm.tile_y("south", F.lit(4)).alias("y"), "fid", F.lit(0).alias("px"), F.lit(0).alias("py"), "brand", "wkb")
+
+    def run(features):
+        merged = coalesce([(fid, from_wkb(wkb), (brand,)) for fid, _, _, (brand, wkb) in features])
+        return [(values[0], len(g[1]), fid) for fid, g, values in merged]
 
+    return _by_tile(rows, run, "x long, y long, brand string, members long, first_id long")
 
-# ---- encoder rules in relational form --------------------------------------------------------------------------------------
+
+# ---- encoder rules, read back from the encoders' bytes ---------------------------------------------------------------------
 
 _VALUES = f"SELECT {_tx('lon', 3)} AS x, {_ty('lat', 3)} AS y, fid, status, priority FROM geo_points"
 
 
-def _values(spark, sf_dir):
-    return view(spark, sf_dir, "geo_points").select(tm.tile_x("lon", F.lit(3)).alias("x"), tm.tile_y("lat", F.lit(3)).alias("y"), "fid", "status", "priority")
+def _values(spark, sf_dir, *columns):
+    return view(spark, sf_dir, "geo_points").select(tm.tile_x("lon", F.lit(3)).alias("x"), tm.tile_y("lat", F.lit(3)).alias("y"), "fid", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"), *columns)
 
 
 @query(_with("geo_points") + f"SELECT x, y, priority, row_number() OVER (PARTITION BY x, y ORDER BY first_fid) - 1 AS value_index FROM (SELECT x, y, priority, min(fid) AS first_fid FROM ({_VALUES}) v GROUP BY x, y, priority) f")
 def mvt_dictionary_keys_values(spark, sf_dir):
-    first = _values(spark, sf_dir).groupBy("x", "y", "priority").agg(F.min("fid").alias("first_fid"))
-    return first.select("x", "y", "priority", (F.row_number().over(W.partitionBy("x", "y").orderBy("first_fid")) - 1).cast("long").alias("value_index"))
+    run = lambda features: [(v, i) for i, v in enumerate(_mvt_layer(features, ["priority"])["values"])]
+    return _by_tile(_values(spark, sf_dir, "priority"), run, "x long, y long, priority string, value_index long")
 
 
-_TYPED = "SELECT fid % 7 AS tile, CASE WHEN fid % 5 = 0 THEN NULL ELSE status END AS s, CASE WHEN fid % 7 = 3 THEN NULL WHEN fid % 7 = 4 AND fid % 2 = 0 THEN NULL ELSE price END AS d FROM geo_points"
+_TYPED = "SELECT fid % 7 AS x, CAST(0 AS BIGINT) AS y, fid, CASE WHEN fid % 5 = 0 THEN NULL ELSE status END AS s, CASE WHEN fid % 7 = 3 THEN NULL WHEN fid % 7 = 4 AND fid % 2 = 0 THEN NULL ELSE price END AS d FROM geo_points"
 
 
-@query(_with("geo_points") + f"SELECT tile, CASE WHEN count(s) = count(*) THEN 28 ELSE 29 END::BIGINT AS s_type, CASE WHEN count(d) = 0 THEN 29 WHEN count(d) = count(*) THEN 26 ELSE 27 END::BIGINT AS d_type FROM ({_TYPED}) t GROUP BY tile")
+@query(_with("geo_points") + f"SELECT x, y, CASE WHEN count(s) = count(*) THEN 28 ELSE 29 END::BIGINT AS s_type, CASE WHEN count(d) = 0 THEN 29 WHEN count(d) = count(*) THEN 26 ELSE 27 END::BIGINT AS d_type FROM ({_TYPED}) t GROUP BY x, y")
 def mlt_column_types(spark, sf_dir):
-    rows = view(spark, sf_dir, "geo_points").select((F.col("fid") % 7).alias("tile"), F.when(F.col("fid") % 5 != 0, F.col("status")).alias("s"), F.when((F.col("fid") % 7 == 3) | ((F.col("fid") % 7 == 4) & (F.col("fid") % 2 == 0)), None).otherwise(F.col("price")).alias("d"))
-    code = lambda c, base: F.when(F.count(c) == 0, 29).when(F.count(c) == F.count(F.lit(1)), base).otherwise(base + 1).cast("long")
-    return rows.groupBy("tile").agg(code("s", 28).alias("s_type"), code("d", 26).alias("d_type"))
+    rows = spark.sql(_TYPED.replace("FROM geo_points", "FROM {points}"), points=view(spark, sf_dir, "geo_points"))
+    rows = rows.select("x", "y", "fid", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"), "s", "d")
+    run = lambda features: [tuple(c["type"] for c in _mlt_layer(features, ["s", "d"])["columns"])]
+    return _by_tile(rows, run, "x long, y long, s_type long, d_type long")
 
 
 @query(
     _with("geo_points")
-    + f""", v AS ({_VALUES}), e AS (SELECT x, y, priority, count(*) AS n, row_number() OVER (PARTITION BY x, y ORDER BY min(fid)) - 1 AS i FROM v GROUP BY x, y, priority)
-SELECT x, y, sum(n * (length(priority) + 1))::BIGINT + 8 AS raw_cost, sum(length(priority) + 1 + n)::BIGINT + 12 AS dict_cost, sum(length(priority) + 1 + n) + 12 < sum(n * (length(priority) + 1)) + 8 AND count(*) < sum(n) AS pays FROM e GROUP BY x, y"""
+    + f""", v AS ({_VALUES}), e AS (SELECT x, y, priority, count(*) AS n FROM v GROUP BY x, y, priority), c AS (SELECT x, y, sum(length(priority) + 1 + n) + 12 < sum(n * (length(priority) + 1)) + 8 AND count(*) < sum(n) AS pays, count(*) AS k, sum(n)::BIGINT AS n FROM e GROUP BY x, y)
+SELECT x, y, pays, CASE WHEN pays THEN k ELSE n END::BIGINT AS lengths, CASE WHEN pays THEN n ELSE 0 END::BIGINT AS offsets FROM c"""
 )
 def mlt_dictionary_decision(spark, sf_dir):
-    """Lengths and indexes here need one byte each."""
-    e = _values(spark, sf_dir).groupBy("x", "y", "priority").agg(F.count(F.lit(1)).alias("n"))
-    size = F.char_length("priority") + 1
-    raw, table = F.sum(F.col("n") * size) + 8, F.sum(size + F.col("n")) + 12
-    return e.groupBy("x", "y").agg(raw.alias("raw_cost"), table.alias("dict_cost"), ((table < raw) & (F.count(F.lit(1)) < F.sum("n"))).alias("pays"))
+    """Whether texts are written by dictionary, and how many lengths and offsets there are. Lengths and indexes here need one byte each."""
+
+    def run(features):
+        streams = _mlt_layer(features, ["priority"])["columns"][0]["streams"]
+        pays = len(streams) == 3
+        return [(pays, streams[0][2], streams[2][2] if pays else 0)]
+
+    return _by_tile(_values(spark, sf_dir, "priority"), run, "x long, y long, pays boolean, lengths long, offsets long")
 
 
 @query(_with("geo_points") + f"SELECT x, y, sum(CASE WHEN status IS DISTINCT FROM before THEN 1 ELSE 0 END)::BIGINT AS runs FROM (SELECT x, y, status, lag(status) OVER (PARTITION BY x, y ORDER BY fid) AS before FROM ({_VALUES}) v) l GROUP BY x, y")
 def mlt_rle_runs(spark, sf_dir):
-    rows = _values(spark, sf_dir).withColumn("before", F.lag("status").over(W.partitionBy("x", "y").orderBy("fid")))
-    return rows.groupBy("x", "y").agg(F.count_if(~F.col("status").eqNullSafe(F.col("before"))).alias("runs"))
+    return _by_tile(_values(spark, sf_dir, "status"), lambda features: [(encode.run_count([v[0] for *_, v in features]),)], "x long, y long, runs long")
 
 
 @query(_with("geo_points") + f"SELECT x, y, fid, fid - coalesce(lag(fid) OVER (PARTITION BY x, y ORDER BY fid), 0) AS delta FROM ({_VALUES}) v")
 def mlt_delta_ids(spark, sf_dir):
-    return _values(spark, sf_dir).select("x", "y", "fid", (F.col("fid") - F.lag("fid", 1, 0).over(W.partitionBy("x", "y").orderBy("fid"))).alias("delta"))
+    def run(features):
+        layer = _mlt_layer(features, [])
+        return [(f["id"], step) for f, step in zip(layer["features"], layer["id_steps"])]
 
-
-@query(
-    _with("geo_points_region")
-    + """, c AS (SELECT CAST(floor(lon / 0.05) AS BIGINT) AS cx, CAST(floor(lat / 0.05) AS BIGINT) AS cy, count(*) AS n FROM geo_points_region GROUP BY 1, 2)
-SELECT a.cx, a.cy, a.n, (SELECT sum(b.n) FROM c b WHERE abs(b.cx - a.cx) <= 1 AND abs(b.cy - a.cy) <= 1)::BIGINT AS around FROM c a"""
-)
-def grid_cells_cluster(spark, sf_dir):
-    """Points of each occupied cell and of the 3 by 3 cells around it: counts are sent to their neighbours, no cells are paired."""
-    cell = lambda c: F.floor(F.col(c) / 0.05).cast("long")
-    cells = view(spark, sf_dir, "geo_points_region").groupBy(cell("lon").alias("cx"), cell("lat").alias("cy")).agg(F.count(F.lit(1)).alias("n"))
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    sent = cells.withColumn("d", F.explode(steps)).select((F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), "n", ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("own"))
-    return sent.groupBy("cx", "cy").agg(F.sum(F.when(F.col("own"), F.col("n"))).alias("own_n"), F.sum("n").alias("around")).where("own_n is not null").select("cx", "cy", F.col("own_n").alias("n"), "around")
+    return _by_tile(_values(spark, sf_dir), run, "x long, y long, fid long, delta long")
 
 
 _ODD = "SELECT s_suppkey AS fid, s_name AS name, s_nationkey AS nation, CASE WHEN s_suppkey % 4 = 0 THEN CAST('NaN' AS DOUBLE) ELSE s_acctbal END AS balance, CAST(s_acctbal AS DECIMAL(12, 1)) AS short, s_acctbal > 0 AS good FROM supplier"
@@ -515,9 +559,32 @@ def sql_query_points(spark, sf_dir):
 # ---- whole operators -------------------------------------------------------------------------------------------------------
 
 
-@query()
+_RADIUS = 40.0 * 360.0 / 256.0
+
+
+def _greedy_sql(z: int, source: str) -> str:
+    """CTEs of one clustered zoom: the first point left is a seed and takes all points left in reach."""
+    reach = f"{_RADIUS!r} / power(2, {z}) * ({_RADIUS!r} / power(2, {z}))"
+    part = lambda left, op: f"list_filter({left}, lambda p: (p.lon - {left}[1].lon) * (p.lon - {left}[1].lon) + (p.lat - {left}[1].lat) * (p.lat - {left}[1].lat) {op} {reach})"
+    units = lambda c: f"sum(floor(m.{c} * 4294967296.0 + 0.5)::HUGEINT * coalesce(m.w, 1))::DOUBLE / sum(coalesce(m.w, 1))::DOUBLE / 4294967296.0"
+    return f"""a{z} AS (SELECT list({{'fid': fid, 'lon': lon, 'lat': lat, 'w': w}} ORDER BY fid) AS rest FROM {source}),
+r{z} AS (SELECT rest[1] AS seed, {part('rest', '<=')} AS members, {part('rest', '>')} AS rest FROM a{z}
+  UNION ALL SELECT rest[1], {part('rest', '<=')}, {part('rest', '>')} FROM r{z} WHERE len(rest) > 0),
+m{z} AS (SELECT seed, unnest(members) AS m FROM r{z}),
+l{z} AS (SELECT seed.fid AS fid, CASE WHEN count(*) = 1 THEN any_value(seed.lon) ELSE {units('lon')} END AS lon, CASE WHEN count(*) = 1 THEN any_value(seed.lat) ELSE {units('lat')} END AS lat,
+  CASE WHEN count(*) = 1 THEN any_value(seed.w) ELSE sum(coalesce(m.w, 1))::BIGINT END AS w FROM m{z} GROUP BY seed)"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + _with("geo_points_region")[5:-1]
+    + f", start AS (SELECT fid, lon, lat, CAST(NULL AS BIGINT) AS w FROM geo_points_region), {_greedy_sql(7, 'start')}, {_greedy_sql(6, 'l7')}, {_greedy_sql(5, 'l6')} "
+    + " UNION ALL ".join(f"SELECT CAST({z} AS BIGINT) AS z, fid, CAST(floor(lon * 1000000.0 + 0.37) AS BIGINT) AS lon, CAST(floor(lat * 1000000.0 + 0.37) AS BIGINT) AS lat, w AS point_count FROM l{z}" for z in (7, 6, 5))
+)
 def cluster_points(spark, sf_dir):
-    return clusters(view(spark, sf_dir, "geo_points_region"), 40.0, 7, 5)
+    """Three zooms of clusters, each made of the one above; places in millionths of a degree."""
+    micro = lambda c: F.floor(F.col(c) * 1000000.0 + 0.37).cast("long").alias(c)
+    return _z(clusters(view(spark, sf_dir, "geo_points_region"), 40.0, 7, 5)).select("z", "fid", micro("lon"), micro("lat"), "point_count")
 
 
 def _lines(spark, sf_dir) -> DataFrame:
@@ -531,51 +598,158 @@ def _lines(spark, sf_dir) -> DataFrame:
     return lines.select("fid", wkb("v").alias("geometry"), (F.col("fid") % 3).alias("road"))
 
 
-@query()
+_AREAS = "[abs((v[i].x - v[i - 1].x) * (v[i + 1].y - v[i - 1].y) - (v[i + 1].x - v[i - 1].x) * (v[i].y - v[i - 1].y)) / 2 FOR i IN range(2, len(v))]"
+
+
+@query(
+    "WITH RECURSIVE "
+    + _with("geo_line_vertices")[5:-1]
+    + f""", s AS (SELECT fid, list({{'x': lon, 'y': lat}} ORDER BY seq) AS v FROM geo_line_vertices GROUP BY fid HAVING count(*) >= 2),
+t AS (SELECT fid, v, {_AREAS} AS a FROM s),
+r AS (SELECT fid, v, a FROM t
+  UNION ALL SELECT fid, w, list_transform(range(2, len(w)), lambda i: abs((w[i].x - w[i - 1].x) * (w[i + 1].y - w[i - 1].y) - (w[i + 1].x - w[i - 1].x) * (w[i].y - w[i - 1].y)) / 2) FROM (
+    SELECT fid, list_concat(v[1:list_position(a, list_min(a))], v[list_position(a, list_min(a)) + 2:]) AS w FROM r WHERE len(a) > 0 AND list_min(a) <= 0.5) q)
+SELECT fid, len(v)::BIGINT AS vertices, CAST(list_sum(list_transform(v, lambda p: floor(p.x * 1000000.0 + 0.37))) AS BIGINT) AS trace FROM r WHERE len(a) = 0 OR list_min(a) > 0.5"""
+)
 def vw_simplify_lines(spark, sf_dir):
-    from tilewright.functions.geometry import from_wkb
-    from tilewright.operators.simplify import simplify_lines
+    """How many vertices stay of each line, and the sum of their longitudes in millionths of a degree."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("vertices long, trace long")
     def left(v):
-        return v.map(lambda b: len(simplify_lines(from_wkb(b), 8 * (360.0 / (4096 * 2**6)) ** 2)[1][0][0]))
-
-    return _lines(spark, sf_dir).select("fid", left("geometry").alias("vertices"))
+        import pandas as pd
 
+        kept = [visvalingam(from_wkb(b)[1][0][0], 0.5) for b in v]
+        return pd.DataFrame({"vertices": [len(k) for k in kept], "trace": [sum(floor(x * 1000000.0 + 0.37) for x, _ in k) for k in kept]})
 
-def _tiles(spark, specs, **settings) -> DataFrame:
-    return pyramid(specs, TileConfig(**settings))[0]
+    return _lines(spark, sf_dir).withColumn("s", left("geometry")).select("fid", "s.vertices", "s.trace")
 
 
-@query()
+@query(_with("geo_line_vertices") + "SELECT fid % 7 AS x, CAST(0 AS BIGINT) AS y, count(*) AS vertices, CAST(floor(sum(lon) * 1000000.0 + 0.37) AS BIGINT) AS trace FROM geo_line_vertices GROUP BY fid HAVING count(*) >= 2")
 def coalesce_lines(spark, sf_dir):
-    lines = LayerSpec(_lines(spark, sf_dir), name="lines", id="fid", min_zoom=5, max_zoom=6)
-    return _tiles(spark, [LayerSpec(lines.df.select("geometry", "road"), name="lines", min_zoom=5, max_zoom=6)], min_zoom=5, max_zoom=6, coalesce=True).select("z", "x", "y", "tile_id", F.octet_length("data").alias("n_bytes"))
+    """Each step of a path as a line of its own, some turned round, in no order: merging makes the paths again."""
+    step = W.partitionBy("fid").orderBy("seq")
+    rows = view(spark, sf_dir, "geo_line_vertices").withColumns({"lon2": F.lead("lon").over(step), "lat2": F.lead("lat").over(step)}).where("lon2 is not null")
+    mixed = rows.select((F.col("fid") % 7).alias("x"), F.lit(0).cast("long").alias("y"), F.xxhash64("fid", "seq").alias("fid"), F.lit(0).alias("px"), F.lit(0).alias("py"), "lon", "lat", "lon2", "lat2")
+
+    def run(features):
+        lines = [(k, (LINE, [[[(a, b), (c, d)] if k % 2 else [(c, d), (a, b)]]]), ("road",)) for k, (_, _, _, (a, b, c, d)) in enumerate(features)]
+        return [(len(m[0]), floor(sum(x for x, _ in sorted(m[0])) * 1000000.0 + 0.37)) for _, g, _ in coalesce(lines) for m in g[1]]
+
+    return _by_tile(mixed, run, "x long, y long, vertices long, trace long")
+
+
+# ---- archives and tiles, decoded -------------------------------------------------------------------------------------------
+
+
+def _tiles(spark, specs, **settings) -> DataFrame:
+    return pyramid(specs, TileConfig(**settings))[0]
 
 
 def _point_layer(spark, sf_dir, low, high) -> LayerSpec:
     return LayerSpec(view(spark, sf_dir, "geo_points"), name="points", lon="lon", lat="lat", id="fid", min_zoom=low, max_zoom=high)
 
 
-@query()
+def point_tiles_of(spark, sf_dir, tile_format: str = "mvt") -> DataFrame:
+    """Thinned points of zooms 0 to 4 as tiles ``(z, x, y, tile_id, data)``."""
+    return _tiles(spark, [_point_layer(spark, sf_dir, 0, 4)], max_zoom=4, drop_rate=2.5, tile_format=tile_format)
+
+
+def decoded_points(tiles: DataFrame, tile_format: str = "mvt") -> DataFrame:
+    """A row for each feature of tiles of the layer ``points``."""
+    import gzip
+
+    import pyarrow as pa
+
+    decode = decode_mvt if tile_format == "mvt" else decode_mlt
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
+    names = ["z", "x", "y", "fid", "px", "py", "status", "priority", "price"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for z, x, y, data in zip(*(c.to_pylist() for c in batch.columns)):
+                for layer in decode(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                    rows += [(z, x, y, f["id"], *f["parts"][0][0], *(f["properties"].get(k) for k in names[6:])) for f in layer["features"]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    return tiles.select("z", "x", "y", "data").mapInArrow(run, "z long, x long, y long, fid long, px long, py long, status string, priority string, price double")
+
+
+_THINNED = (
+    _with("geo_points")
+    + f""", ranked AS ({_RANKED}), quota AS (SELECT z, n, CAST(ceil(n / power(2.5, 4 - z)) AS BIGINT) AS k FROM (SELECT DISTINCT n FROM ranked) c, {_ZOOMS.format(a=0, b=3)}),
+spots AS (SELECT z, CAST(least(floor(j * (CAST(n AS DOUBLE) / k)), n - 1) AS BIGINT) AS r FROM (SELECT z, n, k, unnest(range(0, k)) AS j FROM quota) q),
+kept AS (SELECT s.z, fid FROM ranked JOIN spots s ON s.r = ranked.r UNION ALL SELECT 4, fid FROM geo_points),
+shown AS (SELECT kept.z, geo_points.* FROM kept JOIN geo_points USING (fid)),
+spread AS (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, {_RANGES} FROM shown) r) s),
+tiled AS (SELECT * FROM spread WHERE lon BETWEEN {_west('x', 'z')} - 18.0 / {_n('z')} AND {_west('x + 1', 'z')} + 18.0 / {_n('z')}
+  AND lat BETWEEN {_north('y + 1', 'z')} - 0.05 * ({_north('y', 'z')} - {_north('y + 1', 'z')}) AND {_north('y', 'z')} + 0.05 * ({_north('y', 'z')} - {_north('y + 1', 'z')})) """
+)
+_DECODED = _THINNED + f"SELECT z, x, y, fid, {_px('lon', 'z', 'x')} AS px, {_py('lat', 'z', 'y')} AS py, status, priority, price FROM tiled"
+
+
+@query(_DECODED)
 def encode_mvt(spark, sf_dir):
-    return _tiles(spark, [_point_layer(spark, sf_dir, 0, 4)], max_zoom=4, drop_rate=2.5)
+    """Every feature that the tiles hold, read back from their bytes."""
+    return decoded_points(point_tiles_of(spark, sf_dir))
 
 
-@query()
+@query(_DECODED)
 def encode_mlt(spark, sf_dir):
-    return _tiles(spark, [_point_layer(spark, sf_dir, 0, 4)], max_zoom=4, drop_rate=2.5, tile_format="mlt")
+    return decoded_points(point_tiles_of(spark, sf_dir, "mlt"), "mlt")
+
+
+_BOX_DROP = f"NOT (z < 6 AND (xmax - xmin) * (ymax - ymin) < power(360.0 / ({_n('z')} * 4096.0), 2) * power(2.5, 6 - z))"
+_BOX_ALL = _BOX_TILES.replace(_ZOOMS.format(a=6, b=8), _ZOOMS.format(a=2, b=6)).replace("SELECT fid, xmin", "SELECT fid, brand, size, xmin")
 
 
-@query()
+def _box_x(lon: str) -> str:
+    return f"CAST(round(({lon} - {_west('x', 'z')}) / ({_west('x + 1', 'z')} - {_west('x', 'z')}) * 4096.0) AS BIGINT)"
+
+
+def _box_y(lat: str) -> str:
+    top, bottom = _merc(_north("y", "z")), _merc(_north("y + 1", "z"))
+    return f"CAST(round(({top} - {_merc(lat)}) / ({top} - {bottom}) * 4096.0) AS BIGINT)"
+
+
+@query(
+    _with("geo_boxes")
+    + f"""SELECT * FROM (SELECT z, x, y, fid, brand, size, {_box_x(f"greatest(xmin, {_west('x', 'z')} - 18.0 / {_n('z')})")} AS x0, {_box_x(f"least(xmax, {_west('x + 1', 'z')} + 18.0 / {_n('z')})")} AS x1,
+  {_box_y(f"least(ymax, {_north('y', 'z')} + {_H})")} AS y0, {_box_y(f"greatest(ymin, {_north('y + 1', 'z')} - {_H})")} AS y1 FROM ({_BOX_ALL}) t
+WHERE {_BOX_DROP} AND xmin < {_west('x + 1', 'z')} + 18.0 / {_n('z')} AND xmax > {_west('x', 'z')} - 18.0 / {_n('z')} AND ymin < {_north('y', 'z')} + {_H} AND ymax > {_north('y + 1', 'z')} - {_H}) u WHERE x0 < x1 AND y0 < y1"""
+)
 def encode_boxes(spark, sf_dir):
+    """Every rectangle that the tiles hold, by its corners."""
+    import gzip
+
+    import pyarrow as pa
+
     boxes = LayerSpec(_boxes(spark, sf_dir).select("fid", F.col("wkb").alias("geometry"), "brand", "size"), name="boxes", id="fid", min_zoom=2, max_zoom=6)
-    return _tiles(spark, [boxes], min_zoom=2, max_zoom=6, drop_rate=2.5)
+    tiles = _tiles(spark, [boxes], min_zoom=2, max_zoom=6, drop_rate=2.5)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for z, x, y, data in zip(*(c.to_pylist() for c in batch.columns)):
+                for f in decode_mvt(gzip.decompress(data))[0]["features"]:
+                    xs, ys = zip(*f["parts"][0])
+                    rows.append((z, x, y, f["id"], f["properties"]["brand"], f["properties"]["size"], min(xs), max(xs), min(ys), max(ys)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 4 else pa.int64()) for i in range(10)], ["z", "x", "y", "fid", "brand", "size", "x0", "x1", "y0", "y1"])
 
+    return tiles.select("z", "x", "y", "data").mapInArrow(run, "z long, x long, y long, fid long, brand string, size long, x0 long, x1 long, y0 long, y1 long")
 
-@query()
+
+@query(
+    _THINNED.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, t AS (SELECT z, x, y, count(*) AS n_features, sum(fid)::BIGINT AS ids FROM tiled GROUP BY z, x, y),
+h AS (SELECT z, x AS tx, y AS ty, n_features, ids, x, y, CAST(power(2, z) AS BIGINT) // 2 AS s, CAST(0 AS BIGINT) AS d FROM t
+  UNION ALL SELECT z, tx, ty, n_features, ids,
+    CASE WHEN (y & s) > 0 THEN x WHEN (x & s) > 0 THEN s - 1 - y ELSE y END, CASE WHEN (y & s) > 0 THEN y WHEN (x & s) > 0 THEN s - 1 - x ELSE x END, s // 2,
+    d + s * s * (CASE WHEN (x & s) > 0 AND (y & s) > 0 THEN 2 WHEN (x & s) > 0 THEN 3 WHEN (y & s) > 0 THEN 1 ELSE 0 END) FROM h WHERE s > 0)
+SELECT z, tx AS x, ty AS y, d + (CAST(power(4, z) AS BIGINT) - 1) // 3 AS tile_id, n_features, ids FROM h WHERE s = 0"""
+)
 def pmtiles_roundtrip(spark, sf_dir):
-    """Tiles written to an archive in the shared folder and read back."""
+    """Tiles written to an archive in the shared folder and read back: their ids, and their features by number and sum of ids."""
     import uuid
 
     from tilewright.api import read_tiles, tile
@@ -584,4 +758,54 @@ def pmtiles_roundtrip(spark, sf_dir):
     base = shared_dir(spark).removeprefix("file://").removeprefix("file:")
     path = f"{base}/{uuid.uuid4().hex}.pmtiles"
     tile(_point_layer(spark, sf_dir, 0, 4), path, max_zoom=4, drop_rate=2.5, quiet=True)
-    return read_tiles(spark, path)
+    tiles = read_tiles(spark, path)
+    held = decoded_points(tiles).groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n_features"), F.sum("fid").alias("ids"))
+    return tiles.select(F.col("z").cast("long").alias("z"), "x", "y", "tile_id").join(held, ["z", "x", "y"])
+
+
+# ---- coordinates and the SQL door ------------------------------------------------------------------------------------------
+
+_E2 = "(2 / 298.257222101 - 1 / (298.257222101 * 298.257222101))"
+
+
+def _aq(phi: str) -> str:
+    s = f"sin({phi})"
+    return f"((1 - {_E2}) * ({s} / (1 - {_E2} * {s} * {s}) - ln((1 - sqrt({_E2}) * {s}) / (1 + sqrt({_E2}) * {s})) / (2 * sqrt({_E2}))))"
+
+
+def _am(phi: str) -> str:
+    return f"(cos({phi}) / sqrt(1 - {_E2} * sin({phi}) * sin({phi})))"
+
+
+_P1, _P2, _P0 = "radians(CAST(29.5 AS DOUBLE))", "radians(CAST(45.5 AS DOUBLE))", "radians(CAST(23 AS DOUBLE))"
+_ALBERS = f"""SELECT fid, lon, lat, rho * sin(n * radians(lon + 96)) AS x, rho0 - rho * cos(n * radians(lon + 96)) AS y FROM (
+  SELECT fid, lon, lat, n, 6378137.0 * sqrt(c - n * {_aq('radians(lat)')}) / n AS rho, 6378137.0 * sqrt(c - n * {_aq(_P0)}) / n AS rho0 FROM (
+    SELECT fid, lon, lat, n, {_am(_P1)} * {_am(_P1)} + n * {_aq(_P1)} AS c FROM (
+      SELECT fid, lon, lat, ({_am(_P1)} * {_am(_P1)} - {_am(_P2)} * {_am(_P2)}) / ({_aq(_P2)} - {_aq(_P1)}) AS n FROM geo_points_region) a) b) r"""
+
+
+@query(_with("geo_points_region") + f"SELECT fid, CAST(floor(x * 10 + 0.37) AS BIGINT) AS x, CAST(floor(y * 10 + 0.37) AS BIGINT) AS y, true AS lon_close, true AS lat_close FROM ({_ALBERS}) p")
+def project_albers(spark, sf_dir):
+    """EPSG:5070 forward in decimetres, stated in SQL, and whether the way back from SQL's metres ends within 1e-7 degrees."""
+    albers = projections.known("EPSG:5070")
+    rows = spark.sql(_ALBERS.replace("FROM geo_points_region", "FROM {points}"), points=view(spark, sf_dir, "geo_points_region"))
+    x, y = projections.from_degrees(F.col("lon"), F.col("lat"), albers, F)
+    lon, lat = projections.to_degrees(F.col("x"), F.col("y"), albers, F)
+    whole = lambda c: F.floor(c * 10 + 0.37).cast("long")
+    return rows.select("fid", whole(x).alias("x"), whole(y).alias("y"), (F.abs(lon - F.col("lon")) < 1e-7).alias("lon_close"), (F.abs(lat - F.col("lat")) < 1e-7).alias("lat_close"))
+
+
+@query("SELECT 1::BIGINT AS n_types, count(*) AS n, 'POINT' AS kind, count(*) AS near, 4326::BIGINT AS srid FROM supplier WHERE s_nationkey > 3")
+def sql_door(spark, sf_dir):
+    """Setup statements, a file function, EXCLUDE, a created table and spatial functions of points and WKB in one text."""
+    from tilewright.sources.sqltext import register_spatial, run_setup
+
+    register_spatial(spark)
+    last = run_setup(spark, f"""INSTALL spatial; LOAD spatial;
+        CREATE OR REPLACE TEMP TABLE tw_suppliers AS SELECT * EXCLUDE (s_acctbal) FROM read_parquet('{sf_dir}/supplier.parquet') WHERE s_nationkey > 3;
+        WITH p AS (SELECT *, st_point(s_suppkey % 90, s_nationkey) AS g FROM tw_suppliers),
+        q AS (SELECT *, st_setsrid(st_transform(st_aswkb(g), 'EPSG:4326', 'EPSG:3857'), 3857) AS m FROM p)
+        SELECT count(DISTINCT st_geometrytype(g)) AS n_types, count(*) AS n, max(st_geometrytype(m)) AS kind,
+          count_if(abs(st_x(st_transform(m, 'EPSG:3857', 'EPSG:4326')) - st_x(g)) < 1e-9 AND st_y(g) = s_nationkey // 1) AS near,
+          CASE max(st_srid(m)) WHEN 'EPSG:3857' THEN 4326 END AS srid FROM q""")
+    return spark.sql(last).withColumns({"srid": F.col("srid").cast("long")})

@@ -271,7 +271,7 @@ def whole_tiles(batches):
         yield joined()
 
 
-def pyramid(specs: list[LayerSpec], config: TileConfig) -> tuple[DataFrame, dict]:
+def pyramid(specs: list[LayerSpec], config: TileConfig, points_only: bool = False) -> tuple[DataFrame, dict]:
     """Tiles ``(z, x, y, tile_id, data)`` and what the archive says of them. Statistics run at once, the rest is lazy. ``tables`` in the second are
     written tables that the plan reads."""
     layers, after = [], 0
@@ -281,6 +281,8 @@ def pyramid(specs: list[LayerSpec], config: TileConfig) -> tuple[DataFrame, dict
     there = [layer for layer in layers if layer.stats["n"]]
     if not there:
         raise ValueError("No valid features found")
+    if points_only and not all(layer.dots for layer in there):
+        raise ValueError("streaming='always' takes POINT geometries only")
     tiles = encoded(union_of(there), there, config)
     tiles = tiles.withColumn("tile_id", tm.hilbert_id("z", "x", "y"))
     bounds = [f(layer.stats[c] for layer in there) for f, c in ((min, "west"), (min, "south"), (max, "east"), (max, "north"))]

@@ -11,12 +11,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions.geometry import from_geojson, to_wkb
+from tilewright.functions.geometry import from_geojson, from_wkt, to_wkb
 from tilewright.sources.legacy import GeoPackage, Shapefile, gpkg_layer, shapefile_crs
 
 PARQUET, GEOJSON, LINES = (".parquet", ".geoparquet"), (".geojson", ".json"), (".geojsonl", ".ndjson", ".geojsonseq")
 PACKAGES, SHAPES = (".gpkg",), (".shp",)
-ENGINES = ("auto", "geoparquet", "geojson", "gpkg", "shapefile")
+TABLES = (".csv", ".tsv")
+ENGINES = ("auto", "duckdb", "geoparquet", "geojson", "gpkg", "shapefile", "csv")
 
 
 class _HadoopFile(io.RawIOBase):
@@ -103,16 +104,40 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return rows.select("geometry", F.from_json("p", schema).alias("p")).select("geometry", "p.*")
 
 
+# Names of coordinate columns, pair by pair, in lower case.
+COORDINATES = (("lon", "lat"), ("longitude", "latitude"), ("lng", "lat"), ("x", "y"))
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A delimited table with a header: ``geometry`` from a column ``wkt`` or ``geometry`` of well-known text, or from a pair of ``COORDINATES``."""
+    df = spark.read.csv(path, header=True, inferSchema=True, sep="\t" if path.lower().endswith(".tsv") else ",")
+    names = {c.lower(): c for c in df.columns}
+    text = names.get("wkt") or names.get("geometry")
+    if text:
+
+        @F.pandas_udf("binary")
+        def wkb(column: pd.Series) -> pd.Series:
+            return column.map(lambda t: to_wkb(g) if (g := from_wkt(t)) else None)
+
+        found = wkb(F.col(f"`{text}`"))
+        return df.select(*[F.col(f"`{c}`") for c in df.columns if c != text], found.alias("geometry"))
+    pair = next(((names[a], names[b]) for a, b in COORDINATES if a in names and b in names), None)
+    if pair is None:
+        raise ValueError(f"{path} has no column wkt or geometry, and no pair of {COORDINATES}")
+    point = F.struct(F.col(f"`{pair[0]}`").cast("double").alias("x"), F.col(f"`{pair[1]}`").cast("double").alias("y"))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in pair], point.alias("geometry"))
+
+
 def read_features(spark: SparkSession, path: str, engine: str = "auto", source_crs: str | None = None) -> tuple[DataFrame, str, str]:
-    """Table, geometry column and CRS of a file."""
+    """Table, geometry column and CRS of a file. ``auto`` (also known as ``duckdb``, of which nothing is used here) goes by suffix."""
     if engine not in ENGINES:
         raise ValueError(f"engine must be one of {ENGINES}, not {engine!r}")
     low = path.lower().rstrip("/")
-    if engine == "auto":
-        known = (("geoparquet", PARQUET), ("geojson", GEOJSON + LINES), ("gpkg", PACKAGES), ("shapefile", SHAPES))
+    if engine in ("auto", "duckdb"):
+        known = (("csv", TABLES), ("geoparquet", PARQUET), ("geojson", GEOJSON + LINES), ("gpkg", PACKAGES), ("shapefile", SHAPES))
         engine = next((name for name, suffixes in known if low.endswith(suffixes)), None)
         if engine is None:
-            raise ValueError(f"no reader for {path}; known: {', '.join(PARQUET + GEOJSON + LINES + PACKAGES + SHAPES)}")
+            raise ValueError(f"no reader for {path}; known: {', '.join(PARQUET + GEOJSON + LINES + PACKAGES + SHAPES + TABLES)}")
     if engine == "geoparquet":
         column, crs = geoparquet_geometry(spark, path)
         return spark.read.parquet(path), column, source_crs or crs
@@ -126,4 +151,6 @@ def read_features(spark: SparkSession, path: str, engine: str = "auto", source_c
     if engine == "shapefile":
         spark.dataSource.register(Shapefile)
         return spark.read.format("shapefile").load(path), "geometry", source_crs or shapefile_crs(path)
+    if engine == "csv":
+        return read_csv(spark, path), "geometry", source_crs or "EPSG:4326"
     return read_geojson(spark, path, low.endswith(LINES)), "geometry", source_crs or "EPSG:4326"

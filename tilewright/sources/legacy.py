@@ -214,8 +214,7 @@ def shapefile_crs(path: str) -> str:
         return "EPSG:4326"
     with open(prj, encoding="utf-8", errors="replace") as f:
         text = f.read()
-    if text.startswith("GEOGCS"):
-        return "EPSG:4326"
-    if "Pseudo-Mercator" in text or "Mercator_Auxiliary_Sphere" in text:
-        return "EPSG:3857"
-    raise ValueError(f"{prj} names a projection other than longitude and latitude or Web Mercator")
+    from tilewright.functions.crs import known
+
+    known(text)  # refused here, with the file at hand, rather than in a task
+    return text

@@ -193,27 +193,55 @@ class Writer(DataSourceArrowWriter):
             HEADER, b"PMTiles", 3, HEADER_BYTES, len(root), at_meta, len(meta), at_leaf, leaf_size, at_data, data_size, tiles, total, contents,
             1, GZIP, GZIP, TILE_TYPES[info.get("tile_format", "mvt")], low, high, e7(west), e7(south), e7(east), e7(north), (low + high) // 2, e7((west + east) / 2), e7((south + north) / 2),
         )
-        flags = "wb" if self.overwrite else "xb"
-        with open(self.path, flags) as out:
+        # written beside the archive and renamed when whole: a driver that is lost midway leaves the old archive as it was
+        whole = f"{self.parts}/whole"
+        with open(whole, "wb") as out:
             out.write(header + root + meta)
-            with open(leaves_path, "rb") as f:
-                shutil.copyfileobj(f, out, 1 << 20)
-            for part in parts:
-                with open(f"{self.parts}/{part.name}.data", "rb") as f:
-                    shutil.copyfileobj(f, out, 1 << 20)
+            for name in ["leaves", *(f"{part.name}.data" for part in parts)]:
+                _append(f"{self.parts}/{name}", out)
+            out.flush()
+            os.fsync(out.fileno())
+        if self.overwrite:
+            os.replace(whole, self.path)
+        else:
+            os.link(whole, self.path)  # fails if there is one by now
 
     def abort(self, messages):
         shutil.rmtree(self.parts, ignore_errors=True)
 
 
+def _append(path: str, out) -> None:
+    """Copied by the system where it can, so that bytes do not pass through this process."""
+    with open(path, "rb") as f:
+        size, at = os.path.getsize(path), 0
+        out.flush()
+        while at < size:
+            try:
+                done = os.sendfile(out.fileno(), f.fileno(), at, min(size - at, 1 << 30))
+            except (OSError, AttributeError):
+                break
+            if not done:
+                break
+            at += done
+        if at < size:
+            f.seek(at)
+            out.seek(0, os.SEEK_END)
+            shutil.copyfileobj(f, out, 1 << 20)
+
+
 @dataclass
 class Slice(InputPartition):
+    """Entries of the root that point to tiles, or a leaf directory by place and length."""
+
     entries: list
+    leaf: tuple[int, int] | None
+    leaf_at: int
     data_at: int
 
 
 class Reader(DataSourceReader):
-    """Rows ``(z, x, y, tile_id, data)`` with tiles decompressed; directories are read on the driver, tiles by the tasks."""
+    """Rows ``(z, x, y, tile_id, data)`` with tiles decompressed. The driver reads the root directory, which is small by format; a task reads its leaf
+    directories and their tiles."""
 
     def __init__(self, options):
         self.path = options["path"].removeprefix("file:")
@@ -221,32 +249,44 @@ class Reader(DataSourceReader):
     def partitions(self):
         with open(self.path, "rb") as f:
             h = header_of(f)
-            found = []
+            f.seek(h["root_offset"])
+            root = unpack_directory(f.read(h["root_length"]))
+        own = [e for e in root if e[3]]
+        out = [Slice(own[a : a + 2048], None, h["leaf_offset"], h["data_offset"]) for a in range(0, len(own), 2048)]
+        return out + [Slice([], (h["leaf_offset"] + offset, length), h["leaf_offset"], h["data_offset"]) for _, offset, length, run in root if not run] or [Slice([], None, 0, 0)]
 
-            def walk(at, n):
-                f.seek(at)
-                for tile, offset, length, run in unpack_directory(f.read(n)):
-                    if run:
-                        found.append((tile, offset, length, run))
-                    else:
-                        walk_later.append((h["leaf_offset"] + offset, length))
+    def read(self, part):
+        rows, held = [], 0
 
-            walk_later = [(h["root_offset"], h["root_length"])]
-            while walk_later:
-                walk(*walk_later.pop(0))
-        found.sort()
-        return [Slice(found[a : a + 2048], h["data_offset"]) for a in range(0, len(found), 2048)] or [Slice([], 0)]
+        def made():
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["z", "x", "y", "tile_id", "data"])
 
-    def read(self, part):
-        rows = []
         with open(self.path, "rb") as f:
-            for tile, offset, length, run in part.entries:
+
+            def entries(found):
+                for entry in found:
+                    if entry[3]:
+                        yield entry
+                    else:
+                        f.seek(part.leaf_at + entry[1])
+                        yield from entries(unpack_directory(f.read(entry[2])))
+
+            found = part.entries
+            if part.leaf:
+                f.seek(part.leaf[0])
+                found = unpack_directory(f.read(part.leaf[1]))
+            for tile, offset, length, run in entries(found):
                 f.seek(part.data_at + offset)
                 body = gzip.decompress(f.read(length))
-                rows += [(*hilbert_to_tile(t), t, body) for t in range(tile, tile + run)]
-        columns = list(zip(*rows)) or [()] * 5
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["z", "x", "y", "tile_id", "data"])
+                for t in range(tile, tile + run):
+                    rows.append((*hilbert_to_tile(t), t, body))
+                    held += len(body)
+                    if held > 32 << 20:
+                        yield made()
+                        rows, held = [], 0
+        yield made()
 
 
 class PMTiles(DataSource):
