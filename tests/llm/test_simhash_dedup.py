@@ -124,14 +124,73 @@ def test_one_of_each_component_stays(spark):
     docs = odd_documents(spark)
     kept = m.drop_copies(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [1, 2, 4, 5, 6, 7] or len(ids) == len(set(ids))
-    assert {3, 8}.isdisjoint(ids) and 2 in ids
+    texts = [(r.doc_id, r.text) for r in kept.collect()]
+    # of rows with an id that repeats, unlike texts are no copies
+    assert sorted((d or -1, (t or "")[:3]) for d, t in texts) == [(-1, "no "), (1, "The"), (1, "sam"), (2, ""), (4, "Lor"), (5, "123"), (6, "Ünï"), (7, "wor")]
     clean = docs.where("doc_id in (4, 5, 7)")
     assert m.drop_copies(clean).count() == 3
     assert m.drop_copies(no_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("cluster", [m.cluster, m.cluster_alike])
+def test_distinct_texts_of_null_and_repeated_ids_stay(spark, cluster):
+    words = [" ".join(f"{w}{i}" for i in range(30)) for w in "abcdefg"]
+    rows = [(None, words[0]), (None, words[1]), (5, words[2]), (5, words[3]), (7, words[4])]
+    rows += [(None, words[0]), (5, words[2]), (9, words[2]), (None, words[4]), (3, words[5]), (3, words[5]), (None, words[6]), (None, words[6])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map('a', doc_id) AS fp", "1 AS id", "doc_id AS root")
+    kept = [(r.doc_id, r.text) for r in m.drop_copies(docs, cluster).collect()]
+    assert sorted(kept, key=str) == sorted([(None, words[0]), (None, words[1]), (5, words[2]), (5, words[3]), (7, words[4]), (3, words[5]), (None, words[6])], key=str)
+    assert m.drop_copies(docs, cluster).columns == docs.columns
+
+
+def test_blocks_are_abandoned():
+    """Among unlike fingerprints nearly every block is left before its last plane."""
+    rng = random.Random(2)
+    members = [v - (1 << 64) if v >> 63 else v for v in {rng.getrandbits(64) for _ in range(2000)}]
+    m.Block.asked = m.Block.abandoned = 0
+    assert m.forest(members, size=512) == []
+    assert m.Block.asked > 2000 and m.Block.abandoned == m.Block.asked
+    planes_seen = 0
+
+    class Counted(list):
+        def __iter__(self):
+            nonlocal planes_seen
+            for x in super().__iter__():
+                planes_seen += 1
+                yield x
+
+    block = m.Block([v & (1 << 64) - 1 for v in members[:512]])
+    block.planes = Counted(block.planes)
+    assert block.near(rng.getrandbits(64), 2) == 0 and planes_seen < 40
+
+
+@pytest.mark.parametrize("size", [3, 64, 1024])
+def test_blocks_do_not_change_the_forest(size):
+    fps = sorted({f - (1 << 64) if f >> 63 else f for f in near_fingerprints(size)})
+    parts = lambda edges: sorted(edges)
+    assert parts(m.forest(fps, size=size)) == parts(m.forest(fps, size=10**6))
+
+
+@pytest.mark.parametrize("radius", [2, 9, 23])
+def test_near_pairs_equal_brute_force(radius):
+    rng = random.Random(radius)
+    values = sorted(set(near_fingerprints(radius, 150)))
+    roots = [rng.randrange(30) for _ in values]
+    want = {(i, j) for i in range(len(values)) for j in range(i) if roots[i] != roots[j] and (values[i] ^ values[j]).bit_count() <= radius}
+    assert set(m.near_pairs(values, roots, radius, size=16)) == want
+
+
+@pytest.mark.parametrize("chunk", [2, 10_000])
+def test_chunks_of_a_band_do_not_matter(spark, monkeypatch, chunk):
+    monkeypatch.setattr(m, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    rows = [(rng.randrange(2), 0, i, v, rng.randrange(20)) for i, v in enumerate(v - (1 << 64) if v >> 63 else v for v in sorted(set(near_fingerprints(5, 80))))]
+    sizes = {b: sum(r[0] == b for r in rows) for b in (0, 1)}
+    df = spark.createDataFrame([(b, sizes[b], f, s, r) for b, _, f, s, r in rows], "band long, n long, fp long, sim long, root long")
+    want = {(max(p[2], q[2]), min(p[2], q[2])) for p in rows for q in rows if p[0] == q[0] and p[2] > q[2] and p[4] != q[4] and ((p[3] ^ q[3]) & (1 << 64) - 1).bit_count() <= m.WIDE}
+    assert {(r.a, r.b) for r in m._open_pairs(df).collect()} == want
+
+
 def test_large_group_of_near_copies(spark):
     """A hub of thousands of fingerprints gives a forest, not all pairs."""
     base = random.Random(1).getrandbits(63)

@@ -7,9 +7,9 @@
    16-bit blocks. Six tables keyed by two blocks thus bring every link together (pigeonhole).
    A key that holds many fingerprints is dealt again by two of the four bytes of its other
    32 bits, by the same argument; no key can then hold more than 65,536 fingerprints.
-4. In a bucket the fingerprints are stored as vertical bit planes. A query's distances to all
-   of them grow together in carry-save counters; the block is abandoned once all exceed the
-   radius. The bucket gives a spanning forest, never all pairs.
+4. In a bucket the fingerprints are sorted and stored in blocks of ``BLOCK``, as vertical bit planes. A query's distances to a
+   block's members grow together in carry-save counters; the block is abandoned once all members exceed the
+   radius or are linked already. The bucket gives a spanning forest, never all pairs.
 5. Connected components of the forests' edges (see ``operators.graph``).
 
 Defined cases: null and empty texts have fingerprint zero and link with each other; texts of one or
@@ -27,17 +27,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import arrow_map, forget, saved, table
+from tilewright.llm.common import arrow_map, forget, fresh, saved, table
 from tilewright.operators.graph import components
 
 RADIUS = 2
 SHINGLE = 3
 #: Fingerprints of one key that are compared in one piece; larger keys are dealt again.
 BUCKET = 16384
+#: Members of a block of bit planes.
+BLOCK = 1024
 #: Rows of equal fingerprints that one task hands their component.
 COPIES = 1_000_000
-#: Bands of minhashes, and minhashes in a band, of ``cluster_alike``.
-BANDS, ROWS = 24, 4
+#: Bands of minhashes, and minhashes in a band, of ``cluster_alike``, the radius of its SimHashes, and texts of a band that are compared in one piece.
+BANDS, ROWS, WIDE, CHUNK = 24, 4, 23, 4096
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
@@ -73,12 +75,17 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
 
 
-def near_in_planes(planes: list[tuple[int, int]], every: int, query: int, radius: int) -> int:
-    """Bit mask of the members within ``radius`` of ``query``. ``planes``: (bit, plane) of the bits
-    in which members differ. Distances are held as vertical counters that saturate past the radius."""
+def near_in_planes(planes: list[tuple[int, int]], every: int, query: int, radius: int, over: int = 0, base: int = 0) -> int:
+    """Bit mask of the members within ``radius`` of ``query``, 0 as soon as there can be none. ``planes``: (bit, plane) of the bits in which members
+    differ; ``base``: in how many other bits the query differs from all of them; ``over``: members that are not asked for. Distances are held
+    as vertical counters that saturate past the radius."""
+    if base > radius or over == every:
+        return 0
     width = radius.bit_length() + 1
-    counters, over = [0] * width, 0
+    counters = [every if base >> level & 1 else 0 for level in range(width)]
     top = 1 << (width - 1)
+    if counters[-1]:
+        return 0
     for bit, plane in planes:
         carry = plane ^ every if query >> bit & 1 else plane
         for level in range(width):
@@ -89,50 +96,105 @@ def near_in_planes(planes: list[tuple[int, int]], every: int, query: int, radius
             over |= carry
         if counters[-1]:
             over |= counters[-1]
-        if over == every:
+        if radius == top - 1:
+            if over == every:
+                return 0
+        elif bit & 3 == 0 and over | _beyond(counters, every, radius, top) == every:
             return 0
+    return every & ~(over | _beyond(counters, every, radius, top))
+
+
+def _beyond(counters: list[int], every: int, radius: int, top: int) -> int:
+    """Members whose counter is over ``radius`` though its highest bit is not set."""
+    out = 0
     for value in range(radius + 1, top):
         hit = every
-        for level in range(width):
-            hit &= counters[level] if value >> level & 1 else ~counters[level]
-        over |= hit
-    return every & ~over
+        for level, counter in enumerate(counters):
+            hit &= counter if value >> level & 1 else ~counter
+        out |= hit
+    return out
+
+
+class Block:
+    """Fingerprints, unsigned, as bit planes. ``asked`` and ``abandoned`` count queries."""
+
+    asked = abandoned = 0
+
+    def __init__(self, values: list[int]):
+        n = len(values)
+        self.every = (1 << n) - 1
+        self.planes, self.common, self.shared = [], 0, 0
+        matrix = np.unpackbits(np.array(values, ">u8").view(np.uint8).reshape(n, 8), axis=1)
+        for column in range(64):
+            plane = int.from_bytes(np.packbits(matrix[:, column], bitorder="little").tobytes(), "little")
+            if plane in (0, self.every):
+                self.shared |= 1 << (63 - column)
+                self.common |= (1 << (63 - column)) * (plane != 0)
+            else:
+                self.planes.append((63 - column, plane))
+
+    def near(self, query: int, radius: int, over: int = 0) -> int:
+        found = near_in_planes(self.planes, self.every, query, radius, over, ((query ^ self.common) & self.shared).bit_count())
+        Block.asked += 1
+        Block.abandoned += not found
+        return found
+
 
+def _places(mask: int):
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
 
-def forest(members: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+
+def forest(members: list[int], radius: int = RADIUS, size: int | None = None) -> list[tuple[int, int]]:
     """Edges (member, smallest member) that join all of ``members`` which links within ``radius``
     connect. Members are distinct signed 64-bit fingerprints."""
-    n = len(members)
+    n, size = len(members), size or BLOCK
     values = [m & 0xFFFFFFFFFFFFFFFF for m in members]
     if n == 2:
         return [(max(members), min(members))] if (values[0] ^ values[1]).bit_count() <= radius else []
-    every = (1 << n) - 1
-    matrix = np.unpackbits(np.array(values, ">u8").view(np.uint8).reshape(n, 8), axis=1)
-    planes = []
-    for column in range(64):
-        plane = int.from_bytes(np.packbits(matrix[:, column], bitorder="little").tobytes(), "little")
-        if plane not in (0, every):
-            planes.append((63 - column, plane))
-    edges, left = [], every
-    while left:
-        first = (left & -left).bit_length() - 1
-        left &= left - 1
+    blocks = [Block(values[a : a + size]) for a in range(0, n, size)]
+    left = [b.every for b in blocks]
+    edges = []
+    for first in range(n):
+        home, bit = divmod(first, size)
+        if not left[home] >> bit & 1:
+            continue
+        left[home] ^= 1 << bit
         group, queue = [first], [first]
         while queue:
-            near = near_in_planes(planes, every, values[queue.pop()], radius) & left
-            left &= ~near
-            while near:
-                low = near & -near
-                at = low.bit_length() - 1
-                near ^= low
-                group.append(at)
-                queue.append(at)
+            query = values[queue.pop()]
+            for k, block in enumerate(blocks):
+                if left[k] and (near := block.near(query, radius, block.every & ~left[k])):
+                    left[k] &= ~near
+                    fresh_ = [k * size + at for at in _places(near)]
+                    group += fresh_
+                    queue += fresh_
         if len(group) > 1:
             root = min(members[i] for i in group)
             edges += [(members[i], root) for i in group if members[i] != root]
     return edges
 
 
+def near_pairs(values: list[int], roots: list[int], radius: int, size: int | None = None):
+    """Places (later, earlier) of all ``values`` within ``radius`` of each other whose ``roots`` differ."""
+    size = size or BLOCK
+    blocks = [Block(values[a : a + size]) for a in range(0, len(values), size)]
+    same: list[dict[int, int]] = [{} for _ in blocks]
+    for i, root in enumerate(roots):
+        k, bit = divmod(i, size)
+        same[k][root] = same[k].get(root, 0) | 1 << bit
+    for i, value in enumerate(values):
+        home, bit = divmod(i, size)
+        for k in range(home + 1):
+            over = same[k].get(roots[i], 0)
+            if k == home:
+                over |= blocks[k].every & ~((1 << bit) - 1)
+            for at in _places(blocks[k].near(value, radius, over)):
+                yield i, k * size + at
+
+
 def _runs(batches, radius: int):
     """Buckets arrive sorted by key; one may go on in the next batch."""
     key, members = None, []
@@ -181,7 +243,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def cluster(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of each row of ``docs(doc_id, text)``."""
+    """``(doc_id, fp, root, component_id)`` of each row of ``docs(doc_id, text)``; ``root`` is the smallest fingerprint of the component."""
     fps = saved(fingerprints(docs))
     distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     return _handed_out(fps, distinct, saved(links(distinct.select("fp"))))
@@ -192,25 +254,47 @@ def _handed_out(fps: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFr
     joined = components(edges)
     member = joined.withColumnRenamed("node", "fp").join(distinct, "fp")
     least = member.groupBy("root").agg(F.min("least").alias("component"))
-    moved = saved(member.join(least, "root").select("fp", "component"))
+    moved = saved(member.join(least, "root").select("fp", "root", "component"))
     forget(edges)
-    own = distinct.join(moved, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"))
+    own = distinct.join(moved, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
     # groups of copies of more than COPIES rows are dealt to several tasks; there are fewer than rows / COPIES of them
     hot = distinct.where(F.col("n") > COPIES).select("fp", F.ceil(F.col("n") / COPIES).alias("shares"))
     share = F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1)))
     dealt = fps.join(F.broadcast(hot), "fp", "left").select("doc_id", "fp", share.alias("share"))
     shares = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / COPIES) - 1)
-    return dealt.join(own.withColumn("share", F.explode(shares)), ["fp", "share"]).select("doc_id", "fp", "component_id")
+    return dealt.join(own.withColumn("share", F.explode(shares)), ["fp", "share"]).select("doc_id", "fp", "root", "component_id")
+
+
+# ---- five words and a similarity of 0.8, for the pipeline ------------------------------------------------------------------
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _word_hashes(text: str | None) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint64)
+
+
+def text_key(text: str | None) -> int:
+    """A hash of the sequence of words; 0 for a text without words."""
+    hashes = _word_hashes(text)
+    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), 42), "big", signed=True) if len(hashes) else 0
 
 
-def _grams(words: list[bytes], k: int) -> np.ndarray:
+def _grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """The distinct hashes of the shingles, sorted; a text of fewer words is one shingle."""
-    grams = [xxhash.xxh64_digest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))] if words else []
-    return np.unique(np.frombuffer(b"".join(grams), np.uint64))
+    n = max(1, len(hashes) - k + 1) if len(hashes) else 0
+    out = np.zeros(n, np.uint64)
+    for i in range(min(k, len(hashes))):
+        out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _sim(grams: np.ndarray) -> int:
+    """The SimHash of a set of shingles, signed."""
+    ones, raw = np.zeros(64, np.int64), grams.byteswap().view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(raw), 65536):
+        ones += np.unpackbits(raw[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(raw)).tobytes(), "big", signed=True)
 
 
 _DRAWN = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
@@ -227,22 +311,11 @@ def _bands(grams: np.ndarray) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(raw[8 * ROWS * b : 8 * ROWS * (b + 1)], b), "big", signed=True) for b in range(BANDS)]
 
 
-def _pieces(batches, rows: int = 32):
-    """Few rows at a time, as word lists and hashes take several times the memory of a text."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def _whole(words: list[bytes]) -> int:
-    return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), 42), "big", signed=True) if words else 0
-
-
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The ``pairs(a, b)`` whose sets of shingles have a Jaccard similarity of ``least`` at least."""
 
     def run(batches):
-        for batch in _pieces(batches):
+        for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -255,59 +328,117 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return arrow_map(both, run, "a long, b long")
 
 
+def _open_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``open_(band, n, fp, sim, root)`` of one band, within ``WIDE`` bits and in unlike components. A band of more than ``CHUNK`` texts is
+    dealt in chunks by hash, each pair of chunks to a task, so that a task holds two chunks at most."""
+    chunks = F.ceil(F.col("n") / CHUNK)
+    own = F.pmod(F.xxhash64("fp"), chunks)
+    with_other = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    dealt = open_.withColumn("own", own).withColumn("other", F.explode(with_other))
+    dealt = dealt.select("band", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "fp", "sim", "root")
+
+    def run(batches):
+        key, held = None, []
+
+        def close():
+            held.sort(key=lambda r: r[1])
+            found = [(held[i][0], held[j][0]) for i, j in near_pairs([r[1] & 0xFFFFFFFFFFFFFFFF for r in held], [r[2] for r in held], WIDE)] if len(held) > 1 else []
+            for at in range(0, len(found), 10_000):
+                part = found[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in part], pa.int64()), pa.array([min(p) for p in part], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for band, c, d, *row in zip(*(x.to_pylist() for x in batch.columns)):
+                if (band, c, d) != key:
+                    yield from close()
+                    key, held = (band, c, d), []
+                held.append(row)
+        yield from close()
+
+    return dealt.repartition("band", "c", "d").sortWithinPartitions("band", "c", "d").mapInArrow(run, "a long, b long").distinct()
+
+
 def cluster_alike(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of components of texts whose sets of ``k``-word shingles have a Jaccard similarity of ``least``
-    at least, verified exactly; ``fp`` is a hash of the whole text. Texts that agree in one of ``BANDS`` bands of ``ROWS`` minhashes are compared:
-    first each with the least of its band, then all pairs of a band that are not in one component yet, so that a large group of near copies
-    does not meet in pairs. A pair of similarity 0.8 agrees in no band with odds of 3 in a million."""
+    """``(doc_id, fp, root, component_id)`` of components of texts whose sets of ``k``-word shingles have a Jaccard similarity of ``least``
+    at least, verified exactly; ``fp`` is a hash of the whole text.
 
-    def described(batches):
-        for batch in _pieces(batches):
-            words = [_words(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_whole, words), pa.int64()), pa.array([_bands(_grams(w, k)) for w in words], pa.list_(pa.int64()))], ["doc_id", "fp", "bands"])
+    At 0.8 two SimHashes of 64 bits differ in 9.7 bits on average (standard deviation 2.9), and a table of blocks that guarantees the 23 bits which leave out one pair in
+    100,000 would bring all texts together. So the buckets are ``BANDS`` bands of ``ROWS`` minhashes (a pair of similarity 0.8 shares none with odds
+    of 3 in a million), and within a band texts are compared by bit-sliced SimHash distance up to ``WIDE`` bits: first each text with the least and the
+    greatest of its band, then, in bands that are not one component yet, all that lie in unlike components. Candidates are verified."""
 
-    def gathered(batches):
-        for batch in _pieces(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([_whole(_words(t.as_py())) for t in batch.column(0)], pa.int64()), batch.column(0)], ["fp", "text"])
+    def described(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):  # one text at a time, as hashes take several times its memory
+                hashes = _word_hashes(text.as_py())
+                grams = _grams(hashes, k)
+                key = int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), 42), "big", signed=True) if len(hashes) else 0
+                rows.append((key, _sim(grams) if len(grams) else 0, _bands(grams)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()))))], ["doc_id", "fp", "sim", "bands"])
 
     def shingled(batches):
-        for batch in _pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_grams(_words(t.as_py()), k).tobytes() for t in batch.column(1)], pa.binary())], ["fp", "grams"])
+        for batch in batches:
+            for at in range(batch.num_rows):
+                hashes = _word_hashes(batch.column(0)[at].as_py())
+                key = int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), 42), "big", signed=True) if len(hashes) else 0
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([_grams(hashes, k).tobytes()], pa.binary())], ["fp", "grams"])
 
-    rows = saved(arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), described, "doc_id long, fp long, bands array<long>"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = saved(arrow_map(docs, described, "doc_id long, fp long, sim long, bands array<long>"))
     fps = rows.select("doc_id", "fp")
     distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    keyed = rows.select("fp", F.explode("bands").alias("band")).distinct()
-    heads = keyed.groupBy("band").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = saved(keyed.join(heads, "band").select("band", "fp", "head"))
-    wanted = met.select("fp").distinct()
-    texts = arrow_map(docs.select(F.col("text").cast("string")), gathered, "fp long, text string").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
-    sets = saved(arrow_map(texts, shingled, "fp long, grams binary"))
-    first = met.where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
-    linked = saved(_alike(first, sets, least))
+    keyed = rows.select("fp", "sim", F.explode("bands").alias("band")).distinct()
+    ends = keyed.groupBy("band").agg(F.min(F.struct("fp", "sim")).alias("lo"), F.max(F.struct("fp", "sim")).alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = saved(keyed.join(ends, "band").select("band", "fp", "sim", "lo", "hi", "n"))
+    # of each text that meets another, the words once: read again by the id of one of its rows
+    wanted = saved(distinct.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "least"))
+    ids = wanted.select(F.col("least").alias("id")).distinct()
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+    sets = saved(arrow_map(texts, shingled, "fp long, grams binary").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+    within = lambda c: F.bit_count(F.col("sim").bitwiseXOR(F.col(f"{c}.sim"))) <= WIDE
+    first = None
+    for c in ("lo", "hi"):
+        one = met.where((F.col("fp") != F.col(f"{c}.fp")) & within(c)).select(F.greatest("fp", f"{c}.fp").alias("a"), F.least("fp", f"{c}.fp").alias("b"))
+        first = one if first is None else first.unionByName(one)
+    linked = saved(_alike(first.distinct(), sets, least))
     roots = components(linked).withColumnRenamed("node", "fp")
-    placed = saved(met.join(roots, "fp", "left").select("band", "fp", "head", F.coalesce("root", "fp").alias("root")))
+    placed = saved(met.join(roots, "fp", "left").select("band", "n", "fp", "sim", F.coalesce("root", "fp").alias("root")))
     # bands whose texts are all in one component are done
     open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    left = placed.join(open_, "band", "left_semi").where("fp <> head")
-    one, two = (left.select("band", F.col("fp").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
-    second = one.join(two, "band").where("a > b and a_root <> b_root").select("a", "b").distinct()
+    second = saved(_open_pairs(placed.join(open_, "band", "left_semi")).join(first, ["a", "b"], "left_anti"))
     return _handed_out(fps, distinct, saved(linked.unionByName(_alike(second, sets, least))))
 
 
+cluster.key, cluster_alike.key = fingerprint, text_key
+
+
 def drop_copies(docs: DataFrame, cluster=cluster) -> DataFrame:
-    """Keep one document of each component, the one of smallest id; columns stay as they are. Of rows
-    that repeat an id one stays. A component without any id (all null) keeps one row."""
-    found = cluster(docs.select("doc_id", "text"))
-    per_id = found.groupBy("doc_id").agg(F.min("component_id").alias("__c"), F.count(F.lit(1)).alias("__n"))
-    odd = saved(per_id.where(~F.col("doc_id").eqNullSafe(F.col("__c")) | (F.col("__n") > 1)).select(F.col("doc_id").alias("__id"), (~F.col("doc_id").eqNullSafe(F.col("__c"))).alias("__copy"), (F.col("__n") > 1).alias("__many")))
-    marked = docs.join(odd, docs["doc_id"].eqNullSafe(odd["__id"]), "left").where("not coalesce(__copy, false)")
-    if not odd.where("__many and not __copy").limit(1).count():
-        return marked.select(*[docs[c] for c in docs.columns])
-    names = docs.columns
-    one = marked.where("not coalesce(__many, false)").select(*names)
-    rest = marked.where("__many").groupBy("__id").agg(F.min(F.struct(*[F.col(c) for c in names])).alias("__r")).select("__r.*")
-    return one.unionByName(rest)
+    """Keep one row of each component; columns stay as they are. It is a row of the component's smallest id (null only where all are); if several
+    rows have that id, the least of them as JSON. Rows of unlike components all stay, whatever their ids."""
+    found = saved(cluster(docs.select("doc_id", "text")))
+    own = fresh(docs, "id")
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component"))
+    plain = F.col("doc_id").isNotNull() & (F.col("rows") == 1)
+    copies = ids.where(plain & (F.col("doc_id") != F.col("component"))).select(F.col("doc_id").alias(own))
+    odd = saved(ids.where(~plain).select(F.col("doc_id").alias(own)))
+    if not odd.limit(1).count():
+        return docs.join(copies, F.col("doc_id") == F.col(own), "left_anti")
+    clean = docs.where(F.col("doc_id").isNotNull()).join(copies.unionByName(odd), F.col("doc_id") == F.col(own), "left_anti")
+    # rows without an id of their own are told apart by their text
+    at, name, key = docs.columns.index("text"), fresh(docs, "fp"), cluster.key
+
+    def keyed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([key(t.as_py()) for t in batch.column(at)], pa.int64())], [*batch.schema.names, name])
+
+    rest = docs.join(odd, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    rest = arrow_map(rest, keyed, rest.select("*", F.lit(0).cast("long").alias(name)).schema)
+    roots = found.select(F.col("fp").alias("f"), "root", "component_id").distinct()
+    whole = F.struct(*[rest[c] for c in docs.columns])
+    met = rest.join(roots, rest[name] == roots["f"]).where(rest["doc_id"].eqNullSafe(roots["component_id"])).select(roots["root"].alias("r"), whole.alias("row"))
+    one = met.groupBy("r").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return clean.unionByName(one)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
