@@ -86,6 +86,36 @@ def test_quality_draws_more(spark):
     assert good > 1.5 * bad
 
 
+@pytest.mark.parametrize("weights", [[1000.0], [0.001], [1000.0, 0.001, 1.0], [3.0 + i / 100 for i in range(60)]])
+def test_buckets_hold_alike_whatever_the_weights(spark, monkeypatch, weights):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(m, "BUCKET", 100)
+    rows = spark.range(20_000).selectExpr("id", f"element_at(array({', '.join(map(repr, weights))}), cast(id % {len(weights)} as int) + 1) * 1D AS weight")
+    rows = rows.withColumn("key", -F.log((F.shiftrightunsigned(F.xxhash64("id"), 11) + 0.5) * 2.0**-53) / F.col("weight"))
+    held = [r["count"] for r in rows.withColumn("b", F.least(F.floor(m.spread(rows, 20_000) * 200), F.lit(199))).groupBy("b").count().collect()]
+    assert len(held) > 180 and max(held) < 250
+
+
+def test_many_sources(spark):
+    """As many sources as documents: ranks and levels come from partitions of a sorted table."""
+    rng = __import__("random").Random(3)
+    sizes = {f"host{i}": rng.randrange(1, 400) for i in range(3000)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    want = fill(sizes)
+    assert all(r.target == pytest.approx(want[r.source]) for r in m.targets(df).collect())
+
+
+def test_repeated_rows_get_what_the_mix_takes(spark):
+    """To the word, however often a row repeats, with and without other columns that differ."""
+    rows = [(1, "a b c d e f g", "s", k) for k in range(3)] + [(2, "a b c", "s", 0)] * 2 + [(3, "x " * 5, "t", 0), (None, "p q", "t", 1), (None, "p q", "t", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k int")
+    mixed, kept = m.mix(docs).collect(), m.keep_mixed(docs).collect()
+    assert sum(r.taken for r in kept) == sum(r.taken for r in mixed)
+    assert all(0 < r.taken <= 3 * r["size"] for r in kept) and sorted(r.taken for r in kept) != []
+    assert sorted(map(str, kept)) == sorted(map(str, m.keep_mixed(docs).collect()))
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     check([(r.doc_id, r.text, r.source) for r in docs.collect()], m.mix(docs).collect())
