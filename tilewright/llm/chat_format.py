@@ -1,13 +1,17 @@
 """Chat formatting with schema fingerprints, in DataFrame operations only.
 
 Records come in several layouts. The layout of a record is the set of its nested field paths (``messages[].role``); a hash of the
-sorted paths selects a declarative mapping to canonical turns, ``array<struct<role, text>>``. A typed column has one fingerprint, known when
-the plan is made; a JSON column has one a row, taken from the row's own paths. Records without a mapping have null turns.
+sorted paths, taken row by row, selects a declarative mapping to canonical turns, ``array<struct<role, text>>``. Of a typed column (records of many layouts, read
+into one type) a row's paths are those that are not null in it, in an array in any of its elements; of a JSON column they are its keys, in an array those of
+any element. Records without a mapping, and malformed JSON, have null turns.
 
 A conversation is written as ``<|role|>text<|end|>`` for each turn. A backslash is put into control strings inside roles and texts (after
 ``<`` of ``<|``, ``<s>``, ``</s>``, ``<<SYS>>``, ``<</SYS>>``, after ``[`` of ``[INST]``, ``[/INST]``, after the bar of ``|>``) and doubled where the text has one itself, so no control string is left
 in a text and the way back is exact. The loss mask is an array of spans (start, end) of code points of the formatted text, one for each assistant text.
 
+Both ways, turns are rows: places are running sums over the turns of a conversation, and pieces meet the mask in one order by place, so the
+time is that of a sort, in proportion to the text.
+
 Defined cases: null texts and roles are empty; null turn numbers come first, equal ones are ordered by role, then text; repeated rows are turns of their
 own; a null ``conv_id`` is a conversation; a conversation without turns is the empty text; an empty table gives only what the query adds; columns
 of other names are not read. One conversation is one output row and meets in one task.
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +34,9 @@ TURNS = "array<struct<role: string, text: string>>"
 # Control strings of common chat templates, as a Java pattern of the characters after which a backslash goes.
 CONTROL = r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])|\|(?=>)"
 
+#: Records of all layouts in one type.
+RECORD = "struct<messages: array<struct<turn: bigint, role: string, content: string, text: string>>, conversations: array<struct<from: string, value: string>>, prompt: string, response: string, completion: string, instruction: string, input: string, output: string, system: string>"
+
 # Layouts: the field paths, and the SQL of the turns of a record ``r``.
 LAYOUTS = {
     ("messages[].role", "messages[].text", "messages[].turn"): "transform(array_sort(r.messages), m -> named_struct('role', m.role, 'text', m.text))",
@@ -58,23 +66,39 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
+def present_paths(kind: T.DataType, value: str, at: str = "") -> list[tuple[str, str]]:
+    """Nested field paths of a type, each with SQL that tells whether ``value`` has it."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in present_paths(f.dataType, f"{value}.`{f.name}`", f"{at}.{f.name}" if at else f.name)]
+    if isinstance(kind, T.ArrayType):
+        element = f"e{at.count('[]')}"
+        return [(path, f"coalesce(exists({value}, {element} -> {there}), false)") for path, there in present_paths(kind.elementType, element, at + "[]")]
+    return [(at, f"{value} IS NOT NULL")]
+
+
 def typed_turns(df: DataFrame, column: str) -> Column:
-    """Canonical turns of a struct column, by the fingerprint of its type."""
-    mapping = MAPPINGS.get(fingerprint(field_paths(df.schema[column].dataType)))
-    if mapping is None:
-        return F.lit(None).cast(TURNS)
-    return F.expr(f"transform(array({column}), r -> {mapping})[0]").cast(TURNS)
+    """Canonical turns of a struct column whose rows may have different layouts, by the fingerprint of each row."""
+    kind = df.schema[column].dataType
+    paths = sorted(present_paths(kind, f"`{column}`"))
+    there = ", ".join(f"if({sql}, '{path}', null)" for path, sql in paths)
+    mark = f"substring(sha2(array_join(array({there}), '\n'), 256), 1, 16)"
+    own = {path for path, _ in paths}
+    cases = [f"when '{fingerprint(layout)}' then transform(array(`{column}`), r -> cast({turns} as {TURNS}))[0]" for layout, turns in LAYOUTS.items() if set(layout) <= own]
+    return F.expr(f"case {mark} {' '.join(cases)} end") if cases else F.lit(None).cast(TURNS)
 
 
 def json_turns(column: str) -> Column:
     """Canonical turns of a JSON column whose rows may have different layouts. A row's paths are its top-level keys, and for an array of objects
-    the keys of its first element."""
+    the keys of all its elements."""
+    at = lambda more: f"get_json_object({column}, concat('$[', chr(39), k, chr(39), ']{more}'))"
     keys = f"coalesce(json_object_keys({column}), cast(array() as array<string>))"
-    inner = f"coalesce(json_object_keys(get_json_object({column}, '$.' || k || '[0]')), cast(array() as array<string>))"
+    none = "cast(array() as array<string>)"
+    # a text that looks like an array has no first element
+    elements = f"if({at('[0]')} is null, {none}, coalesce(from_json({at('')}, 'array<string>'), {none}))"
+    inner = f"array_distinct(flatten(transform({elements}, e -> coalesce(json_object_keys(e), {none}))))"
     paths = f"array_sort(flatten(transform({keys}, k -> if(size({inner}) = 0, array(k), transform({inner}, j -> k || '[].' || j)))))"
-    mark = f"substring(sha2(array_join({paths}, '\\n'), 256), 1, 16)"
-    schema = "struct<messages: array<struct<turn: bigint, role: string, text: string, content: string>>, conversations: array<struct<from: string, value: string>>, prompt: string, response: string, completion: string, instruction: string, input: string, output: string, system: string>"
-    cases = " ".join(f"when '{k}' then transform(array(from_json({column}, '{schema}')), r -> cast({v} as {TURNS}))[0]" for k, v in MAPPINGS.items())
+    mark = f"substring(sha2(array_join({paths}, '\n'), 256), 1, 16)"
+    cases = " ".join(f"when '{k}' then transform(array(from_json({column}, '{RECORD}')), r -> cast({v} as {TURNS}))[0]" for k, v in MAPPINGS.items())
     return F.expr(f"case {mark} {cases} end")
 
 
@@ -87,42 +111,77 @@ def unescaped(text: str) -> str:
     return rf"regexp_replace({text}, r'(?s)\\(.)', '$1')"
 
 
-def formatted(df: DataFrame, turns: str = "turns") -> DataFrame:
-    """``df`` with ``formatted`` and ``loss_mask``; ``turns`` names canonical turns."""
-    pieces = f"transform({turns}, t -> named_struct('open', '<|' || {escaped('t.role')} || '|>', 'text', {escaped('t.text')}, 'loss', coalesce(t.role, '') = '{ASSISTANT}'))"
-    found = df.withColumn("__p", F.expr(pieces))
-    found = found.withColumn("formatted", F.expr(f"array_join(transform(__p, p -> p.open || p.text || '{END}'), '')"))
-    length = f"char_length(p.open) + char_length(p.text) + {len(END)}"
-    spans = f"""aggregate(__p, named_struct('at', 0, 'spans', cast(array() as array<struct<start: int, end: int>>)),
-        (a, p) -> named_struct('at', a.at + {length}, 'spans', if(p.loss,
-            array_append(a.spans, named_struct('start', a.at + char_length(p.open), 'end', a.at + char_length(p.open) + char_length(p.text))), a.spans)), a -> a.spans)"""
-    return found.withColumn("loss_mask", F.expr(spans)).drop("__p")
-
-
-def read_back(df: DataFrame) -> DataFrame:
-    """``df(formatted, loss_mask)`` with ``read_turns``, parsed from the formatted text alone, and ``loss_text``, what lies under the mask, unescaped. Pieces
-    are found by the end mark, so the time is in proportion to the text; a mask span is the piece that starts where the span does."""
-    cut = f"slice(split(formatted, '<\\\\|end\\\\|>', -1), 1, greatest(size(split(formatted, '<\\\\|end\\\\|>', -1)) - 1, 0))"  # noqa: F541
-    found = df.withColumn("__c", F.expr(cut))
-    found = found.withColumn("__b", F.expr("transform(__c, c -> named_struct('role', substring_index(substring(c, 3), '|>', 1), 'text', substring(c, char_length(substring_index(substring(c, 3), '|>', 1)) + 5)))"))
-    found = found.withColumn("read_turns", F.expr(f"transform(__b, b -> named_struct('role', {unescaped('b.role')}, 'text', {unescaped('b.text')}))"))
-    starts = f"""aggregate(__b, named_struct('at', 0, 'out', cast(array() as array<int>)),
-        (a, b) -> named_struct('at', a.at + char_length(b.role) + char_length(b.text) + {4 + len(END)}, 'out', array_append(a.out, a.at + char_length(b.role) + 4)), a -> a.out)"""
-    under = "filter(arrays_zip(__s, __b), z -> exists(loss_mask, s -> s.start = z.__s and s.end = z.__s + char_length(z.__b.text)))"
-    found = found.withColumn("__s", F.expr(starts))
-    found = found.withColumn("loss_text", F.expr(f"array_join(transform({under}, z -> {unescaped('z.__b.text')}), '')"))
-    return found.drop("__c", "__b", "__s")
+def formatted(df: DataFrame, key: str, turns: str = "turns") -> DataFrame:
+    """``(key, formatted, loss_mask)`` of ``df``, whose ``key`` is unique; ``turns`` names canonical turns."""
+    rows = df.select(key, F.posexplode_outer(turns).alias("at", "t"))
+    rows = rows.select(key, "at", F.expr(f"'<|' || {escaped('t.role')} || '|>'").alias("open"), F.expr(escaped("t.text")).alias("body"), (F.coalesce("t.role", F.lit("")) == ASSISTANT).alias("loss"))
+    rows = rows.withColumns({"a": F.char_length("open"), "b": F.char_length("body")})
+    before = W.partitionBy(key).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("a") + F.col("b") + len(END)).over(before), F.lit(0)) + F.col("a")
+    rows = rows.withColumn("start", F.when(F.col("at").isNotNull(), start).cast("int"))
+    piece = F.when(F.col("at").isNotNull(), F.struct("at", F.concat("open", "body", F.lit(END)).alias("piece")))
+    span = F.when(F.col("at").isNotNull() & F.col("loss"), F.struct(F.col("start"), (F.col("start") + F.col("b")).alias("end")))
+    found = rows.groupBy(key).agg(F.array_sort(F.collect_list(piece)).alias("p"), F.array_sort(F.collect_list(span)).alias("loss_mask"))
+    return found.select(key, F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("formatted"), "loss_mask")
+
+
+def read_back(df: DataFrame, key: str = "conv_id") -> DataFrame:
+    """``df(key, formatted, loss_mask)`` with ``read_turns``, parsed from the formatted text alone, and ``loss_text``, what lies under the mask, unescaped. Pieces
+    end at the end mark; a mask span is the piece whose text starts and ends where the span does."""
+    none = "cast(null as int)"
+    row = lambda kind, at, start, end, body: f"named_struct('kind', {kind}, 'at', {at}, 'start', {start}, 'end', {end}, 'body', {body})"
+    cut = r"split(formatted, r'<\|end\|>', -1)"
+    pieces = f"transform(slice({cut}, 1, greatest(size({cut}) - 1, 0)), (c, i) -> {row(2, 'i', none, none, 'c')})"
+    spans = f"transform(loss_mask, (s, i) -> {row(1, 'i', 's.start', 's.end', 'cast(null as string)')})"
+    whole = f"array({row(0, '0', none, none, 'formatted')})"
+    rows = df.select(key, F.explode(F.expr(f"concat({whole}, {spans}, {pieces})")).alias("r")).select(key, "r.*")
+    own, length = F.col("kind") == 2, F.char_length("body")
+    before = W.partitionBy(key).orderBy("kind", "at").rowsBetween(W.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum(F.when(own, length + len(END)).otherwise(0)).over(before), F.lit(0)).cast("int")
+    rows = rows.withColumns({"ahead": ahead, "role": F.when(own, F.expr("substring_index(substring(body, 3), '|>', 1)"))})
+    rows = rows.withColumn("start", F.when(own, F.col("ahead") + F.char_length("role") + 4).otherwise(F.col("start")))
+    rows = rows.withColumn("end", F.when(own, F.col("ahead") + length).otherwise(F.col("end")))
+    order = W.partitionBy(key).orderBy("start", "kind")
+    last = lambda c: F.lag(c).over(order)
+    rows = rows.withColumn("loss", own & (last("kind") == 1) & (last("start") == F.col("start")) & (last("end") == F.col("end")))
+    rows = rows.withColumns({"text": F.when(own, F.expr(unescaped("substring(body, char_length(role) + 5)"))), "role": F.expr(unescaped("role"))})
+    turn = F.when(own, F.struct("at", "role", "text"))
+    mask = F.when(F.col("kind") == 1, F.struct("start", "end"))
+    under = F.when(F.col("loss"), F.struct("at", "text"))
+    found = rows.groupBy(key).agg(F.max(F.when(F.col("kind") == 0, F.col("body"))).alias("formatted"), F.array_sort(F.collect_list(mask)).alias("loss_mask"), F.array_sort(F.collect_list(turn)).alias("t"), F.array_sort(F.collect_list(under)).alias("u"))
+    turns = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return found.select(key, "formatted", "loss_mask", turns.alias("read_turns"), F.array_join(F.transform("u", lambda u: u["text"]), "").alias("loss_text"))
 
 
 def conversations_as_records(rows: DataFrame) -> DataFrame:
-    """``(conv_id, record)``: flat rows ``(conv_id, turn, role, text)`` as records of the message layout."""
+    """``(conv_id, record)``: flat rows ``(conv_id, turn, role, text)`` as records of mixed layouts. A question and its answer, with or without a system
+    text, are a prompt and a response; of the others a third each are ``conversations`` of ``from`` and ``value`` (if no role is called as that layout calls the
+    speakers), ``messages`` of role and content, and ``messages`` with turn numbers, by a hash of the id."""
     one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.collect_list(one).alias("messages")).select("conv_id", F.struct("messages").alias("record"))
+    told = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
+    roles = "transform(m, x -> x.role)"
+    pick = "pmod(xxhash64(conv_id), 3)"
+    layout = f"""case when {roles} = array('user', 'assistant') then 0 when {roles} = array('system', 'user', 'assistant') then 1
+        when {pick} = 0 and not arrays_overlap({roles}, array('human', 'gpt')) then 2 when {pick} = 1 then 3 else 4 end"""
+    told = told.withColumn("l", F.expr(layout))
+    message = "named_struct('turn', {turn}, 'role', x.role, 'content', {content}, 'text', {text})"
+    typed = message.format(turn="x.turn", content="cast(null as string)", text="x.text")
+    plain = message.format(turn="cast(null as bigint)", content="x.text", text="cast(null as string)")
+    said = "named_struct('from', case x.role when 'user' then 'human' when 'assistant' then 'gpt' else x.role end, 'value', x.text)"
+    fields = {
+        "messages": f"case l when 3 then transform(m, x -> {plain}) when 4 then transform(m, x -> {typed}) end",
+        "conversations": f"case l when 2 then transform(m, x -> {said}) end",
+        "system": "case l when 1 then m[0].text end",
+        "prompt": "case l when 0 then m[0].text when 1 then m[1].text end",
+        "response": "case l when 0 then m[1].text when 1 then m[2].text end",
+    }
+    parts = ", ".join(f"'{name}', {fields.get(name, 'null')}" for name in ("messages", "conversations", "prompt", "response", "completion", "instruction", "input", "output", "system"))
+    return told.select("conv_id", F.expr(f"cast(named_struct({parts}) as {RECORD})").alias("record"))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     records = conversations_as_records(rows)
-    return formatted(records.select("conv_id", typed_turns(records, "record").alias("turns")))
+    return formatted(records.select("conv_id", typed_turns(records, "record").alias("turns")), "conv_id")
 
 
 PROBE = "</s>[INST] ok [/INST]"
