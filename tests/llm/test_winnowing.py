@@ -1,17 +1,28 @@
+import functools
 import hashlib
 import random
 
 import pytest
-import xxhash
 
 from tests.llm.helpers import no_documents, odd_documents
 from tilewright.llm import winnowing as m
 
 
+def murmur3(four):
+    """Murmur3 of four bytes with seed 42, as Spark's ``hash`` has it."""
+    rot = lambda v, r: (v << r | v >> 32 - r) & 0xFFFFFFFF
+    k = rot(int.from_bytes(four, "little") * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    h = (rot(42 ^ k, 13) * 5 + 0xE6546B64 & 0xFFFFFFFF) ^ 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
 def brute(text):
     """hash:position of the rightmost least hash of every window."""
     text = text or ""
-    code = lambda s: xxhash.xxh64_intdigest(s.encode("utf-32-be"), 42) >> 31 & 0xFFFFFFFF
+    symbol = {c: murmur3(c.encode("utf-32-be")) for c in set(text)}
+    code = lambda s: functools.reduce(lambda h, c: (h << 1 ^ symbol[c]) & 0xFFFFFFFF, s, 0) & m.MASK
     if not text:
         return ""
     hashes = [code(text[i : i + m.GRAM]) for i in range(len(text) - m.GRAM + 1)] or [code(text)]
@@ -61,6 +72,14 @@ def test_repeats_ties_and_pieces(spark, monkeypatch, bucket):
     assert found(m.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"))) == want(rows)
 
 
+@pytest.mark.parametrize("roll", [2, 7, 64])
+def test_pieces_of_the_roll_do_not_matter(spark, monkeypatch, roll):
+    monkeypatch.setattr(m, "ROLL", roll)
+    rng = random.Random(roll)
+    rows = [(i, "".join(rng.choice("abc é\U0001f600") for _ in range(n))) for i, n in enumerate((11, 12, 13, 63, 64, 75, 76, 77, 139, 400))]
+    assert found(m.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"))) == want(rows)
+
+
 def test_shared_passage_is_met(spark):
     """Texts that share GRAM + WINDOW - 1 code points share a fingerprint."""
     rng = random.Random(9)

@@ -1,7 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-Every k-gram of code points is hashed to 32 bits; of each ``WINDOW`` consecutive hashes the least is chosen, the rightmost of
-equals; each choice is kept with its position. Two texts that share a passage of ``GRAM + WINDOW - 1`` code points thus share a
+Every k-gram of code points has a rolling hash of 32 bits: the exclusive or of its symbols (a Murmur3 hash of each code point), each shifted by its distance from
+the end. The next hash is the last one shifted by a bit, with the symbol that enters, and the one that leaves cancelled. Folds roll along pieces of ``ROLL``
+hashes; the lowest bits, in which the first symbols have no part, are the last to decide an order. Of each ``WINDOW`` consecutive
+hashes the least is chosen, the rightmost of equals; each choice is kept with its position. Two texts that share a passage of ``GRAM + WINDOW - 1`` code points thus share a
 fingerprint. A hash and its position are packed into one long such that the order of longs is the order of choice.
 
 A fold over the hashes holds the current minimum and looks at its window again only when that minimum leaves it, so the cost per
@@ -32,8 +34,8 @@ PIECE = 256
 BUCKET, BUCKETS = 256, 100_000
 SEGMENTS = 64
 LAST = (1 << 31) - 1
-#: The 32 bits of a hash that are kept, above the position.
-HIGH = (1 << 63) - 1 - LAST
+#: Bits of a hash that are kept, above the position, and hashes that are rolled in one piece.
+MASK, ROLL = (1 << 31) - 1, 64
 
 
 def choices(text: str) -> Column:
@@ -41,20 +43,28 @@ def choices(text: str) -> Column:
     would be fetched anew, as a copy, at every element. Windows are dealt to pieces of ``PIECE`` by where they start; a window
     further right never chooses further left, so the pieces' choices only have to be put together."""
     let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
-    hashed = f"xxhash64({{}}) & {HIGH}"
-    grams = f"transform(sequence(1, octet_length(points) - {4 * GRAM - 1}, 4), i -> {hashed.format(f'substring(points, i, {4 * GRAM})')} | ({LAST} - i))"
+    symbols = "transform(sequence(1, octet_length(points) - 3, 4), i -> hash(substring(points, i, 4)))"
+    hashed = lambda part: f"aggregate({part}, 0, (h, s) -> shiftleft(h, 1) ^ s)"
+    # what a step adds: the symbol that enters, and the symbol that leaves, which it cancels
+    steps = f"zip_with(slice(symbols, 1, size(symbols) - {GRAM}), slice(symbols, {GRAM + 1}, size(symbols) - {GRAM}), (o, s) -> shiftleft(o, {GRAM}) ^ s)"
+    rolled = f"aggregate(slice(steps, p * {ROLL} + 1, {ROLL - 1}), array({hashed(f'slice(symbols, p * {ROLL} + 1, {GRAM})')}), (a, d) -> array_append(a, shiftleft(element_at(a, -1), 1) ^ d))"
+    hashes = f"flatten(transform(sequence(0, (size(symbols) - {GRAM}) div {ROLL}), p -> {rolled}))"
+    pack = lambda h, place: f"shiftleft(cast({h} & {MASK} as bigint), 31) | {place}"
+    places = f"sequence({LAST - 1}L, {LAST - 1}L - 4 * (size(symbols) - {GRAM}), -4L)"
+    grams = f"zip_with({let(steps, 'steps', hashes)}, {places}, (h, i) -> {pack('h', 'i')})"
     # a fold state: the minimum, the position part (which falls) at which it leaves the window, the choices
     state = f"m -> named_struct('at', m, 'gone', (m & {LAST}) - {4 * WINDOW}, 'out', {{}})"
-    start = f"transform(array(array_min(slice(part, 1, {WINDOW}))), {state.format('array(m)')})[0]"
+    opening = f"transform(array(array_min(slice(part, 1, {WINDOW}))), {state.format('array(m)')})[0]"
     # the window that ends with h, from its place in the piece
     again = f"array_min(slice(part, ((part[0] & {LAST}) - (h & {LAST})) div 4 - {WINDOW - 2}, {WINDOW}))"
     moved = f"transform(array(if(h < s.at, h, {again})), {state.format('array_append(s.out, m)')})[0]"
-    fold = f"aggregate(part, {start}, (s, h) -> if(h < s.at or (h & {LAST}) <= s.gone, {moved}, s), s -> s.out)"
+    fold = f"aggregate(part, {opening}, (s, h) -> if(h < s.at or (h & {LAST}) <= s.gone, {moved}, s), s -> s.out)"
     piece = let(f"slice(grams, p * {PIECE} + 1, {PIECE + WINDOW - 1})", "part", fold)
     pieces = f"transform(sequence(0, greatest(size(grams) - {WINDOW}, 0) div {PIECE}), p -> {piece})"
-    short = f"if(octet_length(points) = 0, cast(array() as array<bigint>), array({hashed.format('points')} | {LAST - 1}))"
+    whole = f"if(size(symbols) = 0, cast(array() as array<bigint>), array({pack(hashed('symbols'), f'{LAST - 1}L')}))"
     long = let(grams, "grams", f"if(size(grams) <= {PIECE}, {let('grams', 'part', fold)}, array_distinct(flatten({pieces})))")
-    return F.expr(let(f"encode({text}, 'UTF-32')", "points", f"if(octet_length(points) < {4 * GRAM}, {short}, {long})"))
+    read = let(f"encode({text}, 'UTF-32')", "points", f"if(octet_length(points) = 0, cast(array() as array<int>), {symbols})")
+    return F.expr(let(read, "symbols", f"if(size(symbols) < {GRAM}, {whole}, {long})"))
 
 
 def choices_after_edit(known: str, head: str, edited: str) -> Column:
