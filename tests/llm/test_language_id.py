@@ -40,13 +40,42 @@ def test_brute_force_profile():
     text = "Hé, la bas!"
     want = np.zeros(256)
     symbols = [0, *(int(p.symbols[ord(c)]) for c in text), 0]
-    letters = p.third
+    letters = {x: p.letter(x).astype(float) for x in symbols}
     for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
         if b:
             want += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
     assert np.array_equal(p.bundle([text])[0], want.astype(np.float32))
 
 
+def test_every_letter_has_a_vector_of_its_own():
+    """Of any script: no two letters share one, and unlike ones are nearly orthogonal."""
+    p = m.Profiles()
+    letters = "abcdefghijklmnopqrstuvwxyzабвгдеёжзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμνξοπρστυφχψωあいうえおかきくけこ人生而自由在尊严和权利上一律平等\U00020000\U00020001"
+    symbols = [m._symbol(ord(c)) for c in letters]
+    assert len(set(symbols)) == len(letters) and m._symbol(ord("Я")) == ord("я") and m._symbol(ord("7")) == m._symbol(ord(" ")) == 0
+    rows = np.array([p.letter(s) for s in symbols], float) / m.DIMENSIONS**0.5
+    assert np.abs(rows @ rows.T - np.eye(len(rows))).max() < 0.2
+
+
+def test_languages_of_one_script_are_told_apart(spark):
+    """Two alphabets that a shared pool of symbols would mix."""
+    import random
+
+    rng = random.Random(1)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(60))
+    kinds = {"ru": "абвгдежзиклмн", "uk": "опрстуфхцчшщь", "zh": "人生而自由在尊严和权利"}
+    rows = [(i, text(kinds[lang]), lang, "s", 1) for i in range(240) for lang in [list(kinds)[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert all(r.lang == r.lang_pred for r in m.predict(docs, m.learn(docs)).collect())
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(m, "LANGS", 2)
+    rows = [(i, "aaa bbb" if i % 3 else "zzz", f"l{i % 3}" if i < 30 else f"junk{i}", "s", 1) for i in range(60)]
+    langs, _ = m.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert langs == ["l0", "l1"]
+
+
 def test_batches_and_cache_do_not_matter(monkeypatch):
     texts = ["abc def", "", "xyz " * 50, None, "\U00020000 漢字 слово"]
     whole = m.Profiles(128).bundle(texts)

@@ -1,14 +1,14 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter owns a random bipolar vector. A trigram binds (multiplies) the vectors of its letters,
+Every letter owns a random bipolar vector, drawn by a generator that its code point seeds, whatever the script. A trigram binds (multiplies) the vectors of its letters,
 each permuted (rotated) by its place; a text bundles (adds) its trigrams; a language prototype bundles
 its training texts, each scaled to length one. A text takes the language of the prototype of largest cosine.
 
 Blanks, digits, marks and signs are one common separator symbol; trigrams with a separator in the
 middle carry nothing and are left out, so a lone letter still gives one trigram.
 
-Training uses about ``PER_LANG`` labelled documents of each language, picked by a hash of the id (the
-documented bound); prediction reads only the text.
+Training uses about ``PER_LANG`` labelled documents of each language, picked by a hash of the id, of the ``LANGS`` languages with most documents (the
+documented bounds); prediction reads only the text. Of equal cosines the language that comes first by code point wins.
 
 Defined cases: null texts and texts without letters give ``und`` with score 0; if nothing can be
 learned, every text gives ``und``; texts of any length are read as a whole; repeated rows give repeated
@@ -17,7 +17,6 @@ rows; an empty table gives no rows; other columns are not read by ``predict``.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,11 +27,10 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import arrow_map, table
 
 DIMENSIONS = 1024
-PER_LANG = 1500
-SYMBOLS = 64
+PER_LANG, LANGS = 1500, 512
 UNKNOWN = "und"
-#: Trigram vectors that a worker keeps; others are bound again when needed.
-KEPT = 16384
+#: Trigram vectors, and letter vectors, that a worker keeps; others are made again when needed.
+KEPT, LETTERS = 16384, 8192
 #: Distinct trigrams from which a text needs a cosine of so many standard deviations of noise (1 / sqrt(dimensions)). A text of fewer
 #: trigrams than the last may miss every frequent one of its language. Texts of the tables' languages and random letters of
 #: as many trigrams lie on either side.
@@ -41,68 +39,62 @@ FLOORS = ((400, 9.0), (64, 5.0), (32, 3.0))
 RARE = 1e-4
 
 
-def _symbols() -> np.ndarray:
-    """Symbol of each code point of the basic plane: 0 for all but letters, a to z are 1 to 26,
-    other letters share 27 to 63 by a hash of their lower case."""
-    out = np.zeros(0x11000, np.uint8)
-    for cp in range(0x10000):
-        ch = chr(cp)
-        if ch.isalpha():
-            low = ord(ch.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + zlib.crc32(chr(low).encode("utf-8", "surrogatepass")) % (SYMBOLS - 27)
-    return out
+def _symbol(point: int) -> int:
+    """The code point of a letter's lower case, 0 for all that is no letter."""
+    return ord(chr(point).lower()[0]) if chr(point).isalpha() else 0
 
 
 class Profiles:
     """Text vectors. Built once in each worker."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
-        rng = np.random.Generator(np.random.PCG64(20240607))
-        letters = rng.integers(0, 2, (SYMBOLS, dimensions), dtype=np.int8) * 2 - 1
-        self.first, self.second, self.third = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
-        self.symbols = _symbols()
-        self.row = np.full(SYMBOLS**3, -1, np.int32)
-        self.rows = np.empty((KEPT, dimensions), np.float32)
-        self.used = 0
         self.dimensions = dimensions
+        self.symbols = np.array([_symbol(p) for p in range(0x10000)], np.int64)
+        self.letters: dict[int, np.ndarray] = {}
+        self.place: dict[int, int] = {}
+        self.rows = np.empty((KEPT, dimensions), np.float32)
+
+    def letter(self, symbol: int) -> np.ndarray:
+        found = self.letters.get(symbol)
+        if found is None:
+            found = np.random.Generator(np.random.PCG64([20240607, symbol])).integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1
+            if len(self.letters) < LETTERS:
+                self.letters[symbol] = found
+        return found
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct trigram codes and how often each occurs."""
+        """Distinct trigram codes, three symbols of 21 bits, and how often each occurs."""
         points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = self.symbols[np.minimum(points, 0xFFFF)]
         if len(points) and points.max() > 0xFFFF:
             astral = points > 0xFFFF
-            other = [27 + int(p) % (SYMBOLS - 27) if chr(p).isalpha() else 0 for p in points[astral]]
-            s = self.symbols[np.minimum(points, 0xFFFF)]
-            s[astral] = other
-        else:
-            s = self.symbols[points]
-        p = np.zeros(len(s) + 2, np.int32)
+            s[astral] = [_symbol(int(p)) for p in points[astral]]
+        p = np.zeros(len(s) + 2, np.int64)
         p[1:-1] = s
-        codes = (p[:-2] << 12) | (p[1:-1] << 6) | p[2:]
+        codes = (p[:-2] << 42) | (p[1:-1] << 21) | p[2:]
         return np.unique(codes[p[1:-1] > 0], return_counts=True)
 
-    def bind(self, codes: np.ndarray) -> np.ndarray:
-        return (self.first[codes >> 12] * self.second[codes >> 6 & 63] * self.third[codes & 63]).astype(np.float32)
+    def bind(self, code: int) -> np.ndarray:
+        """The letters of a trigram, each rotated by its place, multiplied."""
+        one, two, three = (self.letter(code >> shift & 0x1FFFFF) for shift in (42, 21, 0))
+        return np.roll(one, 2) * np.roll(two, 1) * three
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        at = self.row[codes]
-        fresh = codes[at < 0]
-        if len(fresh):
-            fresh = fresh[: KEPT - self.used]
-            if len(fresh):
-                self.rows[self.used : self.used + len(fresh)] = self.bind(fresh)
-                self.row[fresh] = np.arange(self.used, self.used + len(fresh), dtype=np.int32)
-                self.used += len(fresh)
-                at = self.row[codes]
-        out = self.rows[at]
-        if (at < 0).any():
-            out[at < 0] = self.bind(codes[at < 0])
+        out = np.empty((len(codes), self.dimensions), np.float32)
+        at = np.array([self.place.get(c, -1) for c in codes.tolist()], np.int64)
+        known = at >= 0
+        out[known] = self.rows[at[known]]
+        for i in np.flatnonzero(~known).tolist():
+            out[i] = self.bind(int(codes[i]))
+            if len(self.place) < len(self.rows):
+                self.rows[len(self.place)] = out[i]
+                self.place[int(codes[i])] = len(self.place)
         return out
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text; zero for a text without letters."""
         found = [self.counts(t) for t in texts]
-        every = np.unique(np.concatenate([c for c, _ in found])) if found else np.zeros(0, np.int32)
+        every = np.unique(np.concatenate([c for c, _ in found])) if found else np.zeros(0, np.int64)
         out = np.zeros((len(texts), self.dimensions), np.float32)
         for a in range(0, len(every), 4096):
             part = every[a : a + 4096]
@@ -139,11 +131,11 @@ def _slices(batch):
 def _sampled(labelled: DataFrame, per_lang: int):
     """The labels in use, and the rows of ``labelled`` to learn from; None if there are none."""
     known = labelled.where("lang is not null")
-    total = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    total = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
     if not total:
         return [], None
     every = F.create_map(*[x for lang, n in sorted(total.items()) for x in (F.lit(lang), F.lit(max(1, -(-n // per_lang))))])
-    return sorted(total), known.where(F.pmod(F.xxhash64("doc_id"), F.element_at(every, F.col("lang"))) == 0)
+    return sorted(total), known.where(F.pmod(F.xxhash64("doc_id"), F.try_element_at(every, F.col("lang"))) == 0)
 
 
 def train(labelled: DataFrame, per_lang: int = PER_LANG, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
