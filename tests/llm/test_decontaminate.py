@@ -64,6 +64,37 @@ def test_radius_is_guaranteed():
         assert at in index.candidates(near, 8)
 
 
+@pytest.mark.parametrize("size", [5, 6, 8, 9, 12, 16, 20, 30, 60])
+def test_no_window_of_similarity_is_missed(size):
+    """Items of any size, whole, edited and cut, against brute force: few shingles are compared directly, of more a fingerprint beyond the radius is rare."""
+    import random
+
+    rng = random.Random(size)
+    items = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(size))) for i in range(60)]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        for cut in (0, 1, 2):
+            own = words[cut:] if rng.random() < 0.5 else words[: len(words) - cut]
+            if rng.random() < 0.5 and len(own) > 1:
+                own[rng.choice([0, -1])] = "zz"
+            docs.append((len(docs), " ".join(own)))
+    index = m.Index(items)
+    found = {(d, index.items[at][0]) for d, text in docs for at in index.scan(text)}
+    assert found == set(brute(docs, items))
+
+
+def test_a_worker_builds_an_index_once(monkeypatch):
+    built = []
+    monkeypatch.setattr(m, "Index", lambda items: built.append(1) or object())
+    monkeypatch.setattr(m, "_INDEXES", {})
+
+    class Shared:
+        value = []
+
+    assert m.index_of("a", Shared) is m.index_of("a", Shared) and m.index_of("b", Shared) and len(built) == 2 and len(m._INDEXES) == 1
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     items = [(1, None), (2, ""), (3, "The quick brown fox jumps over the lazy dog and runs away from it"), (3, "The quick brown fox jumps over the lazy dog and runs away from it"), (None, "word")]

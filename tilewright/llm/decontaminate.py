@@ -7,7 +7,8 @@ An item of m words is compared with every window of m words (the whole text, if
    which s are shared, have similarity s / (2n - s)).
 2. Such a window gets a SimHash of its five-word shingles. The 64 bits are cut into eight bytes;
    fingerprints within ``RADIUS`` differ in at most RADIUS // 8 bits of one of them, so tables from each byte value
-   to the items of near bytes give every item within the radius.
+   to the items of near bytes give every item within the radius. Windows of fewer than ``FEW`` shingles, whose fingerprints spread wider, take
+   all items of that size that share a shingle as well.
 3. Candidates are verified: weighted Jaccard similarity of the shingles, at least ``SIMILARITY``.
 
 Words are runs of letters, digits and underscores in lower case. Items of fewer than five words have one shingle,
@@ -23,6 +24,7 @@ rows; of repeated items each counts under its own id; an item that occurs in sev
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from itertools import repeat
 
@@ -37,6 +39,8 @@ from tilewright.llm.common import arrow_map, table
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 23
+#: Shingles from which fingerprints alone are trusted: at similarity 0.8 the odds of more than RADIUS bits are then under 1 in 10,000.
+FEW = 16
 #: Items, and bytes of their texts, that are sent to the workers at once, about.
 SLICE, SLICE_BYTES = 20_000, 32 << 20
 WORDS = re.compile(r"\w+")
@@ -68,6 +72,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]], threshold: float = SIMILARITY):
         self.threshold = threshold
         self.items, self.by_size, self.vocabulary, grams = [], {}, {}, {}
+        self.short: dict[int, dict[int, list[int]]] = {}  # by size, the items of each shingle hash, of items of few shingles
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -81,6 +86,8 @@ class Index:
             ids = np.array([self.vocabulary[w] for w in words], np.uint64)
             for h in self.rolled(ids, k).tolist():
                 grams.setdefault(k, {}).setdefault(h, set()).add(len(words))
+                if len(own) * self.threshold < FEW:
+                    self.short.setdefault(len(words), {}).setdefault(h, []).append(at)
             self.by_size.setdefault(len(words), []).append(at)
         # shingle hashes, sorted, and the sizes of the items that each occurs in
         self.grams = {k: (np.array(sorted(v), np.uint64), [sorted(v[h]) for h in sorted(v)]) for k, v in grams.items()}
@@ -119,6 +126,7 @@ class Index:
         known = self.vocabulary.get
         ids = np.fromiter(map(known, words, repeat(0)), np.uint64, n)
         hits: dict[int, list[int]] = {}  # by item size, the places of shingles of such items
+        marks: dict[int, np.ndarray] = {}  # by shingle size, all hashes
         for k, (grams, sizes) in self.grams.items():
             if n < k:
                 continue
@@ -129,7 +137,8 @@ class Index:
             at = np.flatnonzero(whole)
             if not len(at):
                 continue
-            hashed = self.rolled(ids, k)[at]
+            marks[k] = self.rolled(ids, k)
+            hashed = marks[k][at]
             place = np.minimum(np.searchsorted(grams, hashed), len(grams) - 1)
             same = grams[place] == hashed
             for spot, gram in zip(at[same].tolist(), place[same].tolist()):
@@ -149,7 +158,11 @@ class Index:
             for start in np.flatnonzero(cum[span:] - cum[:-span] >= need).tolist():
                 own = shingles(words[start : start + min(size, n)], k)
                 counted = None
-                for at in self.candidates(simhash(own), size):
+                found = self.candidates(simhash(own), size)
+                if len(own) < FEW and size in self.short:
+                    near = self.short[size]
+                    found = sorted({*found, *(at for h in marks[k][start : start + len(own)].tolist() for at in near.get(h, ()))})
+                for at in found:
                     counted = counted or Counter(own)
                     s = similarity(counted, self.items[at][1])
                     if s >= t and (at not in best or s > best[at][0]):
@@ -157,6 +170,17 @@ class Index:
         return best
 
 
+_INDEXES: dict[str, Index] = {}
+
+
+def index_of(name: str, items) -> Index:
+    """The index of a broadcast, built once in a worker, which keeps the last."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Index(items.value)
+    return _INDEXES[name]
+
+
 def slices(benchmark: DataFrame, slice_items: int) -> list[DataFrame]:
     """``(item_id, text)`` of the benchmark in pieces of bounded size, by a hash."""
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -173,8 +197,8 @@ def find(docs: DataFrame, benchmark: DataFrame, slice_items: int = SLICE) -> Dat
     for own in slices(benchmark, slice_items):
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])
 
-        def run(batches, shared=shared):
-            index = Index(shared.value)
+        def run(batches, shared=shared, name=uuid.uuid4().hex):
+            index = index_of(name, shared)
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -195,8 +219,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, slice_items: int = SLICE)
     for own in slices(benchmark, slice_items):
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])
 
-        def run(batches, shared=shared):
-            index = Index(shared.value)
+        def run(batches, shared=shared, name=uuid.uuid4().hex):
+            index = index_of(name, shared)
             for batch in batches:
                 yield batch.filter(pa.array([not index.scan(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
