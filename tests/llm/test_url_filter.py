@@ -58,6 +58,22 @@ def test_classifier(spark, weights):
     assert right >= 0.85 * len(rows)
 
 
+def test_words_that_were_not_learned(spark):
+    """Precision and recall on every fifth word of either kind, left out of training, in all places."""
+    out = frozenset(m.UNWANTED[::5] + m.WANTED[::5])
+    weights = m.train(m.labelled_urls(spark, out))
+    rows = [(shape.format(w), w in m.UNWANTED) for w in sorted(out) for shape in m.SHAPES]
+    found = m.judge(spark.createDataFrame(rows, "url string, bad boolean"), weights, rules=()).collect()
+    hit = sum(r.bad and r.verdict == "block" for r in found)
+    recall, precision = hit / sum(r.bad for r in found), hit / max(1, sum(r.verdict == "block" for r in found))
+    print(f"held-out words: precision {precision:.2f}, recall {recall:.2f}")
+    assert precision > 0.5 and recall > 0.4
+
+
+def test_labelled_table_is_used_whole(spark):
+    assert m.labelled_urls(spark).count() <= m.SEED_ROWS
+
+
 def test_score_is_the_logistic_of_the_ngrams(spark, weights):
     import math
 
