@@ -52,29 +52,38 @@ def test_guess_cost():
     assert m.guess_bits("") == 0 and m.guess_bits("x" * 50_000) < 40
 
 
-def brute_bits(value):
-    """Cheapest cut of short values by trying all cuts."""
+def brute_bits(value, rank=m.RANK):
+    """Cheapest cut of short values by trying all cuts; a repeat or walk may start and end anywhere."""
     from functools import cache
     from math import log2
 
-    low, plain = value.lower(), value.lower().translate(m.LEET)
-    n = len(value)
+    low = m._folded(value)
+    plain, n = low.translate(m.LEET), len(value)
+
+    def longest(holds, a, b):
+        """Length of the longest run of places, around a to b, for which ``holds``."""
+        while a > 0 and holds(a - 1):
+            a -= 1
+        while b < n and holds(b):
+            b += 1
+        return b - a
 
     def segment(i, j):
         s = value[i:j]
         best = sum(map(m._brute, s))
         word, leet = low[i:j], plain[i:j]
-        if j - i >= 3 and (word in m.RANK or leet in m.RANK):
-            best = min(best, log2(m.RANK.get(word) or m.RANK[leet]) + 1 + m._capitals(s) + (0 if word in m.RANK else 2))
+        if j - i >= 3 and (word in rank or leet in rank):
+            best = min(best, log2(rank.get(word) or rank[leet]) + 1 + m._capitals(s) + (0 if word in rank else 2))
         d = m.DATE.match(value, i)
         if d and d.end() == j:
             best = min(best, log2(200) if j - i == 4 else log2(200 * 365))
-        whole = (i == 0 or value[i - 1] != value[i]) and (j == n or value[j] != value[j - 1])
-        if j - i >= 3 and len(set(s)) == 1 and whole:
-            best = min(best, m._brute(s[0]) + log2(j - i))
-        walk = all(m._beside(a, b) for a, b in zip(word, word[1:])) and (i == 0 or not m._beside(low[i - 1], low[i])) and (j == n or not m._beside(low[j - 1], low[j]))
-        if j - i >= 3 and walk:
-            best = min(best, log2(47) + log2(j - i) + 0.5 * (j - i))
+        for p in range(1, min(m.PERIODS, n // 2) + 1):
+            holds = lambda k, p=p: k >= p and value[k] == value[k - p]
+            if all(map(holds, range(i, j))):
+                best = min(best, log2(m.PERIODS) + log2(longest(holds, i, j) + 1))
+        step = lambda k: k + 1 < n and m._beside(low[k], low[k + 1])
+        if j - i >= 3 and all(map(step, range(i, j - 1))):
+            best = min(best, log2(47) + log2(longest(step, i, j - 1) + 1) + 0.5 * (j - i))
         return best
 
     @cache
@@ -84,11 +93,48 @@ def brute_bits(value):
     return cut(0)
 
 
-@pytest.mark.parametrize("value", ["dragon99", "aaaab", "qwer1", "19991231x", "P4ssword!", "xyzzy", "111qaz", "master2020a", "Zz"])
+@pytest.mark.parametrize("value", ["dragon99", "aaaab", "qwer1", "19991231x", "P4ssword!", "xyzzy", "111qaz", "master2020a", "Zz", "aaaadmin", "qwertyuser", "abcabcabcx", "zadmin1admin1", "asdfdsa", "x1x1x1qwe", "İelloworldpassword", "ẞabcabc", "pass1234321word"])
 def test_cost_is_least(value):
     assert m.guess_bits(value) == pytest.approx(brute_bits(value))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("aqws1dx", min_size=1, max_size=14))
+def test_cost_is_least_of_any_value(value):
+    assert m.guess_bits(value) == pytest.approx(brute_bits(value))
+
+
+def test_repeats_start_anywhere():
+    assert m.guess_bits("aaaadmin") <= m.guess_bits("aaaa") + m.guess_bits("admin") + 1e-9 and m.guess_bits("aaaadmin") < 21
+    assert m.guess_bits("abcabcabc") < 30 and m.guess_bits("xK9xK9xK9xK9") < m.BITS
+    assert m.guess_bits("İadmin") == pytest.approx(m.guess_bits("admin") + m.guess_bits("İ"))
+
+
+def test_words_of_the_corpus(spark):
+    """Words that many documents have cost by rank; values of credential contexts are not counted, and rare words are no words."""
+    rows = [(i, f"the encyclopaedia of elephants {'yesterday' if i % 2 else ''} password: zqxjkvwp {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3}x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = m.frequent_words(docs)
+    assert set(words) == {"the", "encyclopaedia", "elephants", "yesterday"} and words[-1] == "yesterday"
+    assert m.frequent_words(docs, 2) == ["elephants", "encyclopaedia"]
+    told = m.Guesser(words)
+    assert told.cost("encyclopaedia") < 12 < m.BITS < m.guess_bits("encyclopaedia")
+    dirty = spark.createDataFrame([(1, "credential: encyclopaedia"), (2, "credential: xK9mQ2vLp")], "doc_id long, text string")
+    assert [r.n_guess for r in sorted(m.scan(dirty, (words, m.BITS)).collect())] == [0, 1]
+    assert m.frequent_words(no_documents(spark)) == []
+
+
+def test_threshold_parts_labelled_values():
+    """On labelled values that the calibration has not seen."""
+    for words in ((), [f"{a}{b}{c}" for a in ("ber", "lon", "mar", "tul", "ves") for b in ("an", "or", "ick", "ump") for c in ("der", "ling", "ton", "y", "ish")]):
+        guesser = m.Guesser(words)
+        bits = m.calibrated(guesser)
+        values = [(guesser.cost(v, m.alphabet_bits(v)), secret) for v, secret in m.labelled_values(sorted(guesser.rank, key=guesser.rank.get), seed=12)]
+        missed = sum(s and c < bits for c, s in values) / sum(s for _, s in values)
+        wrong = sum(not s and c >= bits for c, s in values) / sum(not s for _, s in values)
+        assert 25 <= bits <= 42 and missed <= 0.03 and wrong <= 0.05
+
+
 def test_context_values():
     assert m.named(m.find_spans('my password is "xK9#mQ2$vL7p".')) == "guess:16:28"
     assert m.find_spans("the token is onederanotherthing, they say") == []
