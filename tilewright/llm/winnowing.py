@@ -29,13 +29,13 @@ from tilewright.llm.common import table, text_of
 GRAM = 12
 WINDOW = 48
 #: Windows that are looked at in one piece.
-PIECE = 256
+PIECE = 384
 #: Rows in a bucket, about, and how many buckets there are at most: the bound of what is broadcast, a row of three numbers each.
 BUCKET, BUCKETS = 256, 100_000
 SEGMENTS = 64
 LAST = (1 << 31) - 1
 #: Bits of a hash that are kept, above the position, and hashes that are rolled in one piece.
-MASK, ROLL = (1 << 31) - 1, 64
+MASK, ROLL = (1 << 31) - 1, 32
 
 
 def choices(text: str) -> Column:
