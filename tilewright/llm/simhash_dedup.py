@@ -311,6 +311,14 @@ def _bands(grams: np.ndarray) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(raw[8 * ROWS * b : 8 * ROWS * (b + 1)], b), "big", signed=True) for b in range(BANDS)]
 
 
+def jaccard_reaches(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets, as sorted arrays, have a Jaccard similarity of ``least`` at least."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= least * (len(x) + len(y) - shared) - 1e-9
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The ``pairs(a, b)`` whose sets of shingles have a Jaccard similarity of ``least`` at least."""
 
@@ -318,9 +326,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1e-9 else 0
-                keep.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+                keep.append(jaccard_reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (sets.select(F.col("fp").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab")
@@ -328,34 +334,48 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return arrow_map(both, run, "a long, b long")
 
 
-def _open_pairs(open_: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of ``open_(band, n, fp, sim, root)`` of one band, within ``WIDE`` bits and in unlike components. A band of more than ``CHUNK`` texts is
-    dealt in chunks by hash, each pair of chunks to a task, so that a task holds two chunks at most."""
+def _open_links(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` between texts of one band in unlike components, of ``open_(band, n, fp, sim, root)``: pairs within ``WIDE`` bits are compared where they meet, unless links
+    found before join them, so that only links leave a task, and no more than join its components. A band of more than ``CHUNK`` texts is dealt in chunks by hash, each pair of
+    chunks to a task, so that a task holds two chunks at most."""
     chunks = F.ceil(F.col("n") / CHUNK)
     own = F.pmod(F.xxhash64("fp"), chunks)
     with_other = F.sequence(F.lit(0).cast("long"), chunks - 1)
-    dealt = open_.withColumn("own", own).withColumn("other", F.explode(with_other))
-    dealt = dealt.select("band", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "fp", "sim", "root")
+    dealt = open_.withColumn("own", own).withColumn("other", F.explode(with_other)).join(sets, "fp")
+    dealt = dealt.select("band", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "fp", "sim", "root", "grams")
 
     def run(batches):
         key, held = None, []
 
         def close():
+            if len(held) < 2:
+                return
             held.sort(key=lambda r: r[1])
-            found = [(held[i][0], held[j][0]) for i, j in near_pairs([r[1] & 0xFFFFFFFFFFFFFFFF for r in held], [r[2] for r in held], WIDE)] if len(held) > 1 else []
-            for at in range(0, len(found), 10_000):
-                part = found[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in part], pa.int64()), pa.array([min(p) for p in part], pa.int64())], ["a", "b"])
+            parent = {r[2]: r[2] for r in held}
+
+            def find(x):
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            found = []
+            for i, j in near_pairs([r[1] & 0xFFFFFFFFFFFFFFFF for r in held], [r[2] for r in held], WIDE):
+                one, two = find(held[i][2]), find(held[j][2])
+                if one != two and jaccard_reaches(held[i][3], held[j][3], least):
+                    parent[max(one, two)] = min(one, two)
+                    found.append((held[i][0], held[j][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for band, c, d, *row in zip(*(x.to_pylist() for x in batch.columns)):
+            for band, c, d, fp, sim, root, grams in zip(*(x.to_pylist() for x in batch.columns)):
                 if (band, c, d) != key:
                     yield from close()
                     key, held = (band, c, d), []
-                held.append(row)
+                held.append((fp, sim, root, np.frombuffer(grams, np.uint64)))
         yield from close()
 
-    return dealt.repartition("band", "c", "d").sortWithinPartitions("band", "c", "d").mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(dealt.repartition("band", "c", "d").sortWithinPartitions("band", "c", "d"), run, "a long, b long").distinct()
 
 
 def cluster_alike(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
@@ -406,8 +426,8 @@ def cluster_alike(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     placed = saved(met.join(roots, "fp", "left").select("band", "n", "fp", "sim", F.coalesce("root", "fp").alias("root")))
     # bands whose texts are all in one component are done
     open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    second = saved(_open_pairs(placed.join(open_, "band", "left_semi")).join(first, ["a", "b"], "left_anti"))
-    return _handed_out(fps, distinct, saved(linked.unionByName(_alike(second, sets, least))))
+    second = saved(_open_links(placed.join(open_, "band", "left_semi"), sets, least))
+    return _handed_out(fps, distinct, saved(linked.unionByName(second)))
 
 
 cluster.key, cluster_alike.key = fingerprint, text_key
