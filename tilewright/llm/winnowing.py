@@ -6,8 +6,9 @@ hashes; the lowest bits, in which the first symbols have no part, are the last t
 hashes the least is chosen, the rightmost of equals; each choice is kept with its position. Two texts that share a passage of ``GRAM + WINDOW - 1`` code points thus share a
 fingerprint. A hash and its position are packed into one long such that the order of longs is the order of choice.
 
-A fold over the hashes holds the current minimum and looks at its window again only when that minimum leaves it, so the cost per
-code point is constant.
+Few hashes can be chosen at all: a window that holds a hash holds its whole piece of the roll, or the two whole pieces after or before it, so the hash is
+the least of its piece or under the least of those two. These candidates (all equals among them) alone are packed, and a
+fold over them holds the current minimum. It looks at a window again only when that minimum has left it, so the cost per code point is constant.
 
 ``edited``: the last quarter of a text is replaced by the beginning of the next document (by id). Rows are ordered in buckets of a
 few hundred ids (more, once there are ``BUCKETS``; range boundaries from approximate quantiles); the last row of a bucket meets the first of the next bucket
@@ -28,41 +29,47 @@ from tilewright.llm.common import table, text_of
 
 GRAM = 12
 WINDOW = 48
-#: Windows that are looked at in one piece.
-PIECE = 384
 #: Rows in a bucket, about, and how many buckets there are at most: the bound of what is broadcast, a row of three numbers each.
 BUCKET, BUCKETS = 256, 100_000
 SEGMENTS = 64
 LAST = (1 << 31) - 1
 #: Bits of a hash that are kept, above the position, and hashes that are rolled in one piece.
-MASK, ROLL = (1 << 31) - 1, 32
+MASK, ROLL = (1 << 31) - 1, 16
+#: Pieces whose windows are looked at by one fold.
+PIECES = 8
 
 
 def choices(text: str) -> Column:
     """The packed choices of a text column, by position. ``let`` binds a value once: a column that a lambda names
-    would be fetched anew, as a copy, at every element. Windows are dealt to pieces of ``PIECE`` by where they start; a window
-    further right never chooses further left, so the pieces' choices only have to be put together."""
+    would be fetched anew, as a copy, at every element."""
     let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
     symbols = "transform(sequence(1, octet_length(points) - 3, 4), i -> hash(substring(points, i, 4)))"
-    hashed = lambda part: f"aggregate({part}, 0, (h, s) -> shiftleft(h, 1) ^ s)"
+    hashed = lambda part: f"aggregate({part}, 0, (h, s) -> shiftleft(h, 1) ^ s) & {MASK}"
+    pack = lambda h, place: f"shiftleft(cast({h} as bigint), 31) | ({place})"
     # what a step adds: the symbol that enters, and the symbol that leaves, which it cancels
     steps = f"zip_with(slice(symbols, 1, size(symbols) - {GRAM}), slice(symbols, {GRAM + 1}, size(symbols) - {GRAM}), (o, s) -> shiftleft(o, {GRAM}) ^ s)"
-    rolled = f"aggregate(slice(steps, p * {ROLL} + 1, {ROLL - 1}), array({hashed(f'slice(symbols, p * {ROLL} + 1, {GRAM})')}), (a, d) -> array_append(a, shiftleft(element_at(a, -1), 1) ^ d))"
-    hashes = f"flatten(transform(sequence(0, (size(symbols) - {GRAM}) div {ROLL}), p -> {rolled}))"
-    pack = lambda h, place: f"shiftleft(cast({h} & {MASK} as bigint), 31) | {place}"
-    places = f"sequence({LAST - 1}L, {LAST - 1}L - 4 * (size(symbols) - {GRAM}), -4L)"
-    grams = f"zip_with({let(steps, 'steps', hashes)}, {places}, (h, i) -> {pack('h', 'i')})"
-    # a fold state: the minimum, the position part (which falls) at which it leaves the window, the choices
-    state = f"m -> named_struct('at', m, 'gone', (m & {LAST}) - {4 * WINDOW}, 'out', {{}})"
-    opening = f"transform(array(array_min(slice(part, 1, {WINDOW}))), {state.format('array(m)')})[0]"
-    # the window that ends with h, from its place in the piece
-    again = f"array_min(slice(part, ((part[0] & {LAST}) - (h & {LAST})) div 4 - {WINDOW - 2}, {WINDOW}))"
-    moved = f"transform(array(if(h < s.at, h, {again})), {state.format('array_append(s.out, m)')})[0]"
-    fold = f"aggregate(part, {opening}, (s, h) -> if(h < s.at or (h & {LAST}) <= s.gone, {moved}, s), s -> s.out)"
-    piece = let(f"slice(grams, p * {PIECE} + 1, {PIECE + WINDOW - 1})", "part", fold)
-    pieces = f"transform(sequence(0, greatest(size(grams) - {WINDOW}, 0) div {PIECE}), p -> {piece})"
+    rolled = f"aggregate(slice(steps, p * {ROLL} + 1, {ROLL - 1}), array({hashed(f'slice(symbols, p * {ROLL} + 1, {GRAM})')}), (a, d) -> array_append(a, (shiftleft(element_at(a, -1), 1) ^ d) & {MASK}))"
+    pieces = let(steps, "steps", f"transform(sequence(0, (size(symbols) - {GRAM}) div {ROLL}), p -> {rolled})")
+    # a window that holds a part of a piece only holds so many whole ones before it or after it
+    whole_ones = min((WINDOW + 1) // ROLL - 1, 2)
+    after, before = f"array_min(slice(lowest, p + 2, {whole_ones}))", f"array_min(slice(lowest, greatest(p - {whole_ones}, 0) + 1, least({whole_ones}, p)))"
+    most = f"greatest(lowest[p], {after}, {before})" if whole_ones > 0 else f"{MASK}"
+    low = f"transform(filter(sequence(0, {ROLL - 1}), i -> get(piece, i) <= most), i -> {pack('piece[i]', f'{LAST - 1}L - 4L * (p * {ROLL} + i)')})"
+    lows = let("transform(pieces, x -> array_min(x))", "lowest", f"transform(pieces, (piece, p) -> {let(most, 'most', low)})")
+    # a fold over the candidates of a few pieces; its state: the minimum, the choices. Before a candidate enters, what left since the last one is seen to
+    place = lambda v: f"({v} & {LAST})"
+    moved = lambda m, s: f"transform(array({m}), m -> named_struct('at', m, 'out', array_append({s}.out, m)))[0]"
+    following = f"array_min(filter(part, v -> {place('v')} < {place('x')} and {place('v')} >= {place('x')} - {4 * WINDOW}))"
+    left = f"aggregate(filter(part, v -> {place('v')} <= {place('s.at')} and {place('v')} >= {place('h')} + {4 * WINDOW}), s, (r, x) -> if(x = r.at, {moved(following, 'r')}, r))"
+    enters = lambda s: f"if(h < {s}.at, {moved('h', s)}, {s})"
+    opening = f"transform(array(array_min(filter(part, v -> {place('v')} > {LAST - 1}L - 4L * (g * {PIECES * ROLL} + {WINDOW})))), m -> named_struct('at', m, 'out', array(m)))[0]"
+    reach = (ROLL + WINDOW - 2) // ROLL
+    end = f"{MASK << 31}L | greatest({LAST - 1}L - 4L * (size(symbols) - {GRAM}), {LAST - 1}L - 4L * ((g * {PIECES} + {PIECES + reach}) * {ROLL} - 1))"
+    fold = f"aggregate(array_append(part, {end}), {opening}, (s, h) -> if({place('h')} <= {place('s.at')} - {4 * WINDOW}, {let(left, 't', enters('t'))}, {enters('s')}), s -> s.out)"
+    group = let(f"flatten(slice(lows, g * {PIECES} + 1, {PIECES + reach}))", "part", fold)
+    chosen = f"array_distinct(flatten(transform(sequence(0, greatest(size(symbols) - {GRAM + WINDOW - 1}, 0) div {PIECES * ROLL}), g -> {group})))"
     whole = f"if(size(symbols) = 0, cast(array() as array<bigint>), array({pack(hashed('symbols'), f'{LAST - 1}L')}))"
-    long = let(grams, "grams", f"if(size(grams) <= {PIECE}, {let('grams', 'part', fold)}, array_distinct(flatten({pieces})))")
+    long = let(pieces, "pieces", let(lows, "lows", chosen))
     read = let(f"encode({text}, 'UTF-32')", "points", f"if(octet_length(points) = 0, cast(array() as array<int>), {symbols})")
     return F.expr(let(read, "symbols", f"if(size(symbols) < {GRAM}, {whole}, {long})"))
 
