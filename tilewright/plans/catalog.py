@@ -17,6 +17,7 @@ from tilewright.operators.coalesce import coalesce
 from tilewright.operators.cut import cut, pieces
 from tilewright.operators.encode import decode_mlt, decode_mvt
 from tilewright.operators.points import point_layer
+from tilewright.operators.reading import mlt_points, mvt_points
 from tilewright.operators.simplify import visvalingam
 from tilewright.plans.model import LayerSpec, TileConfig, normalised, row_numbers
 from tilewright.plans.tiles import Layer, point_tiles, pyramid
@@ -654,25 +655,27 @@ def point_tiles_of(spark, sf_dir, tile_format: str = "mvt") -> DataFrame:
     return _tiles(spark, [_point_layer(spark, sf_dir, 0, 4)], max_zoom=4, drop_rate=2.5, tile_format=tile_format)
 
 
-def decoded_points(tiles: DataFrame, tile_format: str = "mvt") -> DataFrame:
-    """A row for each feature of tiles of the layer ``points``."""
+def decoded_points(tiles: DataFrame, tile_format: str = "mvt", more: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each feature of tiles of the layer ``points``, with ``more`` whole-number columns of the tiles. Tiles are read by pieces."""
     import gzip
 
     import pyarrow as pa
 
-    decode = decode_mvt if tile_format == "mvt" else decode_mlt
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
-    names = ["z", "x", "y", "fid", "px", "py", "status", "priority", "price"]
+    points = mvt_points if tile_format == "mvt" else mlt_points
+    wanted = {"status": pa.string(), "priority": pa.string(), "price": pa.float64()}
+    names = ["z", "x", "y", *more, "fid", "px", "py", *wanted]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for z, x, y, data in zip(*(c.to_pylist() for c in batch.columns)):
-                for layer in decode(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    rows += [(z, x, y, f["id"], *f["parts"][0][0], *(f["properties"].get(k) for k in names[6:])) for f in layer["features"]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            place = batch.column
+            for i in range(batch.num_rows):
+                data = place(batch.num_columns - 1)[i].as_py()
+                at = [place(k)[i].as_py() for k in range(batch.num_columns - 1)]
+                for piece in points(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, wanted):
+                    n = len(piece["id"])
+                    yield pa.RecordBatch.from_arrays([*(pa.repeat(pa.scalar(v, pa.int64()), n) for v in at), piece["id"], pa.array(piece["x"]), pa.array(piece["y"]), *(piece[k] for k in wanted)], names)
 
-    return tiles.select("z", "x", "y", "data").mapInArrow(run, "z long, x long, y long, fid long, px long, py long, status string, priority string, price double")
+    return tiles.select("z", "x", "y", *more, "data").mapInArrow(run, "".join(f"{c} long, " for c in names[:-3]) + "status string, priority string, price double")
 
 
 _THINNED = (
@@ -759,8 +762,7 @@ def pmtiles_roundtrip(spark, sf_dir):
     path = f"{base}/{uuid.uuid4().hex}.pmtiles"
     tile(_point_layer(spark, sf_dir, 0, 4), path, max_zoom=4, drop_rate=2.5, quiet=True)
     tiles = read_tiles(spark, path)
-    held = decoded_points(tiles).groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n_features"), F.sum("fid").alias("ids"))
-    return tiles.select(F.col("z").cast("long").alias("z"), "x", "y", "tile_id").join(held, ["z", "x", "y"])
+    return decoded_points(tiles, more=("tile_id",)).groupBy("z", "x", "y", "tile_id").agg(F.count(F.lit(1)).alias("n_features"), F.sum("fid").alias("ids"))
 
 
 # ---- coordinates and the SQL door ------------------------------------------------------------------------------------------

@@ -22,6 +22,8 @@ from tilewright.operators.encode import read_varint, varint
 
 # Fixed values of the format.
 HEADER_BYTES, ROOT_LIMIT, LEAF_ENTRIES = 127, 16384 - 127, 4096
+#: Compressed bytes of tiles that one task of a reader takes, about, and bytes that it hands on at once.
+SLICE_BYTES, HELD_BYTES = 1 << 20, 8 << 20
 TILE_TYPES = {"mvt": 1, "mlt": 6}
 GZIP = 2
 HEADER = "<7sB11QBBBBBBiiiiBii"
@@ -231,17 +233,19 @@ def _append(path: str, out) -> None:
 
 @dataclass
 class Slice(InputPartition):
-    """Entries of the root that point to tiles, or a leaf directory by place and length."""
+    """Entries of the root that point to tiles, or a leaf directory by place and length; of its entries the part ``nth`` of ``parts``."""
 
     entries: list
     leaf: tuple[int, int] | None
     leaf_at: int
     data_at: int
+    nth: int = 0
+    parts: int = 1
 
 
 class Reader(DataSourceReader):
-    """Rows ``(z, x, y, tile_id, data)`` with tiles decompressed. The driver reads the root directory, which is small by format; a task reads its leaf
-    directories and their tiles."""
+    """Rows ``(z, x, y, tile_id, data)`` with tiles decompressed. The driver reads the root directory, which is small by format; a task reads some
+    ``SLICE_BYTES`` of tiles, by the root or by its part of a leaf directory."""
 
     def __init__(self, options):
         self.path = options["path"].removeprefix("file:")
@@ -251,9 +255,19 @@ class Reader(DataSourceReader):
             h = header_of(f)
             f.seek(h["root_offset"])
             root = unpack_directory(f.read(h["root_length"]))
-        own = [e for e in root if e[3]]
-        out = [Slice(own[a : a + 2048], None, h["leaf_offset"], h["data_offset"]) for a in range(0, len(own), 2048)]
-        return out + [Slice([], (h["leaf_offset"] + offset, length), h["leaf_offset"], h["data_offset"]) for _, offset, length, run in root if not run] or [Slice([], None, 0, 0)]
+        out, own, size = [], [], 0
+        for e in (e for e in root if e[3]):
+            # a run of equal tiles is read once, but made as often as it says
+            if own and (size + e[2] * e[3] > SLICE_BYTES or len(own) == 2048):
+                out.append(Slice(own, None, h["leaf_offset"], h["data_offset"]))
+                own, size = [], 0
+            own.append(e)
+            size += e[2] * e[3]
+        if own:
+            out.append(Slice(own, None, h["leaf_offset"], h["data_offset"]))
+        leaves = [(h["leaf_offset"] + offset, length) for _, offset, length, run in root if not run]
+        parts = min(LEAF_ENTRIES, -(-h["data_length"] // max(1, len(leaves)) // SLICE_BYTES) or 1)
+        return out + [Slice([], leaf, h["leaf_offset"], h["data_offset"], k, parts) for leaf in leaves for k in range(parts)] or [Slice([], None, 0, 0)]
 
     def read(self, part):
         rows, held = [], 0
@@ -277,13 +291,14 @@ class Reader(DataSourceReader):
             if part.leaf:
                 f.seek(part.leaf[0])
                 found = unpack_directory(f.read(part.leaf[1]))
+                found = found[len(found) * part.nth // part.parts : len(found) * (part.nth + 1) // part.parts]
             for tile, offset, length, run in entries(found):
                 f.seek(part.data_at + offset)
                 body = gzip.decompress(f.read(length))
                 for t in range(tile, tile + run):
                     rows.append((*hilbert_to_tile(t), t, body))
                     held += len(body)
-                    if held > 32 << 20:
+                    if held > HELD_BYTES:
                         yield made()
                         rows, held = [], 0
         yield made()
