@@ -2,20 +2,23 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from tilewright.api import LayerSpec, tile
 from tilewright.operators import encode, reading
+from tilewright.operators.points import MltPoints, MvtPoints
 from tilewright.operators.reading import mlt_points, mvt_points
+from tilewright.plans import tiles
 from tilewright.sources import pmtiles
 
-WANTED = {"s": pa.string(), "d": pa.float64(), "i": pa.int64(), "b": pa.bool_(), "none": pa.string()}
+WANTED = {"s": pa.string(), "d": pa.float64(), "i": pa.int64(), "b": pa.bool_(), "none": pa.string(), "nothing": pa.float64()}
 
 
 def features(n, seed=1):
     r = random.Random(seed)
-    one = lambda k: (r.choice([None, "a", "bé" * 70, f"n{k % 400}"]), r.choice([None, r.random(), 7.5]), r.choice([None, -5, 1 << 40]), r.choice([None, True, False]), None)
+    one = lambda k: (r.choice([None, "a", "bé" * 70, f"n{k % 400}"]), r.choice([None, r.random(), 7.5]), r.choice([None, -5, 1 << 40]), r.choice([None, True, False]), None, None)
     return [(r.randrange(1 << r.randrange(1, 62)), (1, [[[(r.randrange(-300, 5000), r.randrange(-300, 5000))]]]), one(k)) for k in range(n)]
 
 
@@ -44,3 +47,36 @@ def test_points_are_read_by_pieces(monkeypatch, make, points, n):
     assert max(len(p["id"]) for p in pieces) <= 64
     found = [r for p in pieces for r in zip(p["id"].to_pylist(), p["x"].tolist(), p["y"].tolist(), *(p[k].to_pylist() for k in WANTED))]
     assert found == [(f, *g[1][0][0][0], *v) for f, g, v in own]
+
+
+@pytest.mark.parametrize("make, layer", [(encode.encode_mvt, MvtPoints), (encode.encode_mlt, MltPoints)])
+@pytest.mark.parametrize("piece", [7, 97, 1000])
+def test_layers_made_by_pieces_have_the_same_bytes(make, layer, piece):
+    own = features(300)
+    one = layer("p", list(WANTED))
+    for a in range(0, len(own), piece):
+        ids, shapes, values = zip(*own[a : a + piece])
+        x, y = (np.array([g[1][0][0][0][k] for g in shapes]) for k in (0, 1))
+        one.add(pa.array(ids, pa.int64()), x, y, [pa.array(c, t) for c, t in zip(zip(*values), WANTED.values())])
+    assert one.finish() == make([("p", list(WANTED), own)])
+    assert layer("p", []).finish() == b""
+
+
+@pytest.mark.parametrize("settings", [{}, {"tile_format": "mlt"}, {"generate_ids": False}])
+def test_large_tiles_are_made_by_pieces(spark, monkeypatch, settings):
+    """In the process itself, so that what is handed to an encoder at once can be seen."""
+    df = spark.range(3000).selectExpr("id AS fid", "id * 7919 % 360 - 180D AS lon", "id * 104729 % 160 - 80D AS lat", "string(id % 7) AS s")
+    config = tiles.TileConfig(max_zoom=2, **settings)
+    layers = [tiles.Layer(LayerSpec(df, name=n, lon="lon", lat="lat", id=None, min_zoom=0, max_zoom=2), config) for n in "ab"]
+    rows = tiles.union_of(layers)
+    plain = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda df, run, schema: plain.update(run=run, df=df))
+    tiles.encoded(rows, layers, config)
+    batches = [b for b in plain["df"].coalesce(1).sortWithinPartitions("tile", "layer", "fid").toArrow().to_batches(max_chunksize=100)]
+    whole = [r for b in plain["run"](iter(batches)) for r in b.to_pylist()]
+    sizes = []
+    for kind in (MvtPoints, MltPoints):
+        monkeypatch.setattr(kind, "add", lambda self, fid, px, *more, add=kind.add: (sizes.append(len(px)), add(self, fid, px, *more)))
+    monkeypatch.setattr(tiles, "PIECE_ROWS", 250)
+    assert [r for b in plain["run"](iter(batches)) for r in b.to_pylist()] == whole
+    assert len(whole) == 21 and len(sizes) > 60 and max(sizes) <= 300

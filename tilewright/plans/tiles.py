@@ -12,6 +12,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +22,16 @@ from tilewright.operators import thin
 from tilewright.operators.cluster import clusters
 from tilewright.operators.coalesce import coalesce
 from tilewright.operators.cut import centre_key, cut, described, is_point, pieces
-from tilewright.operators.encode import encode_mlt, encode_mvt
-from tilewright.operators.points import point_layer
+from tilewright.operators.encode import MvtFeatures, encode_mlt, encode_mvt
+from tilewright.operators.points import MltPoints, MvtPoints, point_layer
 from tilewright.plans.model import LayerSpec, TileConfig, normalised, numbered
 from tilewright.plans.store import saved
 
 COUNT = "point_count"
 #: Features of one tile, which is one blob and made by one task. More are refused: no viewer could show such a tile.
 TILE_FEATURES = 20_000_000
+#: Rows of one tile that are joined to be encoded at once; larger tiles are made by pieces of so many. Bytes of tiles that a task hands on at once.
+PIECE_ROWS, FLUSH_BYTES = 40_000, 8 << 20
 TOO_MANY = "tile {}/{}/{} holds more than {} features; set drop_rate (or cluster_distance), or raise min_zoom"
 KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
 
@@ -146,8 +149,9 @@ def union_of(layers: list[Layer]) -> DataFrame:
 
 
 def encoded(rows: DataFrame, layers: list[Layer], config: TileConfig) -> DataFrame:
-    """``(z, x, y, data)``: tiles, gzip-compressed. Rows of a tile meet by one shuffle, sorted; one tile at a time is held."""
-    plain = config.tile_format == "mvt" and all(layer.dots for layer in layers)
+    """``(z, x, y, data)``: tiles, gzip-compressed. Rows of a tile meet by one shuffle, sorted. Of one tile at a time the bytes made so far are held, of
+    merged features and of lines and polygons in MLT the features."""
+    plain, mvt = all(layer.dots for layer in layers), config.tile_format == "mvt"
     props = [f"props{k}" for k in range(len(layers))]
     # one number for the tile: the sort then compares numbers, and rows only within a tile
     tile = F.shiftleft(F.col("z").cast("long"), 50).bitwiseOR(F.shiftleft(F.col("x"), 25)).bitwiseOR(F.col("y"))
@@ -155,44 +159,78 @@ def encoded(rows: DataFrame, layers: list[Layer], config: TileConfig) -> DataFra
     dealt = dealt.repartition("tile").sortWithinPartitions("tile", "layer", "key", "fid").drop("key")
     named = [(layer.spec.name, layer.field_names(), len(layer.names), layer.clusters_to is not None) for layer in layers]
     shown = [bool(layer.spec.id) or config.generate_ids for layer in layers]
-    make = encode_mvt if config.tile_format == "mvt" else encode_mlt
+    make = encode_mvt if mvt else encode_mlt
     merges = config.coalesce
 
-    def flush(done):
+    def flushed(done):
+        """Tiles in batches of at most 256, cut by bytes."""
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["z", "x", "y", "data"])
+        batch = lambda held: pa.RecordBatch.from_arrays([pa.array([d[i] for d in held], k) for i, k in enumerate(kinds)], ["z", "x", "y", "data"])
+        held, size = [], 0
+        for d in done:
+            if held and (size + len(d[3]) > FLUSH_BYTES or len(held) == 256):
+                yield batch(held)
+                held, size = [], 0
+            held.append(d)
+            size += len(d[3])
+        yield batch(held)
+
+    def columns_of(batch, k):
+        """Rows of layer ``k`` as its encoder takes them; None without rows."""
+        own = batch if len(named) == 1 else batch.filter(pc.equal(batch.column(1), k))
+        if not own.num_rows:
+            return None
+        columns = own.column((6 if plain else 7) + k).flatten()[: named[k][2]] if named[k][2] else []
+        if named[k][3]:
+            columns.append(own.column(5 if plain else 6))
+        return own.column(2) if shown[k] else None, own.column(3).to_numpy(), own.column(4).to_numpy(), columns
 
     def points(batches):
-        """Tiles of single points: whole tiles of the batches at hand at once."""
-        for batch in whole_tiles(batches):
-            at, layer = (batch.column(k).to_numpy() for k in range(2))
+        """Tiles of single points: whole tiles of the batches at hand at once, large tiles by pieces."""
+        yield from flushed(dotted(batches))
+
+    def dotted(batches):
+        large = None
+        for batch, goes_on in tile_pieces(batches):
+            at = batch.column(0).to_numpy()
+            if goes_on or large or not mvt:
+                starts = np.flatnonzero(np.diff(at, prepend=at[0] - 1)).tolist()
+                for a, b in zip(starts, [*starts[1:], len(at)]):
+                    large = large or [(MvtPoints if mvt else MltPoints)(name, names) for name, names, _, _ in named]
+                    for k, layer in enumerate(large):
+                        if own := columns_of(batch.slice(a, b - a), k):
+                            layer.add(*own)
+                    if not goes_on:
+                        yield (*unpacked(int(at[a])), packed(b"".join(layer.finish() for layer in large)))
+                        large = None
+                continue
             tile = np.cumsum(np.diff(at, prepend=at[0]) != 0)
             found: dict[int, list[bytes]] = {}
-            for k, (name, names, m, counted) in enumerate(named):
-                own = batch if len(named) == 1 else batch.filter(pa.array(layer == k))
-                if not own.num_rows:
-                    continue
-                columns = own.column(6 + k).flatten()[:m] if m else []
-                if counted:
-                    columns.append(own.column(5))
-                mine = tile if len(named) == 1 else tile[layer == k]
-                for t, data in point_layer(name, names, mine, own.column(2) if shown[k] else None, own.column(3).to_numpy(), own.column(4).to_numpy(), columns):
-                    found.setdefault(t, []).append(data)
+            for k, (name, names, _, _) in enumerate(named):
+                if own := columns_of(batch, k):
+                    mine = tile if len(named) == 1 else tile[batch.column(1).to_numpy() == k]
+                    for t, data in point_layer(name, names, mine, *own):
+                        found.setdefault(t, []).append(data)
             tiles = [unpacked(t) for t in at[np.flatnonzero(np.diff(tile, prepend=-1))].tolist()]
-            done = [(*tiles[t], packed(b"".join(layers))) for t, layers in sorted(found.items())]
-            for a in range(0, len(done), 256):
-                yield flush(done[a : a + 256])
+            for t, layers in sorted(found.items()):
+                yield (*tiles[t], packed(b"".join(layers)))
 
     def run(batches):
-        tile, held, done = None, [[] for _ in named], []
+        yield from flushed(made_tiles(batches))
+
+    def made_tiles(batches):
+        tile, held, count = None, [], 0
+        fresh = lambda: [MvtFeatures(name, names) if mvt and not merges else [] for name, names, _, _ in named]
 
         def close():
             if tile is None:
                 return
-            content = [(name, names, coalesce(features) if merges else features) for (name, names, _, _), features in zip(named, held) if features]
-            data = make(content)
+            if mvt and not merges:
+                data = b"".join(layer.finish() for layer in held)
+            else:
+                data = make([(name, names, coalesce(features) if merges else features) for (name, names, _, _), features in zip(named, held) if features])
             if data:
-                done.append((*tile, packed(data)))
+                yield (*tile, packed(data))
 
         for batch in batches:
             place = [batch.column(k).to_numpy() for k in range(2)]
@@ -212,20 +250,20 @@ def encoded(rows: DataFrame, layers: list[Layer], config: TileConfig) -> DataFra
             for a, b in zip([0, *turns.tolist()], [*turns.tolist(), n]):
                 at, k = unpacked(int(place[0][a])), int(place[1][a])
                 if at != tile:
-                    close()
-                    tile, held = at, [[] for _ in named]
-                    if len(done) >= 256:
-                        yield flush(done)
-                        done.clear()
+                    yield from close()
+                    tile, held, count = at, fresh(), 0
                 rows = zip(*(f[a:b] for f in values[k])) if values[k] else repeat((), b - a)
                 for fid, x, y, shape, props in zip(fids[a:b], pxs[a:b], pys[a:b], shapes[a:b], rows):
                     g = (1, [[[(x, y)]]]) if shape is None else from_wkb(shape)
                     if g is not None:
-                        held[k].append((fid if shown[k] else None, g, props))
-                if sum(map(len, held)) > TILE_FEATURES:
+                        count += 1
+                        if mvt and not merges:
+                            held[k].add(fid if shown[k] else None, g, props)
+                        else:
+                            held[k].append((fid if shown[k] else None, g, props))
+                if count > TILE_FEATURES:
                     raise ValueError(TOO_MANY.format(*tile, TILE_FEATURES))
-        close()
-        yield flush(done)
+        yield from close()
 
     return dealt.mapInArrow(points if plain else run, "z int, x long, y long, data binary")
 
@@ -239,36 +277,56 @@ def packed(data: bytes) -> bytes:
 
 
 def whole_tiles(batches):
-    """Batches sorted by tile (their first column), cut anew so that each tile lies in one."""
+    """Batches sorted by tile, cut anew so that each tile lies in one."""
+    held = []
+    for batch, goes_on in tile_pieces(batches):
+        held.append(batch)
+        if not goes_on:
+            yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+
+
+def tile_pieces(batches):
+    """Batches sorted by tile (their first column), cut anew so that each tile lies in one: ``(batch, False)``. A tile of more than ``PIECE_ROWS``
+    rows comes by pieces, alone: ``(piece, True)``, and ``(piece, False)`` at last."""
     held: list[pa.RecordBatch] = []
-    last, rows = None, 0
+    last, rows, joint, going = None, 0, 0, False
 
     def joined():
         return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
         at = batch.column(0).to_numpy()
-        turns = np.flatnonzero(np.diff(at)) + 1
         first, end = int(at[0]), int(at[-1])
         if last not in (None, first):
-            yield joined()
-            held, rows = [], 0
+            yield joined(), False
+            held, rows, joint, going = [], 0, 0, False
+        turns = np.flatnonzero(np.diff(at)) + 1
+        start = 0
         if len(turns):
+            if going:
+                start = int(turns[0])
+                held.append(batch.slice(0, start))
+                yield joined(), False
+                held, going = [], False
             cut = int(turns[-1])
-            held.append(batch.slice(0, cut))
-            yield joined()
-            held, rows = [batch.slice(cut)], n - cut
-        else:
-            held.append(batch)
-            rows += n
-        last = end
+            if cut > start:
+                held.append(batch.slice(start, cut - start))
+                yield joined(), False
+            held, rows, joint = [], 0, 0
+            batch = batch.slice(cut)
+        n = batch.num_rows
+        if held and joint + n > PIECE_ROWS:
+            yield joined(), True
+            held, joint, going = [], 0, True
+        held.append(batch)
+        rows, joint, last = rows + n, joint + n, end
         if rows > TILE_FEATURES:
             raise ValueError(TOO_MANY.format(*unpacked(last), TILE_FEATURES))
     if held:
-        yield joined()
+        yield joined(), False
 
 
 def pyramid(specs: list[LayerSpec], config: TileConfig, points_only: bool = False) -> tuple[DataFrame, dict]:
