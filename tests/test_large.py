@@ -80,3 +80,14 @@ def test_large_tiles_are_made_by_pieces(spark, monkeypatch, settings):
     monkeypatch.setattr(tiles, "PIECE_ROWS", 250)
     assert [r for b in plain["run"](iter(batches)) for r in b.to_pylist()] == whole
     assert len(whole) == 21 and len(sizes) > 60 and max(sizes) <= 300
+
+
+def test_features_of_a_layer_are_read_one_by_one():
+    own = [(k, (3, [[[(0, 0), (k + 1, 0), (k + 1, 9), (0, 0)]]]), (f"n{k % 3}", k)) for k in range(50)]
+    data = encode.encode_mvt([("p", ["s", "i"], own)])
+    (layer,) = reading.mvt_layers(data)
+    assert list(layer.features()) == encode.decode_mvt(data)[0]["features"]
+    one = encode.MvtFeatures("p", ["s", "i"])
+    for f in own:
+        one.add(*f)
+    assert one.finish() == data

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import islice
 from math import floor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from tilewright.operators.coalesce import coalesce
 from tilewright.operators.cut import cut, pieces
 from tilewright.operators.encode import decode_mlt, decode_mvt
 from tilewright.operators.points import point_layer
-from tilewright.operators.reading import mlt_points, mvt_points
+from tilewright.operators.reading import mlt_points, mvt_layers, mvt_points
 from tilewright.operators.simplify import visvalingam
 from tilewright.plans.model import LayerSpec, TileConfig, normalised, row_numbers
 from tilewright.plans.tiles import Layer, point_tiles, pyramid
@@ -732,12 +733,15 @@ def encode_boxes(spark, sf_dir):
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for z, x, y, data in zip(*(c.to_pylist() for c in batch.columns)):
-                for f in decode_mvt(gzip.decompress(data))[0]["features"]:
-                    xs, ys = zip(*f["parts"][0])
-                    rows.append((z, x, y, f["id"], f["properties"]["brand"], f["properties"]["size"], min(xs), max(xs), min(ys), max(ys)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 4 else pa.int64()) for i in range(10)], ["z", "x", "y", "fid", "brand", "size", "x0", "x1", "y0", "y1"])
+            found = (row for i in range(batch.num_rows) for row in corners(*(c[i].as_py() for c in batch.columns)))
+            while rows := list(islice(found, 5000)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 4 else pa.int64()) for i in range(10)], ["z", "x", "y", "fid", "brand", "size", "x0", "x1", "y0", "y1"])
+
+    def corners(z, x, y, data):
+        for layer in mvt_layers(gzip.decompress(data)):
+            for f in layer.features():
+                xs, ys = zip(*f["parts"][0])
+                yield z, x, y, f["id"], f["properties"]["brand"], f["properties"]["size"], min(xs), max(xs), min(ys), max(ys)
 
     return tiles.select("z", "x", "y", "data").mapInArrow(run, "z long, x long, y long, fid long, brand string, size long, x0 long, x1 long, y0 long, y1 long")
 
