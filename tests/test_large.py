@@ -10,7 +10,7 @@ from tilewright.api import LayerSpec, tile
 from tilewright.operators import encode, reading
 from tilewright.operators.points import MltPoints, MvtPoints
 from tilewright.operators.reading import mlt_points, mvt_points
-from tilewright.plans import tiles
+from tilewright.plans import catalog, tiles
 from tilewright.sources import pmtiles
 
 WANTED = {"s": pa.string(), "d": pa.float64(), "i": pa.int64(), "b": pa.bool_(), "none": pa.string(), "nothing": pa.float64()}
@@ -91,3 +91,30 @@ def test_features_of_a_layer_are_read_one_by_one():
     for f in own:
         one.add(*f)
     assert one.finish() == data
+
+
+def by_pieces(spark, rows, start, schema):
+    """A step of ``_tile_pieces`` in the process itself, with batches of 10 rows: the result, and how many rows came at once."""
+    kept, sizes = {}, []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(rows), "mapInArrow", lambda df, run, schema: kept.update(run=run, df=df))
+        catalog._tile_pieces(rows, lambda: Watched(start(), sizes), schema)
+    batches = kept["df"].toArrow().to_batches(max_chunksize=10)
+    return sorted(tuple(r.values()) for b in kept["run"](iter(batches)) for r in b.to_pylist()), sizes
+
+
+class Watched:
+    def __init__(self, own, sizes):
+        self.own, self.rows, self.sizes = own, own.rows, sizes
+
+    def add(self, fid, *more):
+        self.sizes.append(len(fid))
+        self.own.add(fid, *more)
+
+
+def test_tiles_are_never_held_as_rows(spark):
+    rows = spark.range(400).selectExpr("id % 3 AS x", "0L AS y", "id AS fid", "0L AS px", "0L AS py", "if(id % 3 = 1, null, double(id)) AS d", "if(id % 5 = 0, null, 's') AS s")
+    types = lambda data: ([[c["type"]] for c in layer.columns] for layer in reading.mlt_layers(data))
+    found, sizes = by_pieces(spark, rows, lambda: catalog._ReadBack(MltPoints, ["d", "s"], types), "x long, y long, d_type long, s_type long")
+    assert found == [(0, 0, 26, 29), (1, 0, 29, 29), (2, 0, 26, 29)]
+    assert max(sizes) <= 10 and sum(sizes) == 400

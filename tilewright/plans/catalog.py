@@ -17,8 +17,8 @@ from tilewright.operators.cluster import clusters
 from tilewright.operators.coalesce import coalesce
 from tilewright.operators.cut import cut, pieces
 from tilewright.operators.encode import decode_mlt, decode_mvt
-from tilewright.operators.points import point_layer
-from tilewright.operators.reading import mlt_points, mvt_layers, mvt_points
+from tilewright.operators.points import MltPoints, point_layer
+from tilewright.operators.reading import mlt_layers, mlt_points, mvt_layers, mvt_points
 from tilewright.operators.simplify import visvalingam
 from tilewright.plans.model import LayerSpec, TileConfig, normalised, row_numbers
 from tilewright.plans.tiles import Layer, point_tiles, pyramid
@@ -465,6 +465,67 @@ def _mlt_layer(features, names: list[str]) -> dict:
     return decode_mlt(encode.encode_mlt([("p", names, [(f, (1, [[[(x, y)]]]), v) for f, x, y, v in features])]))[0]
 
 
+_ARROW = {"long": "int64", "string": "string", "boolean": "bool_"}
+
+
+def _tile_pieces(rows: DataFrame, start, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """What ``start()`` makes of the rows of each tile ``(x, y)``, and of ``more`` keys within it, in order of ``fid``: ``add(fid, px, py, columns)`` takes Arrow
+    columns of the rows by pieces, ``rows()`` gives pieces of the result's columns after ``x``, ``y``. The sort is Spark's, which spills; no task holds the rows of a tile."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names = [c for c in rows.columns if c not in ("x", "y", "fid", "px", "py", *more)]
+    out = [f.split() for f in schema.split(", ")]
+    wide = 2 + len(more)
+    dealt = rows.select("x", "y", *more, "fid", "px", "py", *names).repartition("x", "y").sortWithinPartitions("x", "y", *more, "fid")
+
+    def made(tile, own):
+        for columns in own.rows():
+            n = len(columns[0])
+            if n:
+                columns = [*(pa.repeat(pa.scalar(v, pa.int64()), n) for v in tile[:2]), *columns]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=getattr(pa, _ARROW[k])()) if not isinstance(c, pa.Array) else c.cast(getattr(pa, _ARROW[k])()) for c, (_, k) in zip(columns, out)], [n for n, _ in out])
+
+    def cells(column):
+        return pc.if_else(pc.is_nan(column), None, column) if pa.types.is_floating(column.type) else column
+
+    def run(batches):
+        tile, own = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            turn = np.zeros(batch.num_rows, bool)
+            for k in range(wide):
+                code = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                turn[1:] |= np.diff(code) != 0
+            starts = [0, *np.flatnonzero(turn).tolist(), batch.num_rows]
+            fid, px, py, *columns = batch.columns[wide:]
+            columns = [cells(c) for c in columns]
+            for a, b in zip(starts, starts[1:]):
+                at = tuple(batch.column(k)[a].as_py() for k in range(wide))
+                if at != tile:
+                    if own:
+                        yield from made(tile, own)
+                    tile, own = at, start()
+                own.add(fid.slice(a, b - a), px.slice(a, b - a).to_numpy(), py.slice(a, b - a).to_numpy(), [c.slice(a, b - a) for c in columns])
+        if own:
+            yield from made(tile, own)
+
+    return dealt.mapInArrow(run, schema)
+
+
+class _ReadBack:
+    """The points of a tile through an encoder that takes pieces, and what ``read`` finds in the bytes."""
+
+    def __init__(self, make, names: list[str], read):
+        self.layer, self.read = make("p", names), read
+        self.add = self.layer.add
+
+    def rows(self):
+        return self.read(self.layer.finish())
+
+
 @query(_with("geo_boxes") + f"SELECT x, y, brand, count(*) AS members, min(fid) AS first_id FROM (SELECT fid, brand, {_tx('xmin', 4)} AS x, {_ty('ymin', 4)} AS y FROM geo_boxes) b GROUP BY x, y, brand")
 def coalesce_polygon_groups(spark, sf_dir):
     """Boxes of a tile, merged by brand: members and id of each multipolygon."""
@@ -499,8 +560,8 @@ _TYPED = "SELECT fid % 7 AS x, CAST(0 AS BIGINT) AS y, fid, CASE WHEN fid % 5 =
 def mlt_column_types(spark, sf_dir):
     rows = spark.sql(_TYPED.replace("FROM geo_points", "FROM {points}"), points=view(spark, sf_dir, "geo_points"))
     rows = rows.select("x", "y", "fid", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"), "s", "d")
-    run = lambda features: [tuple(c["type"] for c in _mlt_layer(features, ["s", "d"])["columns"])]
-    return _by_tile(rows, run, "x long, y long, s_type long, d_type long")
+    types = lambda data: ([[c["type"]] for c in layer.columns] for layer in mlt_layers(data))
+    return _tile_pieces(rows, lambda: _ReadBack(MltPoints, ["s", "d"], types), "x long, y long, s_type long, d_type long")
 
 
 @query(
