@@ -118,3 +118,10 @@ def test_tiles_are_never_held_as_rows(spark):
     found, sizes = by_pieces(spark, rows, lambda: catalog._ReadBack(MltPoints, ["d", "s"], types), "x long, y long, d_type long, s_type long")
     assert found == [(0, 0, 26, 29), (1, 0, 29, 29), (2, 0, 26, 29)]
     assert max(sizes) <= 10 and sum(sizes) == 400
+
+
+def test_values_are_indexed_across_pieces(spark):
+    rows = spark.range(100).selectExpr("id % 2 AS x", "0L AS y", "id AS fid", "0L AS px", "0L AS py", "string(id DIV 25) AS s")
+    index = lambda data: ((layer.values, range(len(layer.values))) for layer in reading.mvt_layers(data))
+    found, sizes = by_pieces(spark, rows, lambda: catalog._ReadBack(MvtPoints, ["s"], index), "x long, y long, s string, i long")
+    assert found == [(x, 0, str(k), k) for x in (0, 1) for k in range(4)] and max(sizes) <= 10

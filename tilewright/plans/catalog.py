@@ -17,7 +17,7 @@ from tilewright.operators.cluster import clusters
 from tilewright.operators.coalesce import coalesce
 from tilewright.operators.cut import cut, pieces
 from tilewright.operators.encode import decode_mlt, decode_mvt
-from tilewright.operators.points import MltPoints, point_layer
+from tilewright.operators.points import MltPoints, MvtPoints, point_layer
 from tilewright.operators.reading import mlt_layers, mlt_points, mvt_layers, mvt_points
 from tilewright.operators.simplify import visvalingam
 from tilewright.plans.model import LayerSpec, TileConfig, normalised, row_numbers
@@ -549,8 +549,8 @@ def _values(spark, sf_dir, *columns):
 
 @query(_with("geo_points") + f"SELECT x, y, priority, row_number() OVER (PARTITION BY x, y ORDER BY first_fid) - 1 AS value_index FROM (SELECT x, y, priority, min(fid) AS first_fid FROM ({_VALUES}) v GROUP BY x, y, priority) f")
 def mvt_dictionary_keys_values(spark, sf_dir):
-    run = lambda features: [(v, i) for i, v in enumerate(_mvt_layer(features, ["priority"])["values"])]
-    return _by_tile(_values(spark, sf_dir, "priority"), run, "x long, y long, priority string, value_index long")
+    index = lambda data: ((layer.values, range(len(layer.values))) for layer in mvt_layers(data))
+    return _tile_pieces(_values(spark, sf_dir, "priority"), lambda: _ReadBack(MvtPoints, ["priority"], index), "x long, y long, priority string, value_index long")
 
 
 _TYPED = "SELECT fid % 7 AS x, CAST(0 AS BIGINT) AS y, fid, CASE WHEN fid % 5 = 0 THEN NULL ELSE status END AS s, CASE WHEN fid % 7 = 3 THEN NULL WHEN fid % 7 = 4 AND fid % 2 = 0 THEN NULL ELSE price END AS d FROM geo_points"
