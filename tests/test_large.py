@@ -125,3 +125,7 @@ def test_values_are_indexed_across_pieces(spark):
     index = lambda data: ((layer.values, range(len(layer.values))) for layer in reading.mvt_layers(data))
     found, sizes = by_pieces(spark, rows, lambda: catalog._ReadBack(MvtPoints, ["s"], index), "x long, y long, s string, i long")
     assert found == [(x, 0, str(k), k) for x in (0, 1) for k in range(4)] and max(sizes) <= 10
+
+
+def test_commands_of_points_need_no_shuffle(spark, sf):
+    assert "Exchange" not in catalog.mvt_point_commands(spark, sf)._jdf.queryExecution().executedPlan().toString()

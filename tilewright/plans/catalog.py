@@ -207,11 +207,19 @@ def snap_points(spark, sf_dir):
 
 @query(_with("geo_points") + f"SELECT fid, CAST(9 AS BIGINT) AS command, CASE WHEN px >= 0 THEN 2 * px ELSE -2 * px - 1 END AS zx, CASE WHEN py >= 0 THEN 2 * py ELSE -2 * py - 1 END AS zy FROM (SELECT fid, {_px('lon', 9, 'x')} AS px, {_py('lat', 9, 'y')} AS py FROM ({_TILE9}) t) u")
 def mvt_point_commands(spark, sf_dir):
-    # encoded by groups of tiles: the commands of a point hang on itself alone
-    rows = _tile9(spark, sf_dir).select(F.shiftright("x", 6).alias("gx"), F.shiftright("y", 6).alias("gy"), "x", "y", "fid", tm.tile_px("lon", F.lit(9), "x").alias("px"), tm.tile_py("lat", F.lit(9), "y").alias("py"))
-    rows = rows.drop("x", "y").withColumnsRenamed({"gx": "x", "gy": "y"})
-    run = lambda features: [(f["id"], *f["commands"]) for f in _mvt_layer(features, [])["features"]]
-    return _by_tile(rows, run, "x long, y long, fid long, command long, zx long, zy long").drop("x", "y")
+    """Encoded by batches, whatever their tiles: the commands of a point hang on itself alone."""
+    import pyarrow as pa
+
+    rows = _tile9(spark, sf_dir).select("fid", tm.tile_px("lon", F.lit(9), "x").alias("px"), tm.tile_py("lat", F.lit(9), "y").alias("py"))
+
+    def run(batches):
+        for batch in batches:
+            layer = MvtPoints("p", [])
+            layer.add(batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy(), [])
+            for piece in mvt_points(layer.finish(), {}):
+                yield pa.RecordBatch.from_arrays([piece["id"], *(pa.array(piece[k]) for k in ("command", "zx", "zy"))], ["fid", "command", "zx", "zy"])
+
+    return rows.mapInArrow(run, "fid long, command long, zx long, zy long")
 
 
 _MORTON = """SELECT fid, lon, lat, {more} list_sum(list_transform(range(0, 16), lambda i: (((gx >> i) & 1) << (2 * i)) + (((gy >> i) & 1) << (2 * i + 1))))::BIGINT AS morton FROM (SELECT *, {gx} AS gx, {gy} AS gy FROM ({src}) s) g"""
