@@ -129,3 +129,15 @@ def test_values_are_indexed_across_pieces(spark):
 
 def test_commands_of_points_need_no_shuffle(spark, sf):
     assert "Exchange" not in catalog.mvt_point_commands(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_step_across_pieces(spark):
+    rows = spark.range(100).selectExpr("id % 2 AS x", "0L AS y", "id * id AS fid", "0L AS px", "0L AS py")
+
+    def steps(data):
+        for layer in reading.mlt_layers(data):
+            own = layer.id_steps()
+            yield own.cumsum(), own
+
+    found, _ = by_pieces(spark, rows, lambda: catalog._ReadBack(MltPoints, [], steps), "x long, y long, fid long, delta long")
+    assert found == sorted((k % 2, 0, k * k, k * k - max(k - 2, 0) ** 2) for k in range(100))

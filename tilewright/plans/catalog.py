@@ -595,11 +595,12 @@ def mlt_rle_runs(spark, sf_dir):
 
 @query(_with("geo_points") + f"SELECT x, y, fid, fid - coalesce(lag(fid) OVER (PARTITION BY x, y ORDER BY fid), 0) AS delta FROM ({_VALUES}) v")
 def mlt_delta_ids(spark, sf_dir):
-    def run(features):
-        layer = _mlt_layer(features, [])
-        return [(f["id"], step) for f, step in zip(layer["features"], layer["id_steps"])]
+    def steps(data):
+        for layer in mlt_layers(data):
+            own = layer.id_steps()
+            yield own.cumsum(), own
 
-    return _by_tile(_values(spark, sf_dir), run, "x long, y long, fid long, delta long")
+    return _tile_pieces(_values(spark, sf_dir), lambda: _ReadBack(MltPoints, [], steps), "x long, y long, fid long, delta long")
 
 
 _ODD = "SELECT s_suppkey AS fid, s_name AS name, s_nationkey AS nation, CASE WHEN s_suppkey % 4 = 0 THEN CAST('NaN' AS DOUBLE) ELSE s_acctbal END AS balance, CAST(s_acctbal AS DECIMAL(12, 1)) AS short, s_acctbal > 0 AS good FROM supplier"
