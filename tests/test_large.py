@@ -141,3 +141,9 @@ def test_ids_step_across_pieces(spark):
 
     found, _ = by_pieces(spark, rows, lambda: catalog._ReadBack(MltPoints, [], steps), "x long, y long, fid long, delta long")
     assert found == sorted((k % 2, 0, k * k, k * k - max(k - 2, 0) ** 2) for k in range(100))
+
+
+def test_runs_across_pieces(spark):
+    rows = spark.range(100).selectExpr("0L AS x", "0L AS y", "id AS fid", "0L AS px", "0L AS py", "if(id BETWEEN 15 AND 44, null, string(id DIV 30)) AS s")
+    found, sizes = by_pieces(spark, rows, catalog._Runs, "x long, y long, runs long")
+    assert found == [(0, 0, 5)] and max(sizes) <= 10

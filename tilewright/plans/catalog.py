@@ -580,17 +580,33 @@ SELECT x, y, pays, CASE WHEN pays THEN k ELSE n END::BIGINT AS lengths, CASE WHE
 def mlt_dictionary_decision(spark, sf_dir):
     """Whether texts are written by dictionary, and how many lengths and offsets there are. Lengths and indexes here need one byte each."""
 
-    def run(features):
-        streams = _mlt_layer(features, ["priority"])["columns"][0]["streams"]
-        pays = len(streams) == 3
-        return [(pays, streams[0][2], streams[2][2] if pays else 0)]
+    def decision(data):
+        for layer in mlt_layers(data):
+            streams = layer.columns[0]["streams"]
+            pays = len(streams) == 3
+            yield [pays], [streams[0][4]], [streams[2][4] if pays else 0]
+
+    return _tile_pieces(_values(spark, sf_dir, "priority"), lambda: _ReadBack(MltPoints, ["priority"], decision), "x long, y long, pays boolean, lengths long, offsets long")
+
 
-    return _by_tile(_values(spark, sf_dir, "priority"), run, "x long, y long, pays boolean, lengths long, offsets long")
+class _Runs:
+    """Runs of the values of a column that comes by pieces."""
+
+    def __init__(self):
+        self.runs, self.last = 0, []
+
+    def add(self, fid, px, py, columns):
+        values = columns[0].to_pylist()
+        self.runs += encode.run_count([*self.last, *values]) - len(self.last)
+        self.last = values[-1:]
+
+    def rows(self):
+        yield ([self.runs],)
 
 
 @query(_with("geo_points") + f"SELECT x, y, sum(CASE WHEN status IS DISTINCT FROM before THEN 1 ELSE 0 END)::BIGINT AS runs FROM (SELECT x, y, status, lag(status) OVER (PARTITION BY x, y ORDER BY fid) AS before FROM ({_VALUES}) v) l GROUP BY x, y")
 def mlt_rle_runs(spark, sf_dir):
-    return _by_tile(_values(spark, sf_dir, "status"), lambda features: [(encode.run_count([v[0] for *_, v in features]),)], "x long, y long, runs long")
+    return _tile_pieces(_values(spark, sf_dir, "status"), _Runs, "x long, y long, runs long")
 
 
 @query(_with("geo_points") + f"SELECT x, y, fid, fid - coalesce(lag(fid) OVER (PARTITION BY x, y ORDER BY fid), 0) AS delta FROM ({_VALUES}) v")
