@@ -8,9 +8,11 @@ import pytest
 
 from tilewright.api import LayerSpec, tile
 from tilewright.operators import encode, reading
+from tilewright.operators.coalesce import with_group
 from tilewright.operators.points import MltPoints, MvtPoints
 from tilewright.operators.reading import mlt_points, mvt_points
 from tilewright.plans import catalog, tiles
+from tilewright.plans.store import saved
 from tilewright.sources import pmtiles
 
 WANTED = {"s": pa.string(), "d": pa.float64(), "i": pa.int64(), "b": pa.bool_(), "none": pa.string(), "nothing": pa.float64()}
@@ -147,3 +149,15 @@ def test_runs_across_pieces(spark):
     rows = spark.range(100).selectExpr("0L AS x", "0L AS y", "id AS fid", "0L AS px", "0L AS py", "if(id BETWEEN 15 AND 44, null, string(id DIV 30)) AS s")
     found, sizes = by_pieces(spark, rows, catalog._Runs, "x long, y long, runs long")
     assert found == [(0, 0, 5)] and max(sizes) <= 10
+
+
+def test_lines_are_grouped_by_what_hangs_together(spark):
+    """Paths 0 to 9 of nine steps each, mixed; a ring, a line that is a point, and one that meets path 3 with -0.0 for 0.0."""
+    lines = [(10 * p + k, float(p), float(k), float(p), float(k + 1)) for p in range(10) for k in range(9)]
+    lines += [(200, 50.0, 0.0, 51.0, 0.0), (201, 51.0, 0.0, 50.0, 0.0), (202, 60.0, 0.0, 60.0, 0.0), (203, 3.0, -0.0, 2.5, 7.5)]
+    random.Random(2).shuffle(lines)
+    rows = saved(spark.createDataFrame(lines, "fid long, a double, b double, c double, d double"))
+    found = {r.fid: r.group for r in with_group(rows, ["a", "b"], ["c", "d"]).collect()}
+    want = {fid: 3 if fid == 203 else fid // 10 if fid < 200 else fid // 2 for fid, *_ in lines}
+    assert len(found) == len(lines) and None not in found.values()
+    assert len(set(found.values())) == len(set(want.values())) == len({(found[k], want[k]) for k in found})

@@ -8,7 +8,11 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tilewright.functions.geometry import LINE, POINT, POLYGON, Part, multi
+from tilewright.operators.graph import components
 
 
 def chain_lines(lines: list[Part], key=lambda p: p) -> list[Part]:
@@ -71,3 +75,12 @@ def coalesce(features, key=lambda p: p):
             if g:
                 out.append((members[0][0], g, members[0][2]))
     return out
+
+
+def with_group(lines: DataFrame, first: list[str], last: list[str]) -> DataFrame:
+    """``lines``, which must be a written table, with ``group``: equal where lines hang together by equal ends (of columns ``first`` and ``last``). Merging depends on
+    nothing outside of a group, so that groups, not tiles, are what a task must hold. Ends are told by hashes: two that collide make one group of two, no more."""
+    end = lambda names: F.xxhash64(*[F.col(c) + F.lit(0.0) for c in names])  # noqa: E731  (0.0 and -0.0 are equal)
+    named = lines.withColumns({"__a": end(first), "__b": end(last)})
+    roots = components(named.select(F.col("__a").alias("a"), F.col("__b").alias("b"))).select(F.col("node").alias("__a"), "root")
+    return named.join(roots, "__a", "left").withColumn("group", F.coalesce("root", "__a")).drop("__a", "__b", "root")

@@ -14,14 +14,15 @@ from tilewright.functions import tilemath as tm
 from tilewright.functions.geometry import LINE, POLYGON, from_wkb, to_wkb
 from tilewright.operators import encode, thin
 from tilewright.operators.cluster import clusters
-from tilewright.operators.coalesce import coalesce
+from tilewright.operators.coalesce import coalesce, with_group
 from tilewright.operators.cut import cut, pieces
 from tilewright.operators.encode import decode_mlt, decode_mvt
 from tilewright.operators.points import MltPoints, MvtPoints, point_layer
 from tilewright.operators.reading import mlt_layers, mlt_points, mvt_layers, mvt_points
 from tilewright.operators.simplify import visvalingam
 from tilewright.plans.model import LayerSpec, TileConfig, normalised, row_numbers
-from tilewright.plans.tiles import Layer, point_tiles, pyramid
+from tilewright.plans.store import saved
+from tilewright.plans.tiles import Layer, point_tiles, pyramid, whole_tiles
 
 # ---- views; the same text serves both engines ------------------------------------------------------------------------------
 
@@ -715,15 +716,22 @@ def vw_simplify_lines(spark, sf_dir):
 @query(_with("geo_line_vertices") + "SELECT fid % 7 AS x, CAST(0 AS BIGINT) AS y, count(*) AS vertices, CAST(floor(sum(lon) * 1000000.0 + 0.37) AS BIGINT) AS trace FROM geo_line_vertices GROUP BY fid HAVING count(*) >= 2")
 def coalesce_lines(spark, sf_dir):
     """Each step of a path as a line of its own, some turned round, in no order: merging makes the paths again."""
+    import pyarrow as pa
+
     step = W.partitionBy("fid").orderBy("seq")
     rows = view(spark, sf_dir, "geo_line_vertices").withColumns({"lon2": F.lead("lon").over(step), "lat2": F.lead("lat").over(step)}).where("lon2 is not null")
-    mixed = rows.select((F.col("fid") % 7).alias("x"), F.lit(0).cast("long").alias("y"), F.xxhash64("fid", "seq").alias("fid"), F.lit(0).alias("px"), F.lit(0).alias("py"), "lon", "lat", "lon2", "lat2")
+    mixed = rows.select((F.col("fid") % 7).alias("x"), F.lit(0).cast("long").alias("y"), F.xxhash64("fid", "seq").alias("fid"), "lon", "lat", "lon2", "lat2")
+    grouped = with_group(saved(mixed), ["x", "y", "lon", "lat"], ["x", "y", "lon2", "lat2"])
+    dealt = grouped.select("group", "x", "y", "fid", "lon", "lat", "lon2", "lat2").repartition("group").sortWithinPartitions("group", "fid")
 
-    def run(features):
-        lines = [(k, (LINE, [[[(a, b), (c, d)] if k % 2 else [(c, d), (a, b)]]]), ("road",)) for k, (_, _, _, (a, b, c, d)) in enumerate(features)]
-        return [(len(m[0]), floor(sum(x for x, _ in sorted(m[0])) * 1000000.0 + 0.37)) for _, g, _ in coalesce(lines) for m in g[1]]
+    def run(batches):
+        for batch in whole_tiles(batches):
+            _, xs, ys, _, *ends = (c.to_pylist() for c in batch.columns)
+            lines = [(k, (LINE, [[[(a, b), (c, d)] if k % 2 else [(c, d), (a, b)]]]), (x, y, "road")) for k, (x, y, a, b, c, d) in enumerate(zip(xs, ys, *ends))]
+            found = [(*values[:2], len(m[0]), floor(sum(x for x, _ in sorted(m[0])) * 1000000.0 + 0.37)) for _, g, values in coalesce(lines) for m in g[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(4)], ["x", "y", "vertices", "trace"])
 
-    return _by_tile(mixed, run, "x long, y long, vertices long, trace long")
+    return dealt.mapInArrow(run, "x long, y long, vertices long, trace long")
 
 
 # ---- archives and tiles, decoded -------------------------------------------------------------------------------------------
